@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .chat import OP6_SQL, op6_chat_formatting
 from .neardup import op7_minhash_neardup
+from .packing import op2_sum_of_squares_packing
 from .repetition import op4_quality_rules
+from .urls import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Callable] = {
+    "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": OP6_SQL,
+    "op10_url_filter": OP10_SQL,
+}
