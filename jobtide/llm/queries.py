@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from .chat import OP6_SQL, op6_chat_formatting
+from .decontaminate import OP3_SQL, op3_decontamination
 from .neardup import op7_minhash_neardup
 from .packing import op2_sum_of_squares_packing
 from .repetition import op4_quality_rules
@@ -12,6 +13,7 @@ from .urls import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Callable] = {
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
+    "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_minhash_neardup": op7_minhash_neardup,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_decontamination": OP3_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op10_url_filter": OP10_SQL,
 }
