@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from .chat import OP6_SQL, op6_chat_formatting
 from .decontaminate import OP3_SQL, op3_decontamination
+from .language import op8_word_backoff_language
 from .neardup import op7_minhash_neardup
 from .packing import op2_sum_of_squares_packing
 from .pii import op9_weak_supervision_pii
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op4_quality_rules": op4_quality_rules,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op8_word_backoff_language": op8_word_backoff_language,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_url_filter": op10_url_filter,
 }
