@@ -11,9 +11,11 @@ from .neardup import op7_minhash_neardup
 from .packing import op2_sum_of_squares_packing
 from .pii import op9_weak_supervision_pii
 from .repetition import op4_quality_rules
+from .resampling import op1_importance_resampling
 from .urls import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Callable] = {
+    "op1_importance_resampling": op1_importance_resampling,
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
