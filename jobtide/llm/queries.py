@@ -12,6 +12,7 @@ from .packing import op2_sum_of_squares_packing
 from .pii import op9_weak_supervision_pii
 from .repetition import op4_quality_rules
 from .resampling import op1_importance_resampling
+from .toxicity import op5_bigru_toxicity
 from .urls import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Callable] = {
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable] = {
     "op2_sum_of_squares_packing": op2_sum_of_squares_packing,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
+    "op5_bigru_toxicity": op5_bigru_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_word_backoff_language": op8_word_backoff_language,
