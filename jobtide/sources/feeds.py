@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .. import rules as R
@@ -17,7 +18,7 @@ from ..functions import text as T
 BODY_LIMIT = 6000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_twice(raw: pd.Series) -> pd.Series:
     """HTML entities resolved twice: feeds escape their bodies once more than needed."""
     return raw.map(lambda x: html.unescape(html.unescape(x)) if x else x)
