@@ -181,11 +181,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         parts = components(links.union(more))
     # equal ids with different texts tie their classes together
-    ties = named.join(classes, ["hi", "lo"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    repeated = heads.groupBy("id").count().where("count > 1").select(F.col("id").alias("a"))
-    crossing = ties.join(repeated, "a", "left_semi")
+    key = F.struct("hi", "lo")
+    repeated = written(named.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select(F.col("id").alias("a")), "repeated")
     if not repeated.isEmpty():
-        parts = components(links.union(more).union(crossing))
+        ties = named.join(classes, ["hi", "lo"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
+        parts = components(links.union(more).union(ties.join(repeated, "a", "left_semi")))
 
     final = classes.join(parts.withColumnRenamed("node", "head"), "head", "left").select("hi", "lo", F.coalesce("component", "head").alias("component"))
     linked = marks.where("n > 0 and id is not null").join(final, ["hi", "lo"], "left").select("id", "n", "component")

@@ -47,7 +47,7 @@ SCHEMA = "id long, start long, length long, token_bytes binary, doc_tokens long,
 TAIL = b".,!*$%&#|;:?"
 _ASCII_WORD = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: Words (lower-cased A-Z) that a worker remembers; the memo is dropped as a whole beyond.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 700_000
 
 
 class Encoder:

@@ -1,0 +1,464 @@
+"""Each operator on small tables against brute force, with nulls, ties, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from jobtide.llm import minhash as M
+from jobtide.llm import packing as K
+from jobtide.llm import pii as P
+from jobtide.llm import repetition as Q
+from jobtide.llm import toxicity as X
+from jobtide.llm.chat import format_chats, read_back
+from jobtide.llm.decontaminate import decontaminate
+from jobtide.llm.language import predict, train
+from jobtide.llm.neardup import near_duplicates
+from jobtide.llm.resampling import kth_largest, resample
+from jobtide.llm.urls import judge, rule_table
+
+DOCS = "doc_id long, text string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def docs_of(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def random_docs(seed=3, n=60, words=14):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 80)))) for i in range(n)]
+    base = " ".join(f"b{i}" for i in range(60))
+    rows += [(100 + i, base.replace(f"b{(i * 7) % 60} ", f"x{i} ", 1)) for i in range(12)]
+    rows += [(200, rows[3][1]), (201, rows[3][1].upper()), (202, None), (203, ""), (204, "one two"), (205, "one two"), (206, " \n "), (207, "é ü é ü é ü é ü é ü é ü é ü é ü é ü é ü é ü")]
+    return rows
+
+
+# --- op1 ---
+
+
+def test_kth_largest_equals_sorting(spark):
+    values = [float(x) for x in np.random.default_rng(1).normal(size=9000)] + [1.5] * 500
+    df = spark.createDataFrame([(v,) for v in values], "v double").cache()
+    for k in (1, 17, 4000, 9499, 9500):
+        assert kth_largest(df, "v", k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_resample_prefers_the_target_and_is_repeatable(spark):
+    rows = [(i, "good clean words here " * 5) for i in range(40)] + [(100 + i, "junk ### &&& junk " * 5) for i in range(10)] + [(200, None), (201, "")]
+    df, good = docs_of(spark, rows), spark.createDataFrame([(i,) for i in range(20)], "doc_id long")
+    one = {r.doc_id: r for r in resample(df, good, keep=0.8).collect()}
+    two = {r.doc_id: r for r in resample(df.repartition(5), good, keep=0.8).collect()}
+    assert one == two and len(one) == len(rows)
+    assert sum(r.kept for r in one.values()) == int(np.ceil(0.8 * len(rows)))
+    assert all(one[i].kept for i in range(20)) and not any(one[100 + i].kept for i in range(10))
+    assert one[200].log_weight == one[201].log_weight == 0
+    assert resample(df.limit(0), good).count() == 0
+
+
+# --- op2 ---
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path(K.TOKENIZER)
+
+
+def test_packing_is_a_whole_partition_of_all_ids(spark, vocabulary):
+    from tokenizers import Tokenizer
+
+    rows = random_docs() + [(300, "long words " * 9000), (301, "It's <|endoftext|> I'M ½ ﬁ x***'s — ,a"), (None, "null id")]
+    pieces = K.pack(docs_of(spark, rows).repartition(3), vocabulary).collect()
+    tokenizer = Tokenizer.from_file(vocabulary)
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    for key, text in rows:
+        own = sorted(by_doc[key], key=lambda p: p.start)
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, K.END_ID]
+        assert b"".join(p.token_bytes for p in own) == np.array(ids, "<u4").tobytes()
+        assert [p.start for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))]
+        assert all(p.doc_tokens == len(ids) and p.length * 4 == len(p.token_bytes) > 0 for p in own)
+    padding = 0
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p.offset)
+        assert [p.offset for p in own] == [sum(q.length for q in own[:i]) for i in range(len(own))]
+        fill = sum(p.length for p in own)
+        assert fill <= K.WINDOW
+        padding += 0 if fill & (fill - 1) == 0 else K.WINDOW - fill
+    assert padding == 0
+    assert K.pack(docs_of(spark, []), vocabulary).count() == 0
+
+
+def test_packer_chooses_the_least_sum_of_squares():
+    rng = np.random.default_rng(5)
+    packer = K.Packer(0, 32)
+    for i in range(400):
+        size = int(rng.integers(1, 32))
+        level = packer.level.copy()
+        best = None
+        for at in [0, *np.flatnonzero(level[:32])]:
+            if at + size > 32:
+                continue
+            after = level.copy()
+            after[at] -= at > 0
+            if at + size < 32:
+                after[at + size] += 1
+            cost = int((after.astype(int) ** 2).sum())
+            if best is None or cost <= best[0]:
+                best = (cost, int(at))
+        got = packer.choose(size)
+        after = level.copy()
+        after[got] -= got > 0
+        if got + size < 32:
+            after[got + size] += 1
+        assert int((after.astype(int) ** 2).sum()) == best[0]
+        packer.add(i, bytes(4 * size))
+
+
+# --- op3 ---
+
+
+def brute_contamination(rows, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    out = []
+    for key, text in rows:
+        words, hit, found = split(text), set(), set()
+        for item, body in items:
+            w = split(body)
+            k = min(10, len(w))
+            if not k:
+                continue
+            wanted = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+            for i in range(len(words) - k + 1):
+                if tuple(words[i : i + k]) in wanted:
+                    hit.update(range(i, i + k))
+                    found.add(str(item))
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((key, len(words), len(hit), len(found), digest, bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = ["the", "of", "and", "to", "x1", "y2"]
+    body = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(i, body(30)) for i in range(8)] + [(20, "Only Three Words"), (21, ""), (22, None), (23, "solo"), (24, items_text := body(10))]
+    rows = [(i, body(int(rng.integers(0, 200)))) for i in range(40)]
+    rows += [(50, f"Intro, {items[0][1].upper()}! the end"), (51, None), (52, ""), (53, "only three words here"), (54, items_text), (55, "a solo b solo"), (None, items[1][1]), (57, items[0][1][:25])]
+    got = decontaminate(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_contamination(rows, items)
+    none = decontaminate(docs_of(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect()
+    assert len(none) == len(rows) and not any(r.contaminated for r in none)
+
+
+# --- op4 ---
+
+
+def brute_repetition(text):
+    words = WORD.findall(text or "")
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    repeated = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab \n#é", max_size=120) | st.lists(st.sampled_from("abc"), max_size=90).map(" ".join), min_size=1, max_size=5))
+def test_repetition_counts_equal_brute_force(texts):
+    found = Q.measure([t.encode() for t in texts])
+    for i, text in enumerate(texts):
+        got = tuple(int(found[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+        assert got == brute_repetition(text)
+        words = WORD.findall(text)
+        longest = max((k for a in range(len(words)) for b in range(a) for k in [next((j for j in range(len(words)) if a + j >= len(words) or words[a + j] != words[b + j]), 0)]), default=0)
+        assert found["longest_repeat"][i] == (longest if longest >= 8 else 0)
+
+
+def test_quality_rules_rows(spark):
+    rows = random_docs() + [(400, "same line of text\n" * 30), (401, " ".join(f"t{i}" for i in range(30))), (None, "null id")]
+    extra = docs_of(spark, [(*r, "clash", 1) for r in rows], DOCS + ", kept string, body int")
+    got = {r.doc_id: r for r in Q.quality_rules(extra).collect()}
+    assert len(got) == len(rows)
+    for key, text in rows:
+        assert (got[key].n_words, got[key].word_chars, got[key].n_symbols, got[key].n_dup_lines, got[key].n_repeat_words) == brute_repetition(text)
+    assert not got[400].kept and got[400].longest_repeat == 116 and got[401].kept and not got[202].kept
+    assert Q.quality_rules(docs_of(spark, [])).count() == 0
+
+
+# --- op5 ---
+
+
+def test_network_gradients():
+    net = X.Network({"a": 1}).start()
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    rng = np.random.default_rng(0)
+    x, mask, y = rng.standard_normal((5, 4, X.WORD_DIM + X.CHAR_DIM)), rng.random((5, 4)) < 0.8, np.array([0, 1, 1, 0.0])
+    mask[0] = True
+    _, grads, d_x = X.gradients(w, x, mask, y)
+    for name in ("w0", "u0", "w1", "u1", "b0", "att", "v", "out"):
+        at, step = tuple(rng.integers(0, s) for s in w[name].shape), 1e-4
+        kept = w[name][at]
+        losses = []
+        for sign in (1, -1):
+            w[name][at] = kept + sign * step
+            losses.append(X.gradients(w, x, mask, y)[0])
+        w[name][at] = kept
+        assert abs((losses[0] - losses[1]) / (2 * step) - grads[name][at]) < 1e-4
+    assert d_x.shape == x.shape
+
+
+def test_windows_cover_every_word():
+    counts = np.array([0, 1, 24, 25, 40, 41, 100])
+    at, text = X.windows_of(counts, np.cumsum(counts) - counts, int(counts.sum()))
+    for i, n in enumerate(counts):
+        seen = {p for row in at[text == i] for p in row if p < counts.sum()}
+        assert seen == set(range(int(counts[:i].sum()), int(counts[: i + 1].sum())))
+
+
+def test_toxicity_learns_words_and_prefixes(spark):
+    rng = np.random.default_rng(4)
+    clean = [f"{a}{b}" for a in ("th", "er", "on", "an") for b in ("ing", "ed", "ly", "ble", "tion")]
+    toxic = ["moron", "scum"] + [f"lowei{x}" for x in ("ab", "cd", "ef", "gh")]
+
+    def text(bad):
+        words = list(rng.choice(clean, 60))
+        for _ in range(2 if bad else 0):
+            words[rng.integers(0, 60)] = rng.choice(toxic)
+        return " ".join(words)
+
+    truth = [i % 2 for i in range(240)]
+    texts = [text(y) for y in truth]
+    net = X.train([t.encode() for t in texts[:160]], truth[:160])
+    rows = [(i, t) for i, t in enumerate(texts[160:])] + [(900, None), (901, ""), (902, "loweizz " + " ".join(clean)), (None, "th")]
+    got = {r.doc_id: r.score for r in X.score(docs_of(spark, rows), net).collect()}
+    assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
+    assert np.mean([(got[i] >= 0.5) == y for i, y in enumerate(truth[160:])]) > 0.9
+    assert X.score(docs_of(spark, rows), None).where("score = 0").count() == len(rows)
+
+
+# --- op6 ---
+
+
+def test_chat_round_trip(spark):
+    turns = [
+        (1, 0, "system", "[x] \\ </s>"), (1, 1, "user", None), (1, 2, "assistant", "hé </s>[INST] ok [/INST]\\l\\s"), (2, 5, "assistant", ""), (2, 5, "assistant", ""),
+        (3, 1, None, "no role"), (None, 0, "user", "null id"), (4, None, "[/INST]", "odd role"), (4, 0, "assistant", "<s>[INST] a [/INST]"),
+    ]
+    df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, formatted string")
+    got = {r.conv_id: r for r in read_back(format_chats(df)).collect()}
+    groups = defaultdict(list)
+    for key, turn, role, text in sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")):
+        groups[key].append((role or "", text or ""))
+    assert set(got) == set(groups)
+    for key, said in groups.items():
+        lost = "".join(t for r, t in said if r == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert (got[key].n_turns, got[key].turns_sha256) == (len(said), sha("".join(f"{r}\n{t}\n" for r, t in said)))
+        assert (got[key].loss_chars, got[key].loss_sha256) == (len(lost), sha(lost))
+    assert format_chats(df.limit(0)).count() == 0
+
+
+# --- op7 ---
+
+
+def brute_components(rows, width):
+    sets = {}
+    for key, text in rows:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+        sets[key] = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {k: (len(sets[k]), find(k)) for k in keys}
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates_equal_brute_force(spark, width, monkeypatch):
+    import jobtide.llm.neardup as N
+
+    monkeypatch.setattr(N, "SMALL_BUCKET", 4)  # so that the block search runs as well
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    rows = random_docs()
+    base = [f"h{i}" for i in range(90)]
+    for i in range(70):  # one large group, its members near the threshold of each other
+        words = list(base)
+        for j in rng.choice(90, int(rng.integers(1, 4)), replace=False):
+            words[j] = f"z{i}"
+        rows.append((500 + i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs_of(spark, rows), width=width).collect()}
+    assert got == brute_components(rows, width)
+
+
+def test_near_duplicates_odd_rows(spark):
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "q r s t u"), (2, "a b c d e"), (None, "a b c d e"), (3, "q r s t u")]
+    got = sorted(((r.doc_id or -1, r.component_id, r.kept) for r in near_duplicates(docs_of(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (-1, None, True)], key=repr)
+    assert near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(8)
+    a = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2))
+    b = np.sort(np.concatenate([a[:360], rng.integers(0, 2**63, 40).astype(np.uint64)]))
+    table = M.signatures(np.concatenate([a, b, a[[0, 150, 390]]]), np.array([400, 400, 3]))
+    assert abs((table[0] == table[1]).mean() - 360 / 440) < 0.15 and len(set(table[2])) == 3
+
+
+# --- op8 ---
+
+
+def test_language_backs_off_to_grams(spark):
+    en, de = "the house is there with them", "der hund ist dort mit denen"
+    rows = [(i, en if i % 2 else de, "en" if i % 2 else "de") for i in range(40)] + [(90, "text", None), (None, de, "de")]
+    df = spark.createDataFrame(rows, DOCS + ", lang string")
+    model = train(df)
+    probe = docs_of(spark, [(1, "theirs househ"), (2, "hunde denende"), (3, None), (4, "12 !! 3"), (5, "")])
+    got = {r.doc_id: r for r in predict(probe, model).collect()}
+    assert [got[i].lang_pred for i in range(1, 6)] == ["en", "de", "und", "und", "und"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    nothing = predict(probe, train(df.limit(0))).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+
+
+# --- op9 ---
+
+
+def luhn(text):
+    digits = [int(c) for c in text if c.isdigit()][::-1]
+    return (sum(digits[::2]) + sum(d * 2 - 9 * (d > 4) for d in digits[1::2])) % 10 == 0
+
+
+def brute_base(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m.group().split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 16 <= sum(c.isdigit() for c in m.group()) <= 19 and luhn(m.group()):
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+def test_personal_data_base_spans(spark):
+    rng = np.random.default_rng(6)
+    parts = ["a@b.co", "x.y@d-e.fr_q@z.io", "@", ".", "-", " ", "1.2.3.4", "300.1.1.1", "001.02.3.255", "4111 1111-1111 1111", "4111111111111112", "+1 (555) 123-4567", "+49", "é", "😀", "12", "secret: abcd1234efgh", "mail me", "a@b.cd@e.f"]
+    rows = [(i, "".join(rng.choice(parts, rng.integers(0, 12)))) for i in range(400)] + [(900, None), (901, ""), (902, "a" * 30000), (903, "1 2 " * 9000), (904, "9" * 20000), (None, "me@x.org")]
+    got = {r.doc_id: r for r in P.summary(P.find_personal_data(docs_of(spark, rows))).collect()}
+    assert len(got) == len(rows)
+    for key, text in rows:
+        base = brute_base(text or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[key].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), (key, text, base, got[key])
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(got[key].spans.split(","))
+        assert got[key].n_email == sum(k == "email" for k, *_ in base)
+
+
+def test_redaction_leaves_the_rest(spark):
+    rows = [(1, "Mail é me@x.org now, +1 (555) 123-4567 or 10.0.0.1!", 9), (2, "nothing here", 12), (3, None, 0), (4, 'key token = "abcdef0123456789abcdef"', 5)]
+    got = {r.doc_id: r for r in P.redact(docs_of(spark, rows, DOCS + ", n_chars long")).collect()}
+    assert got[1].text == "Mail é [EMAIL] now, [PHONE] or [IP]!" and got[1].n_chars == len(got[1].text)
+    assert got[2].text == "nothing here" and got[2].n_chars == 12 and got[3].text is None
+
+
+def test_em_finds_the_bad_labeler():
+    rng = np.random.default_rng(0)
+    rows = Counter()
+    for _ in range(3000):
+        true = rng.random() < 0.6
+        votes = tuple(int((1 if true else -1) * (1 if rng.random() < a else -1)) for a in (0.95, 0.9, 0.9, 0.55, 0.85))
+        rows["email", votes, 3] += 1
+    counts = [(k, v, s, n) for (k, v, s), n in rows.items()]
+    rate, prior, truth = P.reliabilities(counts)
+    assert rate[0][0] - rate[0][1] > rate[3][0] - rate[3][1] and 0.5 < prior["email"] < 0.7
+    assert all(0 <= t <= 1 for t in truth)
+
+
+# --- op10 ---
+
+
+def test_url_rules(spark):
+    rules = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block")]
+    urls = [
+        "http://WWW.Example.com/en/1?q#f", "https://a.example.com/en/x", "https://example.com/english", "https://notexample.com/en/", "http://x.net/es/", "http://x.net/es", "http://com", "nothing", None,
+        "a://b.com?x=/en/", "http://example.com:80/en/", "http:///en/", "http://bad.org/x", "http://example.com/en/", "http://example.com/en/",
+    ]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(None, "http://x.com/", "y")], "page_id long, url string, host string")
+    table = rule_table(spark, rules, "rule").union(rule_table(spark, [("bad.org/", "block")], "list"))
+
+    def brute(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = re.sub("[A-Z]", lambda m: m.group().lower(), host)
+        fits = [(len(r), r, v) for r, v in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        best = max(fits, default=None)
+        return host, path, best and best[1], best[2] if best else ("block" if host.endswith("bad.org") and path else "allow")
+
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge(pages, table).collect()), key=repr)
+    assert got == sorted([(i, *brute(u)) for i, u in enumerate(urls)] + [(None, *brute("http://x.com/"))], key=repr)
+    assert judge(pages.limit(0), table).count() == 0
+
+
+# --- pipeline ---
+
+
+def test_pipeline_equals_its_parts_by_brute_force(spark, tmp_path, vocabulary):
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(12)
+    sentence = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    item = sentence(20)
+    rows = [(i, sentence(40)) for i in range(20)]
+    rows += [(30, rows[4][1]), (31, rows[5][1].replace(" ", "  ")), (32, sentence(30) + " " + item), (33, "too short"), (34, (sentence(9) + "\n") * 9), (35, sentence(30) + " me@x.org " + sentence(5)), (36, None)]
+    documents = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS + ", lang string, source string, n_chars long")
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pieces = C.run(spark, str(tmp_path)).collect()
+    left = {k: t for k, t in rows if len((t or "").split()) >= 20 and k not in (30, 31, 32, 34)}
+    left[35] = left[35].replace("me@x.org", "[EMAIL]")
+    assert {p.doc_id for p in pieces} == set(left)
+    tokenizer = Tokenizer.from_file(vocabulary)
+    for key, text in left.items():
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, K.END_ID]
+        for p in pieces:
+            if p.doc_id == key:
+                assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+        assert sum(p.length for p in pieces if p.doc_id == key) == len(ids)
+
+
+def test_every_query_is_registered_and_runs(spark):
+    from jobtide.llm.queries import ORACLES, QUERIES
+
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 11) for n in QUERIES if n.startswith(f"op{k}_")]
+    assert set(ORACLES) <= set(QUERIES)
+    for name in ("op3_decontamination", "op9_weak_supervision_pii", "op10_url_filter"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
