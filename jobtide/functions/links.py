@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .text import col, let
+from .text import col, let, strings
 
 
 def host_of(url: Column | str) -> Column:
@@ -29,7 +29,7 @@ def has_job_id(url: Column | str) -> Column:
     path = path_of(url)
     segment = F.lower(F.regexp_extract(path, R.JOB_PATH, 1))
     keys = F.transform(F.filter(F.split(query_of(url), "&"), lambda p: p.rlike("^[^=]+=.")), lambda p: F.lower(F.substring_index(p, "=", 1)))
-    return path.rlike(R.UUID) | path.rlike(r"/\d{5,}") | ~segment.isin("", "search", "all", "list") | F.arrays_overlap(keys, F.array(*[F.lit(k) for k in R.ID_PARAMS]))
+    return path.rlike(R.UUID) | path.rlike(r"/\d{5,}") | ~segment.isin("", "search", "all", "list") | F.arrays_overlap(keys, strings(R.ID_PARAMS))
 
 
 def looks_like_index(url: Column | str) -> Column:
@@ -47,7 +47,7 @@ def is_known_blocked(url: Column | str) -> Column:
     def of(host: Column) -> Column:
         labels = F.split(host, r"\.")
         parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        return F.arrays_overlap(parents, F.array(*[F.lit(h) for h in R.BLOCKED_HOSTS]))
+        return F.arrays_overlap(parents, strings(R.BLOCKED_HOSTS))
 
     return let(F.substring_index(host_of(url), ":", 1), of)
 

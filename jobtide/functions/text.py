@@ -16,6 +16,23 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(value: str | int) -> str:
+    """A literal of Spark SQL."""
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strings(values: list[str]) -> Column:
+    """A literal array, parsed at once: a call for each element would take longer than the query."""
+    return F.expr(f"array({', '.join(map(quoted, values))})")
+
+
+def mapping(table: dict) -> Column:
+    """A literal map."""
+    return F.expr(f"map({', '.join(f'{quoted(k)}, {quoted(v)}' for k, v in table.items())})")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once: a plain expression would repeat it at every use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -56,7 +73,7 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 def _folded(text: Column) -> Column:
     source, target, longer = _folds()
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    table = mapping(longer)
     split = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
     text = F.when(text.rlike("[" + "".join(longer) + "]"), split).otherwise(text)
     return F.translate(text, source, target)
@@ -73,7 +90,7 @@ def normalize_company(company: Column | str) -> Column:
     """Legal suffixes off the end, then aliases."""
     name = F.regexp_replace(basic_text(company), "^the ", "")
     name = F.regexp_replace(name, rf"(?:(?:^| )(?:{'|'.join(R.LEGAL_SUFFIXES)}))+$", "")
-    aliases = F.create_map(*[F.lit(x) for pair in R.COMPANY_ALIASES.items() for x in pair])
+    aliases = mapping(R.COMPANY_ALIASES)
     return let(name, lambda n: F.coalesce(F.try_element_at(aliases, n), n))
 
 
@@ -84,7 +101,7 @@ def without_dates(text: Column) -> Column:
 
 
 def _tokens(text: Column, dropped: list[str]) -> Column:
-    held = F.array(*[F.lit(x) for x in ["", *dropped]])
+    held = strings(["", *dropped])
     return F.filter(F.split(text, " +"), lambda t: ~F.array_contains(held, t))
 
 
@@ -109,7 +126,7 @@ def split_level(text: Column) -> tuple[Column, Column]:
     tail = rf"(?:\s+{R.LEVEL_MARK})+$"
     last = F.regexp_extract(text, rf"\s+({R.LEVEL_MARK})$", 1)
     mark = F.regexp_extract(last, r"^(?:(?:level|lvl|grade|band)\s*|(?:ic|[lept])\s?(?=\d))?(.+)$", 1)
-    words = F.create_map(*[F.lit(x) for pair in R.LEVEL_WORDS.items() for x in pair])
+    words = mapping(R.LEVEL_WORDS)
     level = F.coalesce(F.try_element_at(words, mark), mark.try_cast("int"))
     return F.trim(F.regexp_replace(text, tail, "")), level
 
@@ -133,7 +150,7 @@ def _with_level(text: Column) -> Column:
 
 def primary_location(location: Column | str) -> Column:
     """The first place of several, with a short code after it joined on."""
-    parts = F.filter(F.transform(F.split(F.trim(F.coalesce(col(location), F.lit(""))), R.SEVERAL_PLACES), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.trim(F.coalesce(col(location), F.lit(""))), R.SEVERAL_PLACES), lambda p: F.trim(p)), lambda p: p != "")
 
     def joined(some: Column) -> Column:
         first, second = F.coalesce(F.get(some, F.lit(0)), F.lit("")), F.get(some, F.lit(1))
@@ -161,7 +178,7 @@ def with_state_codes(text: Column) -> Column:
 def split_country(text: Column) -> tuple[Column, Column]:
     """N8, second half: (rest, country code or null) of one trailing country name."""
     pattern = rf"\s*\b({'|'.join(sorted(R.COUNTRIES, key=len, reverse=True))})\s*$"
-    table = F.create_map(*[F.lit(x) for pair in R.COUNTRIES.items() for x in pair])
+    table = mapping(R.COUNTRIES)
     return F.trim(F.regexp_replace(text, pattern, "")), F.try_element_at(table, F.regexp_extract(text, pattern, 1))
 
 
@@ -173,7 +190,7 @@ def state_of(core: Column) -> Column:
 
 def _term_in(text: Column) -> Column:
     """The term that a canonical text names, or null."""
-    table = F.create_map(*[F.lit(x) for pair in R.TERM_OF_SEASON.items() for x in pair])
+    table = mapping(R.TERM_OF_SEASON)
 
     def first_term(pattern: str, season: int, year: int) -> Column:
         pairs = F.zip_with(

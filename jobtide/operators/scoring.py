@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions import text as T
 from .gates import Profile
 
 
-def _table(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-
-
 def _points(name: str, parts: list[tuple[Column, Column, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(ok, F.struct(label.alias("signal"), points.cast("int").alias("points"))) for ok, label, points in parts])).alias(name)
 
@@ -20,12 +17,12 @@ def _points(name: str, parts: list[tuple[Column, Column, Column]]) -> Column:
 def _parts(profile: Profile, now: Column) -> list[tuple[Column, Column, Column, Column]]:
     """(applies, signal, points, words in the trace) of each signal, in order."""
     lit = F.lit
-    term = F.coalesce(F.try_element_at(_table(R.TERM_POINTS), F.col("term")), lit(10))
+    term = F.coalesce(F.try_element_at(T.mapping(R.TERM_POINTS), F.col("term")), lit(10))
     title = F.when(F.coalesce("title_norm", lit("")) != "", F.col("title_norm")).otherwise(F.lower("title"))
     place, label = lit(0), lit(None).cast("string")
     for pattern, n, name in reversed(R.DISCIPLINES):
         place, label = F.when(title.rlike(pattern), n).otherwise(place), F.when(title.rlike(pattern), name).otherwise(label)
-    metro = F.try_element_at(_table(R.METRO_POINTS), F.col("location_norm"))
+    metro = F.try_element_at(T.mapping(R.METRO_POINTS), F.col("location_norm"))
     days = F.floor((F.unix_micros(now) - F.unix_micros("posted_at")) / lit(86_400_000_000))
     unwanted = F.col("term").isin([t for t, w in profile.wanted_terms.items() if not w])
     plus = lambda name, n: F.concat(name, lit(" "), F.when(n >= 0, lit("+")).otherwise(lit("")), n.cast("string"))

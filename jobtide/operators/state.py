@@ -53,7 +53,7 @@ def apply_cutover(batch: DataFrame, baseline: DataFrame, cutover: Column) -> tup
 
 
 def source_rank(source: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in R.SOURCE_RANK.items() for x in pair])
+    table = T.mapping(R.SOURCE_RANK)
     return F.coalesce(F.try_element_at(table, source), F.lit(R.OTHER_RANK))
 
 
@@ -208,7 +208,7 @@ DECISIONS = {"applied": "applied", "interviewing": "applied", "skipped": "skippe
 def parse_decisions(rows: DataFrame) -> DataFrame:
     """J14, first half: rows(row_no, id, status, applied_on) -> (id, status, applied_on), the last known word of each id."""
     word = F.lower(F.trim("status"))
-    table = F.create_map(*[F.lit(x) for pair in DECISIONS.items() for x in pair])
+    table = T.mapping(DECISIONS)
     known = rows.where((F.trim("id") != "") & (word != "")).select(F.trim("id").alias("id"), F.try_element_at(table, word).alias("status"), "applied_on", "row_no")
     return known.where("status is not null").groupBy("id").agg(F.max_by("status", "row_no").alias("status"), F.max_by("applied_on", "row_no").alias("applied_on"))
 

@@ -9,10 +9,11 @@ from pyspark.sql.window import Window
 from .. import rules as R
 from ..functions import dates as D
 from ..functions import links as L
+from ..functions import text as T
 
 
 def term_rank(term: Column | str = "term") -> Column:
-    table = F.create_map(*[F.lit(x) for i, t in enumerate(R.TERM_ORDER) for x in (t, i)])
+    table = T.mapping({t: i for i, t in enumerate(R.TERM_ORDER)})
     return F.coalesce(F.try_element_at(table, F.col(term) if isinstance(term, str) else term), F.lit(9))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions.text import strings
 
 NOW, CUTOVER = "2001-08-03 12:00:00", "1999-01-01 00:00:00"
 
@@ -42,7 +43,7 @@ TITLE_NORMS = ["software engineer intern", "machine learning engineer", "data sc
 
 
 def pick(values: list[str], key: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(strings(values), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -253,7 +253,45 @@ FORMULA = lambda x: f"CASE WHEN regexp_matches(coalesce({x}, ''), '^[=+\\-@\\t\\
 TRAIL = "OVER (PARTITION BY source ORDER BY started_at ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 HOURS = f"""{P}, hr AS (SELECT hour({LOCAL('posted_at')}) AS hour, epoch_us(posted_at) % 86400000000 = 0 AS mid, isodow({LOCAL('posted_at')}) < 6 AS wd FROM p WHERE source IN ('ats', 'listings') AND posted_at IS NOT NULL)"""
 
+RANK_OF = lambda x: f"CASE {x} WHEN 'ats' THEN 100 ELSE 50 END"
+
+
+def merged(odd: str) -> str:
+    """The merge of a batch: rows where ``odd`` is 0 are the state, those where it is 1 the batch; links by a fold."""
+    order = "ORDER BY odd, source_order, seq"
+    fold = (
+        "list_reduce(l, lambda acc, x: CASE WHEN acc.url = '' OR (x.url <> '' AND (x.source = acc.source OR "
+        + RANK_OF("x.source") + " > " + RANK_OF("acc.source")
+        + ")) THEN {'url': x.url, 'source': x.source, 'odd': x.odd, 'steps': acc.steps + CASE WHEN x.odd = 1 AND x.url <> '' AND x.url <> acc.url THEN 1 ELSE 0 END} ELSE acc END)"
+    )
+    first = lambda c: f"list({c} {order})[1] AS {c}"
+    return f"""seqs AS (SELECT *, {odd} AS odd FROM batch),
+grp AS (SELECT id, {first('company')}, {first('title')}, {first('term')}, {first('title_norm')}, {first('company_norm')}, {first('location_norm')}, {first('posted_precision')},
+  list(location {order})[-1] AS location, list(remote {order})[-1] AS remote, (list(source_id {order}) FILTER (source_id IS NOT NULL))[-1] AS source_id,
+  (list(source_url {order}) FILTER (source_url IS NOT NULL))[1] AS source_url, (list(posted_at {order}) FILTER (posted_at IS NOT NULL))[1] AS posted_at,
+  min(odd) = 1 AS is_new, list({{'url': apply_url, 'source': source, 'odd': odd, 'steps': 0}} {order}) AS l FROM seqs GROUP BY id),
+merged AS (SELECT * EXCLUDE (l, f), f.url AS apply_url, f.source AS source, f.steps AS url_upgrades FROM (SELECT *, {fold} AS f FROM grp))"""
+
+
+FLAGSHIP = f"""{BATCH}, {merged('1')}, dq AS (SELECT id, list(disqualifiers ORDER BY source_order, seq)[1] AS disqualifiers FROM (SELECT batch.id, source_order, seq,
+  list_filter([CASE WHEN regexp_matches(t, {q('(?i)' + R.CLEARANCE)}) AND regexp_matches(t, {q('(?i)' + R.ALREADY_HELD)}) AND NOT regexp_matches(t, {q('(?i)' + R.OBTAINABLE)}) THEN 'clearance' END,
+  CASE WHEN regexp_matches(t, {q('(?i)' + R.US_PERSON)}) OR coalesce(sponsorship, '') = 'U.S. Citizenship is Required' THEN 'citizenship' END,
+  CASE WHEN regexp_matches(t, {q('(?i)' + R.NO_SPONSORSHIP)}) OR coalesce(sponsorship, '') = 'Does Not Offer Sponsorship' THEN 'no-sponsorship' END,
+  CASE WHEN degrees IS NOT NULL THEN CASE WHEN degrees = ['PhD'] THEN 'phd-required' WHEN NOT list_contains(degrees, 'Bachelor''s') THEN 'masters-required' END
+    WHEN regexp_matches(t, {q('(?i)' + R.PHD)}) THEN 'phd-required' WHEN regexp_matches(t, {q('(?i)' + R.MASTERS)}) AND NOT regexp_matches(t, {q('(?i)' + R.BACHELORS)}) THEN 'masters-required' END,
+  CASE WHEN term = 'summer-2027' THEN 'summer-only' END], lambda x: x IS NOT NULL) AS disqualifiers
+  FROM (SELECT batch.*, raw.title || chr(10) || raw.description AS t FROM batch JOIN raw USING (seq)) batch) GROUP BY id),
+p AS (SELECT merged.*, {NOW} AS first_seen_at, coalesce(dq.disqualifiers, []) AS disqualifiers FROM merged LEFT JOIN dq USING (id)), {signals(NOW)},
+ranked AS (SELECT *, CAST(heuristic_score AS INT) AS score, {TIER('heuristic_score')} AS tier FROM scored)
+SELECT * FROM (SELECT term, row_number() OVER (PARTITION BY {TERM_RANK} ORDER BY {RANK['date']}) AS place, id, company, title, location_norm, tier, score, heuristic_trace FROM ranked) WHERE place <= 20"""
+
 ORACLES: dict[str, str] = {
+    "ranked_postings": FLAGSHIP,
+    "j02_upsert_postings": f"""{BATCH}, {merged('seq % 2')} SELECT id, company, title, term, location, remote, apply_url, source, source_id, source_url, posted_at, posted_precision,
+  'new' AS status, 'unchecked' AS link_status, is_new, url_upgrades FROM merged""",
+    "a07_run_totals": f"""{BATCH}, {merged('1')} SELECT (SELECT count(*) FROM gated) AS raw_fetched, (SELECT count(*) FROM gated WHERE NOT keep) AS filtered_out, 0 AS suppressed_by_baseline,
+  (SELECT count(*) FROM batch) AS accepted, (SELECT count(*) FROM merged) AS new, (SELECT CAST(sum(url_upgrades) AS BIGINT) FROM merged) AS url_upgrades, (SELECT count(*) FROM batch) - (SELECT count(*) FROM merged) AS deduped_out""",
+    "j17_rekey": f"""{BATCH} SELECT DISTINCT id AS old, sha256(company_norm || '|' || title_norm || '|new-york|' || term)[1:16] AS new, false AS collides FROM batch WHERE location_norm = 'nyc'""",
     "n01_basic_text": f"SELECT doc_id, md5({basic('text')}) AS basic_md5 FROM documents",
     "n02_normalize_company": f"WITH {B.RAW_SQL}, {_company_dim()} SELECT company, company_norm, count(*) AS n FROM raw JOIN cdim USING (company) GROUP BY ALL",
     "n04_normalize_title": f"WITH {B.RAW_SQL}, {_title_dim()} SELECT title, title_norm, count(*) AS n FROM raw JOIN tdim USING (title) GROUP BY ALL",

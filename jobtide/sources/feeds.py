@@ -134,7 +134,7 @@ def pipe_tables(files: DataFrame) -> DataFrame:
     """
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     trimmed = F.regexp_replace(F.trim("line"), r"^\|+|\|+$", "")
-    lines = lines.withColumn("cells", F.transform(F.split(trimmed, r"\|"), F.trim)).withColumn("is_row", F.col("line").startswith("|"))
+    lines = lines.withColumn("cells", F.transform(F.split(trimmed, r"\|"), lambda c: F.trim(c))).withColumn("is_row", F.col("line").startswith("|"))
     by_file = Window.partitionBy("file").orderBy("n")
     low = F.transform("cells", F.lower)
     dashes = F.lead("line").over(by_file).rlike(r"^[|\s:-]*$")
@@ -152,7 +152,7 @@ def pipe_tables(files: DataFrame) -> DataFrame:
 
 def read_pipe_tables(spark: SparkSession, path: str, source: str, now: Column) -> DataFrame:
     """Postings of Markdown tables; the new-grad file sets its term."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
     rows = pipe_tables(files)
     at = lambda name: F.try_element_at("row", F.lit(name))
     rows = rows.select(
