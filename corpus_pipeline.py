@@ -15,7 +15,7 @@ from jobtide.llm.decontaminate import decontaminate
 from jobtide.llm.neardup import BROADCAST_IDS, near_duplicates
 from jobtide.llm.packing import TOKENIZER, digest, pack
 from jobtide.llm.pii import redact
-from jobtide.llm.repetition import quality_rules
+from jobtide.llm.repetition import kept_documents
 from jobtide.llm.textkit import written
 
 #: SQL cannot express suffix arrays, MinHash or packing; tests/llm compares run() with a brute-force version.
@@ -24,9 +24,7 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject."""
-    names = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].alias("text"))
-    return quality_rules(rows, text_col="text", carry=["row"]).where("kept").select("row.*")
+    return kept_documents(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

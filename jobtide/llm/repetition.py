@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textkit import blocks, segment_ids, text_bytes
 
@@ -191,30 +192,42 @@ def _covered(starts: np.ndarray, lengths: np.ndarray, begin: np.ndarray):
     return total, spans
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per document: its id, the carried columns and the counts and verdict of ``SCHEMA``.
-
-    Runs as one Arrow map over the scan: no shuffle, memory bounded by a block of text.
-    """
-    carried = [c for c in (carry if carry is not None else [id_col])]
+def _measured(docs: DataFrame, text_col: str, carried: list[str]) -> tuple[DataFrame, list[str]]:
+    """The carried columns as c0, c1, ... and the columns of ``SCHEMA``; the text goes to the tasks once."""
     names = [f"c{i}" for i in range(len(carried))]
-    frame = docs.select(docs[text_col].cast("string").alias("body"), *[docs[c].alias(n) for c, n in zip(carried, names, strict=True)])
+    frame = docs.select(*[docs[c].alias(n) for c, n in zip(carried, names, strict=True)], *([] if text_col in carried else [docs[text_col].cast("string").alias("body")]))
+    body = names[carried.index(text_col)] if text_col in carried else "body"
     fields = ", ".join(f"{n} {frame.schema[n].dataType.simpleString()}" for n in names)
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "body"):
-            found = measure(text_bytes(block.column("body")))
+        for block in blocks(batches, body):
+            found = measure(text_bytes(block.column(body)))
             spans = pa.array([[{"first": a, "last": b} for a, b in x] for x in found.pop("spans")], span_type)
             yield pa.RecordBatch.from_arrays(
                 [block.column(n) for n in names] + [pa.array(v) for v in found.values()] + [spans],
                 [*names, *found, "spans"],
             )
 
-    out = frame.mapInArrow(run, f"{fields}, {SCHEMA}" if fields else SCHEMA)
+    return frame.mapInArrow(run, f"{fields}, {SCHEMA}" if fields else SCHEMA), names
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per document: the carried columns (default: its id) and the counts and verdict of ``SCHEMA``.
+
+    Runs as one Arrow map over the scan: no shuffle, memory bounded by a block of text.
+    """
+    carried = [id_col] if carry is None else carry
+    out, names = _measured(docs, text_col, carried)
     return out.withColumnsRenamed(dict(zip(names, carried, strict=True)))
 
 
+def kept_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that the rules keep, with the columns they had."""
+    out, names = _measured(docs, text_col, docs.columns)
+    return out.where("kept").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The contract's counts and verdict of every whole document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

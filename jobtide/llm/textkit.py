@@ -42,7 +42,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 class Memo(dict):
     """word -> make(word), dropped as a whole when it outgrows ``most`` entries."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
