@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .minhash import SHINGLE, band_keys, shingle_sets, signatures, word_memo
-from .textkit import blocks, drop_written, text_bytes, written
+from .textkit import blocks, small_batches, text_bytes, written
 
 #: Similarity in percent.
 THRESHOLD = 80
@@ -147,7 +147,8 @@ def _large_bucket_links(members: DataFrame, sets: DataFrame, threshold: int) ->
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for each input row."""
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("body"))
-    marks = written(shingle_table(source, width, bands=True), "marks")
+    with small_batches(docs.sparkSession):
+        marks = written(shingle_table(source, width, bands=True), "marks")
     named = marks.where("n > 0 and id is not null")
     classes = named.groupBy("hi", "lo").agg(F.min("id").alias("head"))
     heads = written(
@@ -159,7 +160,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = written(rows.join(stars, "bucket").select("bucket", "id", "n", F.col("c.id").alias("b"), F.col("c.n").alias("k"), "m"), "spread")
     pairs = spread.where("id <> b").where(_sizes_allow("n", "k", threshold)).select(F.col("id").alias("a"), "b").distinct()
     wanted = spread.select("id").distinct()
-    sets = written(shingle_table(_only(source, wanted), width, bands=False).dropDuplicates(["id", "hi", "lo"]), "sets")
+    with small_batches(docs.sparkSession):
+        sets = written(shingle_table(_only(source, wanted), width, bands=False).dropDuplicates(["id", "hi", "lo"]), "sets")
     links = written(_confirmed(pairs, sets, threshold), "found")
     parts = components(links)
 

@@ -7,6 +7,7 @@ memory of a Python worker follows the block and not the partition.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -105,6 +106,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows in an Arrow batch while the work inside runs: whole texts fill both sides' buffers long before 10,000 rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the folder behind a frame made by ``written`` once nothing reads it any more."""
     spark = df.sparkSession
