@@ -60,8 +60,8 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_chars()
-#: Words (lower-cased A-Z) that a worker remembers; the memo is dropped as a whole beyond.
-MEMO_WORDS = 250_000
+#: Words (lower-cased A-Z) of one generation of a worker's memo, which has two.
+MEMO_WORDS = 200_000
 
 
 def packed(ids: list[int]) -> bytes:
@@ -76,7 +76,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Words of the present generation and of the one before, from which words in use are taken over.
         self.memo: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
         """Fill the memo. A word with trailing marks is its stem's tokens and theirs, so stems are shared."""
@@ -115,10 +117,13 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
+            self.memo, self.before = {}, self.memo
         # bytes.lower() touches A-Z only, which the vocabulary lower-cases anyway
         lists = [t.lower().split() for t in texts]
-        self.learn(set().union(*lists).difference(self.memo))
+        new = set().union(*lists).difference(self.memo)
+        again = new.intersection(self.before)
+        self.memo.update((w, self.before[w]) for w in again)
+        self.learn(new - again)
         get = self.memo.__getitem__
         return [b"".join(map(get, ws)) for ws in lists]
 
