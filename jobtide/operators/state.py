@@ -57,25 +57,69 @@ def source_rank(source: Column) -> Column:
     return F.coalesce(F.try_element_at(table, source), F.lit(R.OTHER_RANK))
 
 
-def prefer_url(seed: Column, rows: Column) -> Column:
-    """Fold rows(url, source) into the seed (url, source, steps, changed): which link a posting keeps.
+LEVELS = sorted({*R.SOURCE_RANK.values(), R.OTHER_RANK})
+PIECE_BITS = 12
+
+
+KEPT = ["company", "title", "term", "dedupe_key", "first_seen_at", "posted_precision", "company_norm", "title_norm", "location_norm"]
+LATEST = ["last_seen_at", "location", "remote"]
+FOUND = {"source_id": F.max, "source_url": F.min, "posted_at": F.min}
+
+
+def fold_batch(batch: DataFrame) -> DataFrame:
+    """One row an id: first and last row (n_head, n_tail), given values (n_<column>), and for W1 the given links.
+
+    Links come as one entry (source, first_url, last_url, changes) a source (n_sources), and the entry
+    that takes each rank first (n_first_<rank>); a link counts up to the first one of a higher-ranked
+    source. Rows are folded in pieces of 2^12 places of the batch, then pieces by source, so no task
+    or array has all rows of an id.
+    """
+    piece, url = ["id", "source_order", "_piece"], F.col("apply_url").alias("url")
+    given, rank = F.coalesce("apply_url", F.lit("")) != "", source_rank(F.col("source"))
+    spot, at = F.struct("seq", url), F.struct("source_order", "_piece")
+    before = Window.partitionBy(*piece).orderBy("seq", "apply_url", "source").rowsBetween(Window.unboundedPreceding, -1)
+    rows = batch.withColumn("_piece", F.shiftright("seq", PIECE_BITS)).withColumn("_top", F.max(F.when(given, rank)).over(before))
+    rows = rows.withColumn("_live", given & (F.col("_top").isNull() | (rank >= F.col("_top"))))
+    rows = rows.withColumn("_moved", F.col("_live") & (F.col("apply_url") != F.lag("apply_url").over(Window.partitionBy(*piece, "source", "_live").orderBy("seq", "apply_url"))))
+    ends = {"n_head": F.min, "n_tail": F.max, **{f"n_{c}": pick for c, pick in FOUND.items()}}
+    parts = rows.groupBy(*piece, "source").agg(
+        F.min(F.struct(*ORDER, url, "source", *KEPT)).alias("n_head"), F.max(F.struct(*ORDER, url, "source", *LATEST)).alias("n_tail"),
+        *[pick(F.when(F.col(c).isNotNull(), F.struct(*ORDER, c))).alias(f"n_{c}") for c, pick in FOUND.items()],
+        F.min(F.when(F.col("_live"), spot)).alias("_first"), F.max(F.when(F.col("_live"), spot)).alias("_last"), F.count_if("_moved").alias("_moves"),
+    )
+    taker = F.when(F.col("_first").isNotNull(), rank)
+    outranked = F.coalesce(*[F.when(taker == n, F.min(F.when(taker > n, at)).over(Window.partitionBy("id"))) for n in LEVELS])
+    parts = parts.withColumn("_until", outranked).withColumn("_live", F.col("_first").isNotNull() & (F.col("_until").isNull() | (at <= F.col("_until"))))
+    last = F.lag("_last.url").over(Window.partitionBy("id", "source", "_live").orderBy("source_order", "_piece"))
+    parts = parts.withColumn("_moved", F.col("_live") & (F.col("_first.url") != last))
+    sources = parts.groupBy("id", "source").agg(
+        *[pick(c).alias(c) for c, pick in ends.items()], F.min(F.when(F.col("_live"), F.struct("source_order", "_first"))).alias("_first"),
+        F.max(F.when(F.col("_live"), F.struct("source_order", "_last"))).alias("_last"), (F.sum(F.when(F.col("_live"), F.col("_moves")).otherwise(0)) + F.count_if("_moved")).cast("int").alias("_moves"),
+    )
+    named = F.col("source").isNotNull()  # no source is never the same source
+    entry = F.when(F.col("_first").isNotNull(), F.struct(
+        "source", F.col("_first._first.url").alias("first_url"), F.when(named, F.col("_last._last.url")).otherwise(F.col("_first._first.url")).alias("last_url"),
+        F.when(named, F.col("_moves")).otherwise(0).alias("changes"),
+    ))
+    firsts = [F.min_by(entry, F.when(F.col("_first").isNotNull() & (rank == n), F.struct("_first", "source"))).alias(f"n_first_{n}") for n in LEVELS]
+    return sources.groupBy("id").agg(*[pick(c).alias(c) for c, pick in ends.items()], F.collect_list(entry).alias("n_sources"), *firsts)
+
+
+def prefer_url(seed: Column, held: Column) -> Column:
+    """Fold the columns of ``fold_batch`` into the seed (url, source, steps): which link a posting keeps.
 
     The same source replaces its link; another source only if it ranks higher; an empty
-    link never replaces one. ``steps`` counts changes.
+    link never replaces one, so a seed that is ``held`` bars lower ranks. ``steps`` counts changes.
     """
+    rank = source_rank(seed["source"])
+    own = F.get(F.filter("n_sources", lambda e: e["source"] == seed["source"]), F.lit(0))
+    entries = [F.when(held & (rank == n), own).when(~(held & (rank > n)), F.col(f"n_first_{n}")) for n in LEVELS]
 
-    def step(acc: Column, row: Column) -> Column:
-        empty = F.coalesce(acc["url"], F.lit("")) == ""
-        given = F.coalesce(row["url"], F.lit("")) != ""
-        take = empty | (given & ((row["source"] == acc["source"]) | (source_rank(row["source"]) > source_rank(acc["source"]))))
-        changed = take & given & (F.coalesce(row["url"], F.lit("")) != F.coalesce(acc["url"], F.lit("")))
-        return F.struct(
-            F.when(take, row["url"]).otherwise(acc["url"]).alias("url"),
-            F.when(take, row["source"]).otherwise(acc["source"]).alias("source"),
-            (acc["steps"] + changed.cast("int")).alias("steps"),
-        )
+    def step(acc: Column, e: Column) -> Column:
+        changed = e["first_url"] != F.coalesce(acc["url"], F.lit(""))
+        return F.struct(e["last_url"].alias("url"), e["source"].alias("source"), (acc["steps"] + e["changes"] + changed.cast("int")).alias("steps"))
 
-    return F.aggregate(rows, seed, step)
+    return F.aggregate(F.filter(F.array(*entries), lambda e: e.isNotNull()), seed, step)
 
 
 def upsert(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -86,26 +130,16 @@ def upsert(state: DataFrame, batch: DataFrame) -> DataFrame:
     ``prefer_url``), and fill an unknown posting time and source link; everything else
     stays, also the precision of a posting time filled later.
     """
-    order = F.struct(*ORDER)
-    latest, first = lambda c: F.max_by(c, order), lambda c: F.min_by(c, order)
-    given = lambda c, pick: pick(c, F.when(F.col(c).isNotNull(), order))
-    kept = ["company", "title", "term", "dedupe_key", "first_seen_at", "posted_precision", "company_norm", "title_norm", "location_norm"]
-    groups = batch.groupBy("id").agg(
-        *[first(c).alias(f"n_{c}") for c in kept], *[latest(c).alias(f"n_{c}") for c in ("last_seen_at", "location", "remote")],
-        given("source_id", F.max_by).alias("n_source_id"), given("source_url", F.min_by).alias("n_source_url"), given("posted_at", F.min_by).alias("n_posted_at"),
-        F.array_sort(F.collect_list(F.struct(*ORDER, F.col("apply_url").alias("url"), "source"))).alias("n_rows"),
-    )
-    both = state.join(groups, "id", "full_outer")
-    touched, new = F.col("n_rows").isNotNull(), F.col("status").isNull()
-    head = F.get("n_rows", F.lit(0))
-    seed = F.struct(
-        F.when(new, head["url"]).otherwise(F.col("apply_url")).alias("url"), F.when(new, head["source"]).otherwise(F.col("source")).alias("source"), F.lit(0).alias("steps")
-    )
-    rest = F.when(new, F.slice("n_rows", 2, F.greatest(F.size("n_rows") - 1, F.lit(1)))).otherwise(F.col("n_rows"))
-    both = both.withColumn("_link", F.when(touched, prefer_url(seed, rest)))
-    fill = lambda c: F.coalesce(c, f"n_{c}").alias(c)
-    refresh = lambda c: F.coalesce(f"n_{c}", c).alias(c)
-    values = {c: fill(c) for c in [*kept, "posted_at", "source_url"]} | {c: refresh(c) for c in ("last_seen_at", "location", "remote", "source_id")}
+    both = state.join(fold_batch(batch), "id", "full_outer")
+    touched, new = F.col("n_head").isNotNull(), F.col("status").isNull()
+    held = ~new & (F.coalesce("apply_url", F.lit("")) != "")
+    start = lambda c, n: F.when(held, F.col(c)).when(F.size("n_sources") == 0, F.col(f"n_tail.{n}")).when(new, F.col(f"n_head.{n}")).otherwise(F.col(c)).alias(n)
+    seed = F.struct(start("apply_url", "url"), start("source", "source"), F.lit(0).alias("steps"))
+    both = both.withColumn("_link", F.when(touched, prefer_url(seed, held)))
+    fill = lambda c, n: F.coalesce(c, f"{n}.{c}").alias(c)
+    refresh = lambda c, n: F.coalesce(f"{n}.{c}", c).alias(c)
+    values = {c: fill(c, "n_head") for c in KEPT} | {c: fill(c, f"n_{c}") for c in ("posted_at", "source_url")}
+    values |= {c: refresh(c, "n_tail") for c in LATEST} | {"source_id": refresh("source_id", "n_source_id")}
     values["apply_url"] = F.when(touched, F.col("_link.url")).otherwise(F.col("apply_url")).alias("apply_url")
     values["source"] = F.when(touched, F.col("_link.source")).otherwise(F.col("source")).alias("source")
     values["status"] = F.coalesce("status", F.lit("new")).alias("status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -71,6 +73,41 @@ def test_upsert_repeats_are_quiet(spark):
     assert again.where("is_new or url_upgrades > 0").count() == 0
 
 
+def folded(rows, start=None):
+    """The link rule, row by row: (url, source, steps)."""
+    rank = lambda s: {"ats": 100, "listings": 50, "swe": 50, "ai": 50}.get(s, 10)
+    rows = sorted((order, seq, url, source) for url, source, order, seq in rows)
+    url, source = start or rows.pop(0)[2:]
+    steps = 0
+    for _, _, u, s in rows:
+        if not url or (u and (s == source or rank(s) > rank(source))):
+            steps += bool(u) and u != url
+            url, source = u, s
+    return url, source, steps
+
+
+def test_link_fold_equals_row_by_row(spark):
+    draw = random.Random(7)
+    rows = [row(f"k{draw.choice([0, 0, 0, draw.randrange(60)])}", seq, source=draw.choice(["ats", "listings", "swe", "ai", "x", "y"][draw.choice([0, 1, 4]) :]), url=draw.choice(["", "", "u", "v", "w"]), order=draw.randrange(2))
+            for seq in draw.sample(range(40_000), 1500)]
+    early, late = rows[:700], rows[700:]
+    pick = lambda part, key: [(r[7], r[9], r[18], r[19]) for r in part if r[0] == key]
+    state = S.upsert(S.empty(spark, POSTING), spark.createDataFrame(early, BATCH))
+    first = {r.id: (r.apply_url, r.source, r.url_upgrades) for r in state.collect()}
+    assert first == {k: folded(pick(early, k)) for k in {r[0] for r in early}}
+    second = S.upsert(state.drop("is_new", "url_upgrades"), spark.createDataFrame(late, BATCH))
+    got = {r.id: (r.apply_url, r.source, r.url_upgrades) for r in second.collect()}
+    want = {k: folded(pick(late, k), first[k][:2] if k in first else None) if pick(late, k) else (*first[k][:2], 0) for k in {r[0] for r in rows}}
+    assert got == want
+
+
+def test_upsert_makes_no_array_of_rows(spark):
+    batch = spark.createDataFrame([row("a", i, source=["ats", "swe"][i % 2], url=f"u{i}") for i in range(3000)], BATCH)
+    plan = S.upsert(S.empty(spark, POSTING), batch)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"collect_(list|set)\([^)]*seq", plan)
+    assert [len(r.n_sources) for r in S.fold_batch(batch).collect()] == [1]
+
+
 def test_cutover_promotes_from_the_first_late_row_on(spark):
     old, new = T0, T0 + timedelta(days=30)
     batch = spark.createDataFrame([row("a", 1, posted=old), row("a", 2, posted=new), row("a", 3, posted=None), row("b", 4, posted=old), row("c", 5)], BATCH)
