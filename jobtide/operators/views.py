@@ -39,12 +39,38 @@ def ranking(mode: str) -> list[Column]:
     return [F.desc("score"), F.desc(day), F.asc("tier"), F.desc("id")]
 
 
+def numbered_within(df: DataFrame, group: Column, levels: list[list[tuple[Column, bool]]], last: Column, name: str) -> DataFrame:
+    """Running numbers from 1 within a group, in the order of all levels' (key, descending), then of ``last``.
+
+    Counts of ever smaller parts of a group tell how many rows come before a part; only the
+    rows of one smallest part are numbered in one task.
+    """
+    df = df.withColumn("_g", F.struct(group))
+    for i, level in enumerate(levels):
+        df = df.withColumn(f"_k{i}", F.struct(*[c.alias(f"f{j}") for j, (c, _) in enumerate(level)]))  # structs join where a field is null
+    keys = ["_g", *[f"_k{i}" for i in range(len(levels))]]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    base = counts.select("_g").distinct().withColumn("_b", F.lit(0).cast("long"))
+    for i, level in enumerate(levels):
+        upper, here = keys[: i + 1], keys[: i + 2]
+        order = [F.col(f"_k{i}.f{j}").desc() if down else F.col(f"_k{i}.f{j}").asc() for j, (_, down) in enumerate(level)]
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*upper).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = counts.groupBy(*here).agg(F.sum("_n").alias("_n")).withColumn("_in", before)
+        base = parts.join(base, upper).select(*here, (F.col("_b") + F.col("_in")).alias("_b"))
+    rows = df.join(base, keys)
+    return rows.withColumn(name, F.col("_b") + F.row_number().over(Window.partitionBy(*keys).orderBy(last))).drop(*keys, "_b")
+
+
 def rank_postings(postings: DataFrame, mode: str = "date", top: int | None = None) -> DataFrame:
-    """term_rank and place. With ``top`` only the best of each term stay, by a limit that each task applies first."""
+    """term_rank and place of all rows. With ``top`` only the best of each term stay, by a limit that each task applies first."""
     ranked = postings.withColumn("term_rank", term_rank())
+    if top is None:
+        day = (D.posted_day("posted_at", "first_seen_at", "posted_precision"), True)
+        tier, score, prefix = (F.col("tier"), False), (F.col("score"), True), [(F.substr("id", F.lit(1), F.lit(2)), True)]
+        levels = [[day], [tier, score], prefix] if mode == "date" else [[score], [day, tier], prefix]
+        return numbered_within(ranked, F.col("term_rank"), levels, F.desc("id"), "place")
     place = F.row_number().over(Window.partitionBy("term_rank").orderBy(*ranking(mode)))
-    ranked = ranked.withColumn("place", place)
-    return ranked if top is None else ranked.where(F.col("place") <= top)
+    return ranked.withColumn("place", place).where(F.col("place") <= top)
 
 
 def in_order(postings: DataFrame, mode: str = "date") -> DataFrame:

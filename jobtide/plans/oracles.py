@@ -186,6 +186,10 @@ def ranked(mode: str) -> str:
     return f"{P} SELECT term, place, id FROM (SELECT *, row_number() OVER (PARTITION BY {TERM_RANK} ORDER BY {RANK[mode]}) AS place FROM p WHERE {LIVE}) WHERE place <= 10"
 
 
+def ranked_all(mode: str) -> str:
+    return f"{P} SELECT term, row_number() OVER (PARTITION BY {TERM_RANK} ORDER BY {RANK[mode]}) AS place, id FROM p WHERE {LIVE}"
+
+
 def signals(now: str) -> str:
     """Rows (id, n, signal, points, words) of all postings ``p``."""
     term = case("term", R.TERM_POINTS, "10")
@@ -367,6 +371,8 @@ SELECT event_id, hour(lo) >= 22 OR hour(lo) < 6 AS quiet, hour(lo) >= 7 AND CAST
   timezone('UTC', timezone('{R.READER_ZONE}', date_trunc('day', lo) + CASE WHEN date_trunc('day', lo) + INTERVAL 7 HOUR >= lo THEN INTERVAL 7 HOUR ELSE INTERVAL 31 HOUR END)) AS next_digest FROM e""",
     "w07_rank_by_date": ranked("date"),
     "w07_rank_by_score": ranked("score"),
+    "w07_rank_all_by_date": ranked_all("date"),
+    "w07_rank_all_by_score": ranked_all("score"),
     "t01_recent": f"{P} SELECT id, first_seen_at FROM p WHERE status = 'new' AND tier = 2 ORDER BY first_seen_at DESC, id LIMIT 50",
     "t02_live_by_term": f"{P} SELECT id, term, tier, score FROM p WHERE {LIVE} AND term = 'new-grad'",
     "t03_fresh": f"{P} SELECT id, posted_precision <> 'instant' AS approximate FROM p WHERE {LIVE} AND {fresh(chr(39).join(['TIMESTAMP ', '2001-07-20 12:00:00', '']))}",

@@ -383,14 +383,26 @@ def f11_c08_quiet_and_digest(spark, sf):
 
 @query
 def w07_rank_by_date(spark, sf):
+    """A report of the ten best of each term; w07_rank_all_by_date ranks all."""
     return V.rank_postings(V.live(B.postings(spark, sf)), "date", 10).select("term", "place", "id")
 
 
 @query
 def w07_rank_by_score(spark, sf):
+    """A report of the ten best of each term; w07_rank_all_by_score ranks all."""
     return V.rank_postings(V.live(B.postings(spark, sf)), "score", 10).select("term", "place", "id")
 
 
+@query
+def w07_rank_all_by_date(spark, sf):
+    return V.rank_postings(V.live(B.postings(spark, sf)), "date").select("term", "place", "id")
+
+
+@query
+def w07_rank_all_by_score(spark, sf):
+    return V.rank_postings(V.live(B.postings(spark, sf)), "score").select("term", "place", "id")
+
+
 @query
 def t01_recent(spark, sf):
     return V.recent(B.postings(spark, sf), status="new", tier=2, limit=50).select("id", "first_seen_at")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from jobtide.operators import notify as N
 from jobtide.operators import scoring as C
 from jobtide.operators import state as S
+from jobtide.operators import views as V
 from jobtide.operators.gates import Profile, clearance, disqualifiers, with_gates
 from jobtide.schemas import BASELINE, POSTING, RAW_POSTING, SUPPRESSION
 
@@ -132,6 +133,19 @@ def test_sightings_expire_only_while_the_source_is_healthy(spark):
     assert [(r.missed_runs, r.first_missed_at, r.last_seen_run) for r in back.collect()] == [(0, None, "r2")]
 
 
+@pytest.mark.parametrize("mode", ["date", "score"])
+def test_every_live_posting_has_a_place(spark, mode):
+    rows = [(f"{i * 37 % 400:04x}", "new-grad" if i % 3 else "unknown", T0 + timedelta(days=i % 5), None, "unknown", None if i % 11 == 0 else 1 + i % 2, i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, term string, first_seen_at timestamp, posted_at timestamp, posted_precision string, tier int, score int")
+    out = V.rank_postings(df, mode)
+    assert not re.search(r"windowspecdefinition\(term_rank", out._jdf.queryExecution().optimizedPlan().toString())
+    day, tier = lambda r: -r[2].toordinal(), lambda r: r[5] or 0
+    key = {"date": lambda r: (day(r), tier(r), -r[6]), "score": lambda r: (-r[6], day(r), tier(r))}[mode]
+    best = sorted(sorted(rows, key=lambda r: r[0], reverse=True), key=key)
+    want = {r[0]: place for term in ("new-grad", "unknown") for place, r in enumerate([r for r in best if r[1] == term], 1)}
+    assert {r.id: r.place for r in out.collect()} == want
+
+
 def raw(spark, rows):
     base = {"source": "listings", "source_order": 0, "company": "C", "title": "Engineer", "location": "", "apply_url": "", "posted_precision": "unknown"}
     names = [c.split()[0] for c in RAW_POSTING.split(", ")]
