@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .. import rules as R
@@ -147,8 +148,10 @@ def needing_link_check(postings: DataFrame, limit: int | None = None) -> DataFra
 def host_waves(links: DataFrame, per_wave: int = 3) -> DataFrame:
     """links(id, url) -> (id, host_key, wave): at most ``per_wave`` of a domain in one wave."""
     rows = links.withColumn("host_key", L.host_key("url"))
-    number = F.row_number().over(Window.partitionBy("host_key").orderBy("id"))
-    return rows.withColumn("wave", F.ceil(number / per_wave).cast("int")).select("id", "host_key", "wave")
+    text = isinstance(links.schema["id"].dataType, StringType)
+    parts = [F.substr("id", F.lit(1), F.lit(n)) for n in (2, 4)] if text else [F.shiftright(F.col("id").cast("long"), n) for n in (24, 12)]
+    rows = numbered_within(rows, F.col("host_key"), [[(c, False)] for c in parts], F.asc("id"), "_number")
+    return rows.withColumn("wave", F.ceil(F.col("_number") / per_wave).cast("int")).select("id", "host_key", "wave")
 
 
 def decision_stats(postings: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:

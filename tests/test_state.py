@@ -146,6 +146,14 @@ def test_every_live_posting_has_a_place(spark, mode):
     assert {r.id: r.place for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_waves_of_a_hot_host_are_split(spark, kind):
+    links = spark.range(0, 30_000, 100).select(F.col("id") if kind == "long" else F.lpad(F.hex("id"), 6, "0").alias("id"), F.lit("https://a.example.org/x").alias("url"))
+    out = V.host_waves(links)
+    assert not re.search(r"row_number\(\) windowspecdefinition\(host_key", out._jdf.queryExecution().optimizedPlan().toString())
+    assert [r.wave for r in out.orderBy("id").collect()] == [i // 3 + 1 for i in range(300)]
+
+
 def raw(spark, rows):
     base = {"source": "listings", "source_order": 0, "company": "C", "title": "Engineer", "location": "", "apply_url": "", "posted_precision": "unknown"}
     names = [c.split()[0] for c in RAW_POSTING.split(", ")]
