@@ -8,15 +8,23 @@
 3. Candidates whose sizes allow the threshold are confirmed on the full shingle sets.
    Components follow from confirmed links.
 4. A star can miss a link between two members of which one failed against the centre.
-   Buckets that still hold several components are searched again: small ones pair
-   the members of different components; the members of large ones are gathered into
-   clusters and compared set against set in blocks of bounded size, skipping blocks of
-   one component and blocks whose set sizes rule out the threshold.
+   Buckets that still hold several components are searched again: small ones pair the
+   members of different components; in large ones the members outside the bucket's
+   largest component (its strays) are compared, set against set, with all members, in
+   blocks of bounded size. Before that, documents are left out of which fewer shingles
+   occur in another component than the threshold needs: no link of theirs is possible.
+   Links found are added to the components that there are.
+
+What is moved in step 4 grows with the members times the blocks of strays that are left
+(one block for up to BLOCK strays), not with pairs of members. Joins on hot keys (exact
+copies, buckets, centres, components) broadcast the part that belongs to hot keys, whose
+number is bounded, or salt it.
 
 Defined results: texts without words (or null) have an empty set and link with nothing;
 texts of fewer words than a shingle have one shingle, the whole sequence. Equal sets link.
 Rows that repeat an id count as one node with the links of all of them. A null id links
-with nothing and has a null component (its row counts as kept). Extra columns are ignored.
+with nothing and has a null component (its row counts as kept). Very long texts are whole
+sets. Extra columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,16 +38,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .minhash import SHINGLE, band_keys, shingle_sets, signatures, word_memo
-from .textkit import blocks, small_batches, text_bytes, written
+from .components import components, extended
+from .minhash import BANDS, SHINGLE, band_keys, shingle_sets, signatures, word_memo
+from .textkit import blocks, hot_rows, scratch, small_batches, spread_join, text_bytes, written
 
 #: Similarity in percent.
 THRESHOLD = 80
 #: Up to this many ids, the list of documents to confirm is broadcast (8 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 2_000_000
-#: Members of a bucket up to which its remaining pairs are listed; larger buckets go to blocks of BLOCK sets.
-SMALL_BUCKET, BLOCK = 48, 512
+#: Members of a bucket up to which its remaining pairs are listed; larger buckets go to blocks of BLOCK sets or BLOCK_ITEMS shingles.
+SMALL_BUCKET, BLOCK, BLOCK_ITEMS = 48, 512, 1 << 18
+#: Blocks that one copy of a stray is joined with.
+RUN = 256
 
 
 def shingle_table(docs: DataFrame, width: int, bands: bool) -> DataFrame:
@@ -74,12 +84,17 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
+    """The pairs (a, b; written) whose full sets reach the threshold. The set of a ``b`` with many pairs is copied, so that they spread."""
+    least = max(BLOCK, hot_rows(pairs.count()))
+    hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("copies"), F.count("*").alias("m")).where(F.col("m") >= least).drop("m")
+    hot = F.broadcast(written(hot, "hot"))
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y")).join(hot, "b", "left")
+    right = right.select("b", "y", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("copies")), F.lit(0)).cast("int").alias("salt"))
     shared = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+        dealt.join(left, "a").join(right, ["b", "salt"]).withColumn("shared", shared)
         .where(100 * F.col("shared") >= threshold * (F.size("x") + F.size("y") - F.col("shared")))
         .select("a", "b")
     )
@@ -89,108 +104,129 @@ def _sizes_allow(n: str, m: str, threshold: int):
     return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
 
-def _large_bucket_links(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links between components inside clusters of large buckets.
+def _linkable(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, n, items) of those ``members(id, component)`` of whose shingles enough occur in another component for any link."""
+    own = written(members.join(sets.select("id", "n", "items"), "id"), "own")
+    tokens = own.select("id", "n", "component", F.explode("items").alias("token"))
+    common = tokens.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m")).where("p < q").select("token", "m")
+    total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    able = spread_join(tokens, written(common, "common"), ["token"], total).groupBy("id", "n").count()
+    able = able.where(100 * F.col("count") >= threshold * F.col("n")).select("id")
+    return own.join(able, "id", "left_semi").select("id", "n", "items")
 
-    ``members(bucket, id, component)``. Buckets that share members form one cluster, so
-    that a pair is compared once and not once a band. Within a cluster documents are
-    dealt into blocks of about BLOCK by set size; each pair of blocks is one group.
+
+def _stray_work(rows: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
+    """The rows of all set comparisons inside large buckets; ``rows(bucket, id, component)`` are their members.
+
+    Buckets of one largest component form a pool, so that most pairs are compared once and
+    not once a band. In a pool the strays, in blocks, meet all members, in blocks; sizes
+    that are more than one class (a factor of 1 / threshold) apart rule a link out.
     """
-    stars = members.groupBy("bucket").agg(F.min("id").alias("b"))
-    cluster = components(members.join(stars, "bucket").select(F.col("id").alias("a"), "b"))
-    rows = cluster.withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
-    rows = rows.join(members.select("id", "component").distinct(), "id").join(sets.select("id", "n"), "id").distinct()
-    # blocks: by size class (a factor of 1/threshold each) and, within it, by hash
+    sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("often"))
+    main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("often", -F.col("component"))).alias("pool"), F.sum("often").alias("rows_here"))
+    pools = spread_join(rows.select("bucket", "id", "component"), main, ["bucket"], total, "rows_here").select("pool", "id", "component").distinct()
+    pools = written(pools, "pools")
+    able = written(_linkable(pools.select("id", "component").distinct(), sets, threshold), "able")
     step = float(np.log(100 / threshold))
-    rows = rows.withColumn("class", F.floor(F.log(F.col("n")) / step).cast("int"))
-    counts = rows.groupBy("cluster", "class").agg(F.count("*").alias("m"), F.count_distinct("component").alias("parts"))
-    rows = rows.join(counts.select("cluster", "class", F.ceil(F.col("m") / BLOCK).cast("int").alias("k")), ["cluster", "class"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    dealt = rows.select("cluster", "class", "block").distinct()
-    ahead = dealt.select("cluster", F.col("class").alias("class2"), F.col("block").alias("block2"))
-    tasks = dealt.join(ahead, "cluster").where(
-        "(class2 = class and block2 >= block) or class2 = class + 1"
-    )  # sizes two classes apart differ by more than the threshold allows
-    one = rows.join(tasks, ["cluster", "class", "block"]).withColumn("side", F.lit(0))
-    two = rows.join(
-        tasks.where("class2 <> class or block2 <> block").withColumnsRenamed({"class": "c", "block": "d"}).withColumnsRenamed({"class2": "class", "block2": "block"}),
-        ["cluster", "class", "block"],
-    ).withColumn("side", F.lit(1))
-    two = two.withColumnsRenamed({"class": "class2", "block": "block2"}).withColumnsRenamed({"c": "class", "d": "block"})
-    cols = ["cluster", "class", "block", "class2", "block2", "side", "id", "component"]
-    work = one.select(cols).union(two.select(cols)).join(sets.select("id", "items"), "id")
+    pools = pools.join(able, "id").withColumn("class", F.floor(F.log(F.col("n")) / step).cast("int"))
+    pools = written(pools.withColumn("stray", F.col("component") != F.col("pool")), "pools")
+    full = lambda own: F.ceil(F.greatest(F.count(own) / BLOCK, F.sum(F.when(own.isNotNull(), F.col("n"))) / BLOCK_ITEMS)).cast("int")
+    counts = pools.groupBy("pool", "class").agg(full(F.col("id")).alias("k"), full(F.when(F.col("stray"), F.col("id"))).alias("j"))
+    counts = written(counts, "counts")
+    number = lambda column, alias: F.explode(F.sequence(F.lit(0), F.col(column) - 1)).alias(alias)
+    tasks = counts.select("pool", F.col("class").alias("other"), number("k", "block")).join(
+        counts.where("j > 0").select("pool", "class", number("j", "part")), "pool"
+    )
+    tasks = written(tasks.where("abs(other - class) <= 1").withColumn("run", F.floor(F.col("block") / RUN).cast("int")), "tasks")
+
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    cols = ["pool", "class", "part", "other", "block", "side", "id", "component", "items"]
+    dealt = pools.join(counts, ["pool", "class"]).withColumn("block", deal("k")).withColumn("part", deal("j"))
+    every = dealt.drop("part").withColumnRenamed("class", "other").join(tasks, ["pool", "other", "block"]).withColumn("side", F.lit(0))
+    runs = tasks.groupBy("pool", "class", "part").agg((F.max("run") + 1).alias("runs"))
+    strays = dealt.where("stray").drop("block").join(runs, ["pool", "class", "part"])
+    strays = strays.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).join(tasks, ["pool", "class", "part", "run"]).withColumn("side", F.lit(1))
+    return every.select(cols).union(strays.select(cols))
+
+
+def _large_bucket_links(rows: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
+    """Links between components inside large buckets, found set against set."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, part, side = group["id"].to_numpy(), group["component"].to_numpy(), group["side"].to_numpy()
+        ids, component, side = group["id"].to_numpy(), group["component"].to_numpy(), group["side"].to_numpy()
         sizes = np.array([len(x) for x in group["items"]])
         vocabulary, number = np.unique(np.concatenate(list(group["items"])), return_inverse=True)
-        begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        within = not side.any()
+        begin = np.cumsum(sizes) - sizes
         mark, found = np.zeros(len(vocabulary), np.int32), []
-        values, often = np.unique(part, return_counts=True)
-        main = values[np.argmax(often)]
-        # every pair of different components has an end outside the largest one
-        for i in np.flatnonzero(part != main).tolist():
+        for i in np.flatnonzero(side == 1).tolist():
             own = number[begin[i] : begin[i] + sizes[i]]
             mark[own] = 1
             shared = np.add.reduceat(mark[number], begin)
             mark[own] = 0
-            ok = (100 * shared >= threshold * (sizes + sizes[i] - shared)) & (part != part[i])
-            if not within:
-                ok &= side != side[i]
-            found += [(ids[i], j) for j in ids[ok]]
+            ok = (100 * shared >= threshold * (sizes + sizes[i] - shared)) & (component != component[i]) & (side == 0)
+            # one link to each component is enough
+            hits = np.flatnonzero(ok)
+            found += [(ids[i], j) for j in ids[hits[np.unique(component[hits], return_index=True)[1]]]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return work.groupBy("cluster", "class", "block", "class2", "block2").applyInPandas(compare, "a long, b long")
+    work = _stray_work(rows, sets, threshold, total)
+    return work.groupBy("pool", "class", "part", "other", "block").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(id, n_shingles, component_id, kept), a row for each input row."""
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("body"))
-    with small_batches(docs.sparkSession):
-        marks = written(shingle_table(source, width, bands=True), "marks")
-    named = marks.where("n > 0 and id is not null")
-    classes = named.groupBy("hi", "lo").agg(F.min("id").alias("head"))
-    heads = written(
-        named.join(classes, ["hi", "lo"]).where("id = head").select("id", "n", "items", "hi", "lo").dropDuplicates(["id", "hi", "lo"]), "heads"
-    )
-    rows = heads.select("id", "n", F.explode("items").alias("bucket"))
-    # stars: the centre of a bucket is its smallest id; buckets of one member give nothing
-    stars = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    spread = written(rows.join(stars, "bucket").select("bucket", "id", "n", F.col("c.id").alias("b"), F.col("c.n").alias("k"), "m"), "spread")
-    pairs = spread.where("id <> b").where(_sizes_allow("n", "k", threshold)).select(F.col("id").alias("a"), "b").distinct()
-    wanted = spread.select("id").distinct()
-    with small_batches(docs.sparkSession):
-        sets = written(shingle_table(_only(source, wanted), width, bands=False).dropDuplicates(["id", "hi", "lo"]), "sets")
-    links = written(_confirmed(pairs, sets, threshold), "found")
-    parts = components(links)
-
-    # what a star may have missed: buckets with more than one component
+def _links_stars_missed(spread: DataFrame, pairs: DataFrame, parts: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
+    """Links between members of one bucket (spread) that are still in different components."""
     member = spread.select("bucket", "id", "n", "m").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = member.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p < q").select("bucket")
-    open_rows = written(member.join(split, "bucket"), "open")
+    member = written(member, "member")
+    split = member.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("m").alias("rows_here")).where("p < q")
+    open_rows = written(spread_join(member, split.select("bucket", "rows_here"), ["bucket"], total, "rows_here", "left_semi"), "open")
     small = open_rows.where(F.col("m") <= SMALL_BUCKET)
     other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("k"), F.col("component").alias("q"))
     again = (
         small.join(other, "bucket").where("id < b and component <> q").where(_sizes_allow("n", "k", threshold))
         .select(F.col("id").alias("a"), "b").distinct().join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
-    more = _confirmed(again, sets, threshold)
+    more = _confirmed(written(again, "again"), sets, threshold)
     large = open_rows.where(F.col("m") > SMALL_BUCKET).select("bucket", "id", "component")
     if not large.isEmpty():
-        more = more.union(_large_bucket_links(large, sets, threshold))
-    more = written(more, "more")
-    if not more.isEmpty():
-        parts = components(links.union(more))
-    # equal ids with different texts tie their classes together
-    key = F.struct("hi", "lo")
-    repeated = written(named.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select(F.col("id").alias("a")), "repeated")
-    if not repeated.isEmpty():
-        ties = named.join(classes, ["hi", "lo"]).select(F.col("id").alias("a"), F.col("head").alias("b"))
-        parts = components(links.union(more).union(ties.join(repeated, "a", "left_semi")))
-
-    final = classes.join(parts.withColumnRenamed("node", "head"), "head", "left").select("hi", "lo", F.coalesce("component", "head").alias("component"))
-    linked = marks.where("n > 0 and id is not null").join(final, ["hi", "lo"], "left").select("id", "n", "component")
+        more = more.union(_large_bucket_links(large, sets, threshold, total))
+    return written(more, "more")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(id, n_shingles, component_id, kept), a row for each input row."""
+    spark = docs.sparkSession
+    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("body"))
+    with scratch(spark) as kept:
+        with small_batches(spark):
+            marks = written(shingle_table(source, width, bands=True), "marks")
+        named = marks.where("n > 0 and id is not null")
+        total = named.count()
+        classes = written(named.groupBy("hi", "lo").agg(F.min("id").alias("head"), F.count("*").alias("m")), "classes")
+        heads = spread_join(named, classes, ["hi", "lo"], total).where("id = head").select("id", "n", "items", "hi", "lo").dropDuplicates(["id", "hi", "lo"])
+        heads = written(heads, "heads")
+        rows = heads.select("id", "n", F.explode("items").alias("bucket"))
+        in_bands = BANDS * heads.count()
+        # stars: the centre of a bucket is its smallest id; buckets of one member give nothing
+        stars = rows.groupBy("bucket").agg(F.min("id").alias("b"), F.min_by("n", "id").alias("k"), F.count("*").alias("m")).where("m > 1")
+        spread = written(spread_join(rows, written(stars, "stars"), ["bucket"], in_bands), "spread")
+        pairs = written(spread.where("id <> b").where(_sizes_allow("n", "k", threshold)).select(F.col("id").alias("a"), "b").distinct(), "pairs")
+        wanted = written(spread.select("id").distinct(), "wanted")
+        with small_batches(spark):
+            sets = written(shingle_table(_only(source, wanted), width, bands=False).dropDuplicates(["id", "hi", "lo"]), "sets")
+        parts = components(written(_confirmed(pairs, sets, threshold), "found"))
+        more = _links_stars_missed(spread, pairs, parts, sets, threshold, in_bands)
+        if not more.isEmpty():
+            parts = extended(parts, more)
+        # equal ids with different texts tie their classes together
+        key = F.struct("hi", "lo")
+        repeated = written(named.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select("id"), "repeated")
+        if not repeated.isEmpty():
+            ties = spread_join(named.join(repeated, "id", "left_semi"), classes, ["hi", "lo"], total)
+            parts = extended(parts, ties.select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+        final = classes.join(parts.withColumnRenamed("node", "head"), "head", "left").select("hi", "lo", "m", F.coalesce("component", "head").alias("component"))
+        final = written(final, "final")
+        kept += [marks, final]
+    linked = spread_join(named.select("id", "n", "hi", "lo"), final, ["hi", "lo"], total).select("id", "n", "component")
     alone = marks.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
     out = linked.union(alone)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))

@@ -6,9 +6,10 @@ memory of a Python worker follows the block and not the partition.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -69,15 +70,6 @@ def segment_ids(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
-def as_columns(df: DataFrame, **wanted: str) -> DataFrame:
-    """Project exactly the wanted columns (new name = column), whatever else the input has."""
-    return df.select(*[df[old].alias(new) for new, old in wanted.items()])
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, as the contracts ask (``lower`` would also touch other letters)."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,22 +80,110 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set one only where none is named (tests)."""
+    """The folder that driver and executors share. Where none is named, a local session takes one of its own; a cluster is an error."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or "/tmp/checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+#: Folders written inside the open ``scratch`` blocks, innermost last.
+_MADE: list[list[str]] = []
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
-    import uuid
-
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _MADE:
+        _MADE[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the folder behind a frame made by ``written`` once nothing reads it any more."""
+    _delete(df.sparkSession, df._folder)
+    for made in _MADE:
+        if df._folder in made:
+            made.remove(df._folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete every folder that ``written`` makes inside the block, but those of the frames put into the list it gives."""
+    kept: list[DataFrame] = []
+    _MADE.append([])
+    try:
+        yield kept
+    finally:
+        stay = [df._folder for df in kept]
+        for path in set(_MADE.pop()).difference(stay):
+            _delete(spark, path)
+        if _MADE:
+            _MADE[-1].extend(stay)
+
+
+#: A key with this many rows or more counts as hot; at most HOT_KEYS keys do, as their rows are then at least total / HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 256, 1_000_000
+
+
+def hot_rows(total: int) -> int:
+    """Rows from which a key is hot in a table of ``total`` rows, so that no more than HOT_KEYS keys can be."""
+    return max(HOT_ROWS, -(-total // HOT_KEYS))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, size: str = "m", how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has each key once and, in column ``size``, that key's rows in ``left``.
+
+    The rows of hot keys meet a broadcast part of ``right`` where they lie (its length has
+    the bound of ``hot_rows``); the others are joined by shuffle, in partitions that no
+    key can fill. ``total``: rows of ``left``. ``how``: inner, left or left_semi.
+    """
+    least = hot_rows(total)
+    hot, cold = F.broadcast(right.where(F.col(size) >= least)), right.where(F.col(size) < least)
+    there = left.join(hot, keys, "left_semi" if how == "left_semi" else "inner")
+    return there.unionByName(left.join(F.broadcast(right.where(F.col(size) >= least).select(*keys)), keys, "left_anti").join(cold, keys, how))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often lambdas inside refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join, zero: int, step: int = 256) -> Column:
+    """Running results of ``join`` (sum, greatest or least) over an array of longs, each element's own included.
+
+    Growing one array element by element copies it each time; here short runs are
+    grown and then shifted by the results of the runs before, so that an array of
+    100,000 costs about ``step`` copies an element and not half of its length.
+    """
+    start = F.array(F.lit(zero).cast("long"))
+
+    def grown(part: Column) -> Column:  # zero, then the running results
+        return F.aggregate(part, start, lambda acc, v: F.concat(acc, F.array(join(F.element_at(acc, -1), v))))
+
+    def chunks(whole: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.floor((F.size(whole) - 1) / step), F.lit(0)).cast("int"))
+        return F.transform(at, lambda i: grown(F.slice(whole, i * step + 1, step)))
+
+    def shifted(parts: Column) -> Column:
+        before = grown(F.transform(parts, lambda p: F.element_at(p, -1)))
+        return let(before, lambda b: F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(p, 2, step), lambda v: join(F.element_at(b, i + 1), v)))))
+
+    return let(values, lambda whole: let(chunks(whole), shifted))
 
 
 @contextmanager
@@ -116,12 +196,3 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the folder behind a frame made by ``written`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

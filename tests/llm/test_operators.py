@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from jobtide.llm import minhash as M
 from jobtide.llm import packing as K
@@ -312,6 +313,45 @@ def test_near_duplicates_equal_brute_force(spark, width, monkeypatch):
     assert got == brute_components(rows, width)
 
 
+def test_stray_comparisons_grow_with_the_members(spark, monkeypatch):
+    import jobtide.llm.neardup as N
+
+    monkeypatch.setattr(N, "BLOCK", 64)
+    rows_of = {}
+    for m in (1000, 4000):
+        # one bucket: m members of component 0 and ten strays, all with 40 shared shingles of 50
+        ids = spark.range(m + 10).withColumn("component", F.when(F.col("id") < m, F.lit(0)).otherwise(F.col("id")))
+        sets = ids.select("id", F.lit(50).cast("long").alias("n"), F.concat(F.sequence(F.lit(1), F.lit(42)), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.col("id") * 100 + i)).alias("items"))
+        rows = ids.select(F.lit(7).cast("long").alias("bucket"), "id", "component")
+        rows_of[m] = N._stray_work(rows, sets, 80, m + 10).count()
+        assert N._large_bucket_links(rows.where("id > 900"), sets, 80, m + 10).count() == 0
+    assert rows_of[4000] < 5 * rows_of[1000] and rows_of[1000] < 1000 * 1.5
+
+
+def test_components_of_paths_stars_and_nothing(spark):
+    from jobtide.llm.components import components, extended
+
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(600)] + [(7, None), (5, 5)]
+    parts = components(spark.createDataFrame(links, "a long, b long"))
+    want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(600)}
+    assert {r.node: r.component for r in parts.collect()} == want
+    more = extended(parts, spark.createDataFrame([(300, 900), (900, 30)], "a long, b long"))
+    assert {r.node: r.component for r in more.collect()} == dict.fromkeys(want, 0) | {900: 0}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_running_results_equal_a_loop(spark):
+    from itertools import accumulate
+
+    from jobtide.llm.textkit import running
+
+    values = [[], [5], list(range(300)), [int(x) for x in np.random.default_rng(1).integers(-9, 9, 1000)]]
+    df = spark.createDataFrame([(v,) for v in values], "v array<long>")
+    got = df.select("v", running(F.col("v"), lambda a, b: a + b, 0, 16).alias("s"), running(F.col("v"), F.greatest, -100, 16).alias("g")).collect()
+    for r in got:
+        assert r.s == list(accumulate(r.v)) and r.g == list(accumulate(r.v, max))
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "q r s t u"), (2, "a b c d e"), (None, "a b c d e"), (3, "q r s t u")]
     got = sorted(((r.doc_id or -1, r.component_id, r.kept) for r in near_duplicates(docs_of(spark, rows)).collect()), key=repr)
