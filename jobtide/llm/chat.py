@@ -11,7 +11,8 @@ becomes the Arrow string column without another copy.
 Defined results: null roles and texts count as empty. Turns are ordered by turn, role
 and text (nulls first), so repeated or tied turns have a fixed order. Rows with a null
 conversation id form one conversation. An empty table gives no rows. Extra columns are
-ignored.
+ignored, whatever their names. A conversation is one string, so one of more than 2 GiB is
+an error, never a part of itself.
 """
 
 from __future__ import annotations
@@ -126,7 +127,13 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
 
 
 def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0]
+    """The batches as one; large types, so that a conversation of more than 2 GiB is not cut into several."""
+    if len(parts) == 1:
+        return parts[0]
+    table = pa.Table.from_batches(parts)
+    wide = pa.schema([pa.field(f.name, pa.large_string() if pa.types.is_string(f.type) else f.type) for f in table.schema])
+    (one,) = table.cast(wide).combine_chunks().to_batches()
+    return one
 
 
 def unescaped(text: Column) -> Column:

@@ -6,13 +6,16 @@ the longest order of which any is known gives the mean log frequency. A text's s
 are the sums over its words; the language is the largest, the score its posterior.
 
 Training takes a documented sample of at most MAX_TRAIN_DOCS texts a language, chosen
-by a hash of the id; the tables keep the MAX_WORDS most frequent words and MAX_GRAMS
-grams over all languages, so the model that is sent to the tasks has a fixed bound.
-
-Defined results: null texts and texts without a letter are ``und`` with score 0; ties
-go to the first language in name order. With no training rows every text is ``und``.
-Repeated rows each give a row; a null id is carried (and never trained on). Extra
-columns are ignored.
+by a hash of the id; each language keeps its MAX_WORDS most frequent words and MAX_GRAMS
+grams (documented parameters; ties by the word), so the model that is sent to the tasks
+is bounded by the number of languages, and none can lose its words to another.
+
+Defined results: a letter is a character of Unicode category L, in training and in
+scoring. Null texts and texts without a letter are ``und`` with score 0; ties go to the
+first language in name order, which is also the answer for words of which no gram is
+known. With no training rows every text is ``und``. Repeated rows each give a row; a
+null id is carried (and never trained on). Very long texts are scored whole. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import blocks, segment_ids, text_bytes
 
 MAX_TRAIN_DOCS = 4000
-MAX_WORDS, MAX_GRAMS = 200_000, 200_000
+#: Words and grams that the model keeps of each language.
+MAX_WORDS, MAX_GRAMS = 50_000, 50_000
 ORDERS = (4, 3, 2, 1)
 MEMO_WORDS = 300_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+def _letter_runs() -> re.Pattern:
+    """Runs of letters: word characters but digits, ``_`` and the numeric signs (such as a superscript 2) that count as word characters too."""
+    signs = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{signs}]+")
+
+
+_LETTERS = _letter_runs()
 
 
 def training_rows(docs: DataFrame, id_col: str, lang_col: str, per_language: int = MAX_TRAIN_DOCS) -> DataFrame:
@@ -73,15 +83,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     words = rows.select(F.col(lang_col).alias("lang"), F.explode(_word_column(F.coalesce(text_col, F.lit("")))).alias("key"))
     words = words.groupBy("lang", "key").agg(F.count("*").alias("n"))
     marked = F.concat(F.lit("<"), F.col("key"), F.lit(">"))
-    grams = [_grams(words, marked, k) for k in ORDERS]
+    # the marks alone are no grams: single characters come from the word itself
+    grams = [_grams(words, marked if k > 1 else F.col("key"), k) for k in ORDERS]
     gram_counts = grams[0]
     for g in grams[1:]:
         gram_counts = gram_counts.unionByName(g)
     gram_counts = gram_counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     tables = []
-    for counts, most in ((words.where("n > 1"), MAX_WORDS), (gram_counts, MAX_GRAMS)):
-        tables.append(counts.select("lang", "key", "n").orderBy(F.desc("n"), "key", "lang").limit(most).toArrow())
-    names = sorted(set(tables[0].column("lang").to_pylist()) | set(tables[1].column("lang").to_pylist()))
+    for counts, most in ((words, MAX_WORDS), (gram_counts, MAX_GRAMS)):
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+        tables.append(counts.select("lang", "key", "n", place.alias("place")).where(F.col("place") <= most).drop("place").toArrow())
+    names = [r[0] for r in rows.select(lang_col).distinct().orderBy(lang_col).collect()]  # bounded by the languages
     return Model(names, *tables)
 
 
@@ -123,8 +135,9 @@ class Scorer:
         at = self.model.words.get(word)
         if at is not None:
             return self.model.word_rows[at]
-        marked, get = f"<{word}>", self.model.grams.get
+        get = self.model.grams.get
         for k in ORDERS:
+            marked = f"<{word}>" if k > 1 else word
             known = [g for g in map(get, (marked[i : i + k] for i in range(len(marked) - k + 1))) if g is not None]
             if known:
                 return self.model.gram_rows[known].mean(axis=0)

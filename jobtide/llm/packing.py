@@ -4,9 +4,11 @@ Each task keeps a level array: the number of its open windows at every fill leve
 A document goes to the level where it makes the sum of the squared counts smallest
 (a new window counts as level 0); ties go to the fullest window. Documents longer
 than a window are cut into full windows first. Windows leave memory as soon as they
-are full. At the end of a task, or when too many are open, the open windows are
-poured together: their pieces are cut to fill windows, and what is left at the very
-end is cut into power-of-two sequences, which need no padding.
+are full. At the end of a task, or when too many are open, the windows still open are
+topped up: the fullest ones stay as the level array filled them, and their gaps are
+closed with pieces cut from the emptiest. What is left at the very end is one window,
+which is cut into power-of-two sequences, so nothing is padded. ``Packer.placed`` and
+``Packer.moved`` count the ids that stay where they were placed and those that move.
 
 Texts are tokenised word by word through a memo of token bytes; white space splits
 words and no token of the vocabulary spans it, so this equals encoding whole texts.
@@ -24,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ from .textkit import blocks, text_bytes
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Open windows of a task (of at most WINDOW ids each) before they are poured together.
+#: Open windows of a task (of at most WINDOW ids each) before half of them are topped up.
 MAX_OPEN = 2048
 #: Token bytes in one output batch.
 OUT_BYTES = 4 << 20
@@ -146,7 +149,7 @@ class Packer:
         self.window, self.sequence = window, first_sequence
         self.level = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = {}
-        self.count = 0
+        self.count = self.placed = self.moved = 0
         self.out: list[tuple] = []
 
     def emit(self, pieces: list) -> None:
@@ -170,6 +173,7 @@ class Packer:
 
     def add(self, key, ids: bytes) -> None:
         total, start, width = len(ids) // 4, 0, 4 * self.window
+        self.placed += total
         while len(ids) - 4 * start >= width:
             self.emit([(key, start, ids[4 * start : 4 * start + width], total)])
             start += self.window
@@ -191,32 +195,53 @@ class Packer:
             self.level[at + size] += 1
             self.count += 1
             if self.count > MAX_OPEN:
-                self.pour(last=False)
-
-    def pour(self, last: bool) -> None:
-        """Cut the pieces of all open windows into full ones; the rest into powers of two, or back to one open window."""
-        loose = [p for at in sorted(self.open, reverse=True) for pieces in self.open[at] for p in pieces]
-        self.open, self.count = {}, 0
+                self.top_up(MAX_OPEN // 2)
+
+    def top_up(self, most: int) -> None:
+        """Close the gaps of the fullest windows with pieces of the emptiest, until at most ``most`` are open (0: none)."""
+        queue = deque((at, pieces) for at in sorted(self.open, reverse=True) for pieces in self.open[at])
+        while len(queue) > max(1, most):
+            at, pieces = queue.popleft()
+            gap = self.window - at
+            while gap and queue:
+                level, donor = queue.pop()
+                key, start, ids, total = donor.pop()
+                size = len(ids) // 4
+                take = min(gap, size)  # the tail of the donor's last piece
+                pieces.append((key, start + size - take, ids[4 * (size - take) :], total))
+                self.moved += take
+                gap -= take
+                if take < size:
+                    donor.append((key, start, ids[: 4 * (size - take)], total))
+                if level > take:
+                    queue.append((level - take, donor))
+            if gap:
+                queue.append((self.window - gap, pieces))
+            else:
+                self.emit(pieces)
+        if queue and not most:
+            self.split(*queue.pop())
+        self.open, self.count = {}, len(queue)
         self.level[:] = 0
-        left = sum(len(p[2]) for p in loose) // 4
-        widths = [self.window] * (left // self.window)
-        rest = left % self.window
-        if last:
-            widths += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        queue = iter(loose)
-        piece = next(queue, None)
-        for width in widths:
-            pieces, need = [], width
+        for at, pieces in queue:
+            self.open.setdefault(at, []).append(pieces)
+            self.level[at] += 1
+
+    def split(self, fill: int, pieces: list) -> None:
+        """Cut one window into sequences of power-of-two lengths, the longest first."""
+        waiting = deque(pieces)
+        self.moved += fill
+        for b in range(fill.bit_length() - 1, -1, -1):
+            out, need = [], fill & 1 << b
             while need:
-                key, start, ids, total = piece
+                key, start, ids, total = waiting.popleft()
                 take = min(need, len(ids) // 4)
-                pieces.append((key, start, ids[: 4 * take], total))
+                out.append((key, start, ids[: 4 * take], total))
                 need -= take
-                piece = (key, start + take, ids[4 * take :], total) if 4 * take < len(ids) else next(queue, None)
-            self.emit(pieces)
-        if not last and rest:
-            self.open[rest] = [[piece, *queue]]
-            self.level[rest] = self.count = 1
+                if 4 * take < len(ids):
+                    waiting.appendleft((key, start + take, ids[4 * take :], total))
+            if out:
+                self.emit(out)
 
     def batch(self) -> pa.RecordBatch:
         columns = list(zip(*self.out, strict=True)) if self.out else [[]] * 7
@@ -240,7 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 if waiting > OUT_BYTES:
                     waiting = 0
                     yield packer.batch()
-        packer.pour(last=True)
+        packer.top_up(0)
         yield packer.batch()
 
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("body"))

@@ -10,9 +10,9 @@ The k-th largest key is found by counting, not by sorting: each round counts the
 in a histogram of the interval that holds it, until the interval is small.
 
 Defined results: texts without words have weight 0. Rows with equal keys (repeated rows
-of one id and text) are kept or dropped together. A null id has noise of its own and is
-carried. An empty table gives no rows; an empty target gives every text weight 0. Extra
-columns are ignored.
+of one id and text) are kept or dropped together. The noise of a row without an id is a
+hash of its text. An empty table gives no rows; an empty target gives every text weight
+0. Very long texts count whole. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ KEEP = 0.85
 SEED = 20240101
 #: Up to this many target ids are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-HISTOGRAM, SMALL, MAX_ROUNDS = 1024, 4096, 40
+#: Each round narrows the interval by up to HISTOGRAM, so MAX_ROUNDS is a stop against a fault.
+HISTOGRAM, SMALL, MAX_ROUNDS = 1024, 4096, 200
 
 
 def _memo() -> Memo:
@@ -99,7 +100,7 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
         if n <= SMALL:
             rest = df.where(F.col(column).between(low, high)).orderBy(F.desc(column)).limit(k - above).agg(F.min(column))
             return rest.first()[0]
-    return low
+    raise RuntimeError(f"the k-th key is not found after {MAX_ROUNDS} rounds")
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, seed: int = SEED) -> DataFrame:
@@ -114,10 +115,12 @@ def resample(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", tex
         for block in blocks(batches, "body"):
             texts = text_bytes(block.column("body"))
             bucket, row = ngram_buckets(texts, memo)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.bincount(row, weights=ratios[bucket], minlength=len(texts)))], ["id", "log_weight"])
+            weights = pa.array(np.bincount(row, weights=ratios[bucket], minlength=len(texts)))
+            yield pa.RecordBatch.from_arrays([block.column("id"), weights, block.column("draw")], ["id", "log_weight", "draw"])
 
-    scored = source.mapInArrow(run, "id long, log_weight double")
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce("id", F.lit(-1))), 11).cast("double") + 0.5) / float(1 << 53)
+    draw = F.when(F.col("id").isNull(), F.xxhash64(F.lit(seed), F.lit("text"), "body")).otherwise(F.xxhash64(F.lit(seed), "id"))
+    scored = source.withColumn("draw", draw).mapInArrow(run, "id long, log_weight double, draw long")
+    uniform = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
     scored = written(scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "weights")
     k = int(np.ceil(keep * scored.count()))
     cut = kth_largest(scored, "gumbel_key", k) if k else None
