@@ -9,13 +9,17 @@ window is looked up by 128 bits of hash over its 64-bit word hashes, and the wor
 inside matched windows are counted. Items shorter than a window have no such guarantee and
 are looked up by their whole length in every document.
 
-The benchmark side is broadcast while it has at most BROADCAST_ROWS fingerprints (16
-bytes each); beyond, both joins shuffle, on distinct (document, fingerprint) rows.
+All item widths below a window share one pass over the documents. The benchmark side is
+broadcast while it has at most BROADCAST_ROWS fingerprints or windows (8 to 20 bytes
+each, and the item's id); beyond, the joins shuffle.
 
 Defined results: null and empty texts have no words and no hits; an item without words
 has no window. Rows that repeat an id and a text share their result; rows that repeat
 an id with other texts are kept apart. A null id is carried. With an empty benchmark
-nothing is contaminated. Repeated item ids count once. Extra columns are ignored.
+nothing is contaminated. Repeated item ids count once; a null item id is the empty
+string. Very long texts are read whole: a document's places are one row each, and only its
+spans and items (as many as the answer itself names) come together. Extra columns are
+ignored, or carried whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,44 +65,62 @@ def _hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
 
 
-def _windows(df: DataFrame, width: int, keep: list[str]) -> DataFrame:
-    """One row per window of ``width`` words: kept columns, position and two hashes of its word hashes (128 bits)."""
-    whole = F.size("h") - (width - 1)
-    here = lambda i: [F.get(F.col("h"), i + (k - 1)) for k in range(width)]
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(whole, F.lit(1))),
-        lambda i: F.struct(F.xxhash64(*here(i)).alias("x"), F.xxhash64(F.lit(width), *here(i)).alias("y")),
-    )
+def _windows(df: DataFrame, widths: list[int], keep: list[str]) -> DataFrame:
+    """One row per window of each of the widths, in one pass: kept columns, position, width and two hashes of its word hashes (128 bits)."""
+
+    def grams(width: int) -> Column:
+        whole = F.size("h") - (width - 1)
+        here = lambda i: [F.get(F.col("h"), i + (k - 1)) for k in range(width)]
+        found = F.transform(
+            F.sequence(F.lit(1), F.greatest(whole, F.lit(1))),
+            lambda i: F.struct((i - 1).alias("pos"), F.lit(width).alias("width"), F.xxhash64(*here(i)).alias("x"), F.xxhash64(F.lit(width), *here(i)).alias("y")),
+        )
+        return F.when(whole > 0, found).otherwise(F.array().cast("array<struct<pos:int,width:int,x:bigint,y:bigint>>"))
+
     # the outer form: for the plain one the optimiser adds a filter that would evaluate the arrays again inside each lambda
-    rows = df.withColumn("g", F.when(whole > 0, grams)).select(*keep, F.posexplode_outer("g").alias("pos", "g"))
-    return rows.where("pos is not null").select(*keep, "pos", "g.x", "g.y")
+    every = [grams(w) for w in widths]
+    rows = df.withColumn("g", F.concat(*every) if len(every) > 1 else every[0]).select(*keep, F.explode_outer("g").alias("g"))
+    return rows.where("g is not null").select(*keep, "g.pos", "g.width", "g.x", "g.y")
+
+
+def _empty(df: DataFrame, *fields: str) -> DataFrame:
+    """A table of these columns without rows, as a plan."""
+    return df.sparkSession.range(0).select(*[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in fields])
 
 
 def _sized(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs(key, w) x items(item, w) -> (key, pos, width, item): every occurrence of a window of an item."""
+def matches(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs(key, w) x items(item, w): every place (key, pos, width, x, y) of a document where a window of any item occurs, and the
+    items' windows (item, width, x, y).
+
+    Places meet the distinct windows, so a window that many items share is one row a place.
+    """
     items = items.where(F.size("w") > 0).transform(_hashed).withColumn("width", F.least(F.size("w"), F.lit(WINDOW)))
     items = written(items, "items")
-    lengths = [r["width"] for r in items.select("width").distinct().orderBy("width").collect()]  # at most WINDOW values
-    found = None
-    for width in lengths:
-        own = _windows(items.where(F.col("width") == width), width, ["item"]).select("item", "x", "y").distinct()
-        small = own.count() <= BROADCAST_ROWS
-        part = docs
-        if width == WINDOW:
-            prints = items.where(F.col("width") == width).withColumn("g", gram_hashes("h", GRAM))
-            prints = prints.select(F.explode(fingerprints("g")).alias("print")).distinct()
-            few = prints.count() <= BROADCAST_ROWS
-            rows = docs.transform(_hashed).withColumn("g", gram_hashes("h", GRAM)).select("key", F.explode_outer(fingerprints("g")).alias("print"))
-            hits = written(rows.join(_sized(prints, few), "print", "left_semi").select("key").distinct(), "hits")
-            part = docs.join(_sized(hits, hits.count() <= BROADCAST_ROWS), "key", "left_semi")
-        rows = _windows(part.transform(_hashed), width, ["key"])
-        real = rows.join(_sized(own, small), ["x", "y"]).select("key", "pos", F.lit(width).alias("width"), "item")
-        found = real if found is None else found.union(real)
-    return found if found is not None else docs.sparkSession.createDataFrame([], "key binary, pos int, width int, item string")
+    widths = [r["width"] for r in items.select("width").distinct().orderBy("width").collect()]  # at most WINDOW values
+    own = _empty(docs, "item string", "width int", "x bigint", "y bigint")
+    for width in widths:
+        own = own.union(_windows(items.where(F.col("width") == width), [width], ["item"]).select("item", "width", "x", "y"))
+    own = written(own.distinct(), "windows")
+    distinct = written(own.select("width", "x", "y").distinct(), "distinct")
+    wanted = _sized(distinct, distinct.count() <= BROADCAST_ROWS)
+    found = _empty(docs, "key binary", "pos int", "width int", "x bigint", "y bigint")
+    short = [w for w in widths if w < WINDOW]
+    if short:
+        found = found.union(_windows(docs.transform(_hashed), short, ["key"]))
+    if WINDOW in widths:
+        prints = items.where(F.col("width") == WINDOW).withColumn("g", gram_hashes("h", GRAM))
+        prints = prints.select(F.explode(fingerprints("g")).alias("print")).distinct()
+        few = prints.count() <= BROADCAST_ROWS
+        rows = docs.transform(_hashed).withColumn("g", gram_hashes("h", GRAM)).select("key", F.explode_outer(fingerprints("g")).alias("print"))
+        hits = written(rows.join(_sized(prints, few), "print", "left_semi").select("key").distinct(), "hits")
+        part = docs.join(_sized(hits, hits.count() <= BROADCAST_ROWS), "key", "left_semi")
+        found = found.union(_windows(part.transform(_hashed), [WINDOW], ["key"]))
+    found = written(found.join(wanted, ["width", "x", "y"], "left_semi").select("key", "pos", "width", "x", "y"), "places")
+    return found, own
 
 
 def covered(spans: str) -> Column:
@@ -125,13 +147,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     keyed = docs.select(key.alias("key"), words(body).alias("w"))
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), words(benchmark[item_text].cast("string")).alias("w"))
     items = items.withColumn("item", F.coalesce("item", F.lit("")))
-    found = matches(keyed, items)
-    per = found.groupBy("key").agg(
-        F.collect_set(F.struct("pos", "width")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")
-    )
-    per = per.select(
-        "key", covered("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    )
+    found, own = matches(keyed, items)
+    spans = found.groupBy("key").agg(F.collect_set(F.struct("pos", "width")).alias("spans")).select("key", covered("spans").alias("n_hit"))
+    # a document's list of items follows from its distinct windows; a window of many items is looked up once a document
+    in_docs = found.select("key", "width", "x", "y").distinct()
+    named = in_docs.join(_sized(own, own.count() <= BROADCAST_ROWS), ["width", "x", "y"]).select("key", "item").distinct()
+    named = named.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    named = named.select("key", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    per = spans.join(named, "key")
     per = written(per, "contaminated")
     mine = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else [docs[id_col].alias("id")]
     out = docs.select(key.alias("key"), *mine, F.size(words(body)).cast("long").alias("n_words"))

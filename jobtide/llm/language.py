@@ -110,45 +110,58 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.width = len(model.languages)
+        #: Words first, then grams.
+        self.table = np.concatenate([model.word_rows, model.gram_rows]).astype(np.float32)
         self.clear()
 
     def clear(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.rows = np.zeros((1 << 12, self.width), np.float32)
-        self.used = 1
-
-    def __getitem__(self, token: bytes) -> int:
-        at = self.memo.get(token)
-        if at is None:
-            words = _LETTERS.findall(token.decode().lower())
-            at = self.memo[token] = self.add(sum(map(self.word, words))) if words else 0
-        return at
-
-    def add(self, row: np.ndarray) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.used] = row
-        self.used += 1
-        return self.used - 1
-
-    def word(self, word: str) -> np.ndarray:
+        self.rows = np.zeros((1, self.width), np.float32)
+
+    def parts(self, word: str) -> list[int]:
+        """The table rows whose mean is the word's score: its own, or those of its known grams of the longest order that has any."""
         at = self.model.words.get(word)
         if at is not None:
-            return self.model.word_rows[at]
-        get = self.model.grams.get
+            return [at]
+        get, first = self.model.grams.get, len(self.model.word_rows)
         for k in ORDERS:
             marked = f"<{word}>" if k > 1 else word
-            known = [g for g in map(get, (marked[i : i + k] for i in range(len(marked) - k + 1))) if g is not None]
+            known = [first + g for g in map(get, [marked[i : i + k] for i in range(len(marked) - k + 1)]) if g is not None]
             if known:
-                return self.model.gram_rows[known].mean(axis=0)
-        return np.zeros(self.width, np.float32)
+                return known
+        return []
+
+    def learn(self, tokens: list[bytes]) -> None:
+        """Add the score rows of new tokens: sums over their words."""
+        used, sizes, owners, named = [], [], [], 0
+        for token in tokens:
+            text = token.decode().lower()
+            words = [text] if text.isalpha() else _LETTERS.findall(text)
+            if not words:
+                self.memo[token] = 0
+                continue
+            self.memo[token] = len(self.rows) + named
+            for word in words:
+                own = self.parts(word)
+                if own:
+                    used += own
+                    sizes.append(len(own))
+                    owners.append(named)
+            named += 1
+        fresh = np.zeros((named, self.width), np.float32)
+        if sizes:
+            count = np.array(sizes)
+            means = np.add.reduceat(self.table[used], np.cumsum(count) - count, axis=0) / count[:, None].astype(np.float32)
+            np.add.at(fresh, owners, means)
+        self.rows = np.concatenate([self.rows, fresh])
 
     def __call__(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         if len(self.memo) > MEMO_WORDS:
             self.clear()
         lists = [t.split() for t in texts]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        at = np.fromiter((i for ws in lists for i in map(self.__getitem__, ws)), np.int64, int(counts.sum()))
+        self.learn(list(set().union(*lists).difference(self.memo)))
+        at = np.fromiter((i for ws in lists for i in map(self.memo.__getitem__, ws)), np.int64, int(counts.sum()))
         row = segment_ids(counts)
         some = np.bincount(row[at > 0], minlength=len(texts)) > 0
         total = np.stack([np.bincount(row, weights=self.rows[at, j], minlength=len(texts)) for j in range(self.width)], axis=1) if self.width else np.zeros((len(texts), 1))

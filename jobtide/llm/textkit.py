@@ -163,7 +163,7 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def running(values: Column, join, zero: int, step: int = 256) -> Column:
+def running(values: Column, join, zero: int, step: int = 64) -> Column:
     """Running results of ``join`` (sum, greatest or least) over an array of longs, each element's own included.
 
     Growing one array element by element copies it each time; here short runs are

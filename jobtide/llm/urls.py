@@ -1,17 +1,22 @@
 """URL filters: host-suffix and path-prefix expressions joined with rules on short hash prefixes.
 
 Every URL becomes the expressions ``host suffix`` + ``path prefix`` (suffixes at label
-bounds, prefixes up to each slash); every rule is one such expression. Both sides are
-hashed (SHA-256); the join is on the first PREFIX hex digits and the full digests are
-compared after it. Among the rules that fit, the longest wins.
+bounds, prefixes up to each slash); every rule is one such expression. Suffixes of more
+labels, or prefixes of more segments, than any rule has cannot match and are not made, so
+the work for a URL is linear in its length. Both sides are hashed (SHA-256); the join is
+on the first PREFIX hex digits and the full digests are compared after it. Among the
+rules that fit, the longest wins; of entries with one expression, the rule, then the
+greater verdict.
 
 Rules are broadcast while there are at most BROADCAST_RULES of them. A larger list is
 first reduced to the rules that occur at all, by a join with the distinct prefixes of
 all expressions (so a hot host or suffix counts once per task), and then broadcast or,
-if still large, joined by shuffle with adaptive splitting.
+if still large, joined by shuffle with adaptive splitting. URLs are judged once each;
+the rows of a URL that many pages have meet its verdict where they lie.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits
-no rule; repeated rows each give a row; a null id is carried; extra columns are ignored.
+no rule; repeated rows each give a row; a null id is carried; extra columns are ignored,
+whatever their names; an empty table gives no rows; with no rules all is allowed.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import ascii_lower
+from .textkit import ascii_lower, let, spread_join, written
 
 PREFIX = 8
 BROADCAST_RULES = 200_000
@@ -32,8 +37,10 @@ RULES = [
     ("net/es/", "block"),
     ("net/fr/", "block"),
 ]
-#: Hosts that the method blocks where no rule fits.
-LISTED = ["adult-x.example.net/", "adult-x.example.org/", "cheap-pills.example.net/", "cheap-pills.example.org/", "free-bets.example.net/", "free-bets.example.org/"]
+#: The method's own list, for URLs that no rule fits: the junk host families that the pages table shows (by reading it), under
+#: each ending. A caller passes any other list as rows of kind ``list``.
+FAMILIES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED = [f"{family}.example.{ending}/" for family in FAMILIES for ending in ("com", "net", "org")]
 
 
 def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -45,19 +52,25 @@ def url_parts(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumn("path", path).withColumn("host", ascii_lower(F.col("_host"))).drop("_rest", "_host")
 
 
-def expressions(host: str = "host", path: str = "path"):
-    """All host-suffix and path-prefix expressions of a URL, as an array column."""
-    labels, parts = F.split(host, r"\."), F.split(path, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.when(
-        F.size(parts) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+def expressions(labels: int, segments: int, host: str = "host", path: str = "path"):
+    """The host-suffix and path-prefix expressions of a URL of at most so many labels and path segments, as an array column."""
+    names, parts = F.split(host, r"\."), F.split(path, "/", segments + 2)
+
+    def joined(n, p):
+        suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(n), F.lit(labels))), lambda i: F.array_join(F.slice(n, -i, i), "."))
+        depth = F.least(F.size(p) - 1, F.lit(segments + 1))
+        prefixes = F.when(
+            depth > 0, F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(p, 1, i), "/"), F.lit("/")))
+        ).otherwise(F.array().cast("array<string>"))
+        return let(prefixes, lambda q: F.flatten(F.transform(suffixes, lambda s: F.transform(q, lambda x: F.concat(s, x)))))
+
+    return let(names, lambda n: let(parts, lambda p: joined(n, p)))
 
 
 def rule_table(spark, rules: list[tuple[str, str]], kind: str) -> DataFrame:
-    return spark.createDataFrame([(r, v, kind) for r, v in rules], "rule string, verdict string, kind string")
+    """A short list of (expression, verdict) as rules; long lists come as tables of their own."""
+    rows = [F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(kind).alias("kind")) for r, v in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -66,13 +79,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     ``rules(rule, verdict, kind)``; a rule is a host, then a path that ends in ``/``.
     """
     source = url_parts(pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url")))
-    distinct = source.select("host", "path").distinct()
-    exprs = distinct.withColumn("expr", F.explode(F.array_distinct(expressions())))
+    urls = source.groupBy("host", "path").agg(F.count("*").alias("m"))
+    rule_host, rule_path = F.substring_index("rule", "/", 1), F.expr("substr(rule, instr(rule, '/'))")
+    most = rules.agg(F.max(F.size(F.split(rule_host, r"\."))), F.max(F.size(F.split(rule_path, "/")) - 2), F.count("*")).first()
+    exprs = urls.select("host", "path", F.explode(expressions(most[0] or 1, most[1] or 0)).alias("expr"))
     exprs = exprs.withColumn("digest", F.sha2("expr", 256)).withColumn("short", F.substring("digest", 1, PREFIX)).drop("expr")
     listed = rules.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, PREFIX))
-    small = listed.count() <= BROADCAST_RULES
+    small = most[2] <= BROADCAST_RULES
     if not small:
-        listed = listed.join(exprs.select("short").distinct(), "short", "left_semi")
+        listed = written(listed.join(exprs.select("short").distinct(), "short", "left_semi"), "rules")
         small = listed.count() <= BROADCAST_RULES
     listed = listed.withColumnRenamed("digest", "full")
     hits = exprs.join(F.broadcast(listed) if small else listed, "short").where("digest = full")
@@ -80,9 +95,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         F.max(F.struct(F.col("kind") == "rule", F.length("rule"), "rule", "verdict")).alias("best")
     )
     best = best.select("host", "path", F.when(F.col("best.col1"), F.col("best.rule")).alias("rule"), F.col("best.verdict").alias("verdict"))
-    return source.join(best, ["host", "path"], "left").select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")
-    )
+    judged = written(urls.join(best, ["host", "path"], "left"), "judged")
+    total = judged.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    return spread_join(source, judged, ["host", "path"], total).select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -104,9 +119,7 @@ WITH parts AS (
 ), rules(rule_host, rule_path, verdict, kind) AS (VALUES
   ('com', '/', 'allow', 1), ('example.com', '/en/', 'block', 1), ('www.example.com', '/en/', 'allow', 1),
   ('net', '/es/', 'block', 1), ('net', '/fr/', 'block', 1),
-  ('adult-x.example.net', '/', 'block', 0), ('adult-x.example.org', '/', 'block', 0),
-  ('cheap-pills.example.net', '/', 'block', 0), ('cheap-pills.example.org', '/', 'block', 0),
-  ('free-bets.example.net', '/', 'block', 0), ('free-bets.example.org', '/', 'block', 0)
+  @LISTED@
 ), best AS (
   SELECT u.page_id, u.host, u.path, r.rule_host || r.rule_path AS rule, r.verdict, r.kind,
     row_number() OVER (PARTITION BY u.page_id, u.host, u.path ORDER BY r.kind DESC NULLS LAST, length(r.rule_host || r.rule_path) DESC) AS rn
@@ -115,4 +128,4 @@ WITH parts AS (
 )
 SELECT page_id, host, path, CASE WHEN kind = 1 THEN rule END AS rule, coalesce(verdict, 'allow') AS verdict
 FROM best WHERE rn = 1
-"""
+""".replace("@LISTED@", ", ".join(f"('{x[:-1]}', '/', 'block', 0)" for x in LISTED))
