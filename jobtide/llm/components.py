@@ -48,7 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def extended(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """``parts(node, component)`` with ``links(a, b)`` added: only the components that the links touch are worked on again."""
+    """``parts(node, component)`` with ``links(a, b)`` (written) added: only the components that the links touch are worked on again."""
+    if links.isEmpty():
+        return parts
     for end in ("a", "b"):
         of = parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         links = links.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))

@@ -10,13 +10,15 @@
 4. A star can miss a link between two members of which one failed against the centre.
    Buckets that still hold several components are searched again: small ones pair the
    members of different components; in large ones the members outside the bucket's
-   largest component (its strays) are compared, set against set, with all members, in
-   blocks of bounded size. Before that, documents are left out of which fewer shingles
-   occur in another component than the threshold needs: no link of theirs is possible.
-   Links found are added to the components that there are.
+   largest component (its strays) are compared, set against set in blocks of bounded size,
+   first with its members and then, as far as they are still apart, with each other. Left
+   out of the latter are strays of which fewer shingles occur in another stray component
+   than the threshold needs: no link of theirs is possible. Links found are added to the
+   components that there are.
 
 What is moved in step 4 grows with the members times the blocks of strays that are left
-(one block for up to BLOCK strays), not with pairs of members. Joins on hot keys (exact
+(one block for up to BLOCK strays), not with pairs of members; only strays that are not
+taken in and share most of their shingles with others are quadratic, in blocks. Joins on hot keys (exact
 copies, buckets, centres, components) broadcast the part that belongs to hot keys, whose
 number is bounded, or salt it.
 
@@ -48,6 +50,10 @@ THRESHOLD = 80
 BROADCAST_IDS = 2_000_000
 #: Members of a bucket up to which its remaining pairs are listed; larger buckets go to blocks of BLOCK sets or BLOCK_ITEMS shingles.
 SMALL_BUCKET, BLOCK, BLOCK_ITEMS = 48, 512, 1 << 18
+#: Blocks of strays of one pool from which strays are sifted by shingle counts before they meet each other. The sifting moves every
+#: shingle of a stray twice as a row, which costs about as much as this many copies of its set. Such pools number at most a
+#: 4096th of the strays.
+FILTER_BLOCKS = 8
 #: Blocks that one copy of a stray is joined with.
 RUN = 256
 
@@ -105,52 +111,68 @@ def _sizes_allow(n: str, m: str, threshold: int):
 
 
 def _linkable(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(id, n, items) of those ``members(id, component)`` of whose shingles enough occur in another component for any link."""
+    """(id) of those ``members(id, component)`` of whose shingles enough occur in another of their components for any link between them."""
     own = written(members.join(sets.select("id", "n", "items"), "id"), "own")
     tokens = own.select("id", "n", "component", F.explode("items").alias("token"))
     common = tokens.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m")).where("p < q").select("token", "m")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     able = spread_join(tokens, written(common, "common"), ["token"], total).groupBy("id", "n").count()
-    able = able.where(100 * F.col("count") >= threshold * F.col("n")).select("id")
-    return own.join(able, "id", "left_semi").select("id", "n", "items")
+    return able.where(100 * F.col("count") >= threshold * F.col("n")).select("id").distinct()
 
 
-def _stray_work(rows: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
-    """The rows of all set comparisons inside large buckets; ``rows(bucket, id, component)`` are their members.
+def _pools(rows: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
+    """(pool, id, component, n, items, class, stray) of the members of large buckets, ``rows(bucket, id, component)``.
 
     Buckets of one largest component form a pool, so that most pairs are compared once and
-    not once a band. In a pool the strays, in blocks, meet all members, in blocks; sizes
-    that are more than one class (a factor of 1 / threshold) apart rule a link out.
+    not once a band. A pool's strays are its members outside that component.
     """
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("often"))
     main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("often", -F.col("component"))).alias("pool"), F.sum("often").alias("rows_here"))
     pools = spread_join(rows.select("bucket", "id", "component"), main, ["bucket"], total, "rows_here").select("pool", "id", "component").distinct()
-    pools = written(pools, "pools")
-    able = written(_linkable(pools.select("id", "component").distinct(), sets, threshold), "able")
     step = float(np.log(100 / threshold))
-    pools = pools.join(able, "id").withColumn("class", F.floor(F.log(F.col("n")) / step).cast("int"))
-    pools = written(pools.withColumn("stray", F.col("component") != F.col("pool")), "pools")
-    full = lambda own: F.ceil(F.greatest(F.count(own) / BLOCK, F.sum(F.when(own.isNotNull(), F.col("n"))) / BLOCK_ITEMS)).cast("int")
-    counts = pools.groupBy("pool", "class").agg(full(F.col("id")).alias("k"), full(F.when(F.col("stray"), F.col("id"))).alias("j"))
-    counts = written(counts, "counts")
+    pools = pools.join(sets.select("id", "n", "items"), "id").withColumn("class", F.floor(F.log(F.col("n")) / step).cast("int"))
+    return written(pools.withColumn("stray", F.col("component") != F.col("pool")), "pools")
+
+
+def _stray_work(pools: DataFrame, sets: DataFrame, threshold: int, among: bool) -> DataFrame:
+    """The rows of the set comparisons inside pools.
+
+    The strays of a pool, in blocks, meet the members of its largest component, in blocks
+    (kind 0). With ``among``, strays meet each other as well (kind 1); where they are many,
+    those that cannot have a link with another are left out first. Sizes more than one class (a factor of 1 / threshold) apart rule a
+    link out.
+    """
+    strays = pools.where("stray")
+    kind = lambda df, k: df.drop("stray").withColumn("kind", F.lit(k))
+    every, ones = kind(pools.where("not stray"), 0), kind(strays, 0)
+    if among:
+        crowded = F.broadcast(strays.groupBy("pool").count().where(F.col("count") > FILTER_BLOCKS * BLOCK).select("pool"))
+        many = strays.join(crowded, "pool", "left_semi")
+        able = written(_linkable(many.select("id", "component").distinct(), sets, threshold), "able")
+        meeting = kind(strays.join(crowded, "pool", "left_anti").unionByName(many.join(able, "id", "left_semi")), 1)
+        every, ones = every.unionByName(meeting), ones.unionByName(meeting)
+
+    def counted(df: DataFrame, alias: str) -> DataFrame:
+        full = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int")
+        return written(df.groupBy("kind", "pool", "class").agg(full.alias(alias)), "counts")
+
+    k, j = counted(every, "k"), counted(ones, "j")
     number = lambda column, alias: F.explode(F.sequence(F.lit(0), F.col(column) - 1)).alias(alias)
-    tasks = counts.select("pool", F.col("class").alias("other"), number("k", "block")).join(
-        counts.where("j > 0").select("pool", "class", number("j", "part")), "pool"
-    )
+    tasks = k.select("kind", "pool", F.col("class").alias("other"), number("k", "block")).join(j.select("kind", "pool", "class", number("j", "part")), ["kind", "pool"])
     tasks = written(tasks.where("abs(other - class) <= 1").withColumn("run", F.floor(F.col("block") / RUN).cast("int")), "tasks")
 
-    deal = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
-    cols = ["pool", "class", "part", "other", "block", "side", "id", "component", "items"]
-    dealt = pools.join(counts, ["pool", "class"]).withColumn("block", deal("k")).withColumn("part", deal("j"))
-    every = dealt.drop("part").withColumnRenamed("class", "other").join(tasks, ["pool", "other", "block"]).withColumn("side", F.lit(0))
-    runs = tasks.groupBy("pool", "class", "part").agg((F.max("run") + 1).alias("runs"))
-    strays = dealt.where("stray").drop("block").join(runs, ["pool", "class", "part"])
-    strays = strays.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).join(tasks, ["pool", "class", "part", "run"]).withColumn("side", F.lit(1))
-    return every.select(cols).union(strays.select(cols))
+    deal = lambda most: F.pmod(F.xxhash64("id"), F.col(most)).cast("int")
+    cols = ["kind", "pool", "class", "part", "other", "block", "side", "id", "component", "items"]
+    every = every.join(k, ["kind", "pool", "class"]).withColumn("block", deal("k")).withColumnRenamed("class", "other")
+    every = every.join(tasks, ["kind", "pool", "other", "block"]).withColumn("side", F.lit(0))
+    runs = tasks.groupBy("kind", "pool", "class", "part").agg((F.max("run") + 1).alias("runs"))
+    ones = ones.join(j, ["kind", "pool", "class"]).withColumn("part", deal("j")).join(runs, ["kind", "pool", "class", "part"])
+    ones = ones.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).join(tasks, ["kind", "pool", "class", "part", "run"]).withColumn("side", F.lit(1))
+    return every.select(cols).union(ones.select(cols))
 
 
-def _large_bucket_links(rows: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
-    """Links between components inside large buckets, found set against set."""
+def _pool_links(pools: DataFrame, sets: DataFrame, threshold: int, among: bool) -> DataFrame:
+    """Links between components inside pools, found set against set."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids, component, side = group["id"].to_numpy(), group["component"].to_numpy(), group["side"].to_numpy()
@@ -169,27 +191,44 @@ def _large_bucket_links(rows: DataFrame, sets: DataFrame, threshold: int, total:
             found += [(ids[i], j) for j in ids[hits[np.unique(component[hits], return_index=True)[1]]]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    work = _stray_work(rows, sets, threshold, total)
-    return work.groupBy("pool", "class", "part", "other", "block").applyInPandas(compare, "a long, b long")
+    work = _stray_work(pools, sets, threshold, among)
+    return work.groupBy("kind", "pool", "class", "part", "other", "block").applyInPandas(compare, "a long, b long")
+
+
+def _of(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """``rows`` with the component of their id (its own, where it has no link)."""
+    found = rows.join(parts.withColumnRenamed("node", "id"), "id", "left")
+    return found.withColumn("component", F.coalesce("component", "id"))
+
+
+def _split(rows: DataFrame, total: int) -> DataFrame:
+    """The rows of buckets that have several components."""
+    several = rows.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows_here")).where("p < q")
+    return written(spread_join(rows, several.select("bucket", "rows_here"), ["bucket"], total, "rows_here", "left_semi"), "split")
 
 
-def _links_stars_missed(spread: DataFrame, pairs: DataFrame, parts: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
-    """Links between members of one bucket (spread) that are still in different components."""
-    member = spread.select("bucket", "id", "n", "m").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    member = written(member, "member")
-    split = member.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.max("m").alias("rows_here")).where("p < q")
-    open_rows = written(spread_join(member, split.select("bucket", "rows_here"), ["bucket"], total, "rows_here", "left_semi"), "open")
-    small = open_rows.where(F.col("m") <= SMALL_BUCKET)
+def _with_missed_links(spread: DataFrame, pairs: DataFrame, parts: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:
+    """``parts`` with the links between members of one bucket (spread) that are still in different components."""
+    left = _split(written(_of(spread.select("bucket", "id", "n", "m"), parts), "member"), total)
+    small = left.where(F.col("m") <= SMALL_BUCKET)
     other = small.select("bucket", F.col("id").alias("b"), F.col("n").alias("k"), F.col("component").alias("q"))
     again = (
         small.join(other, "bucket").where("id < b and component <> q").where(_sizes_allow("n", "k", threshold))
         .select(F.col("id").alias("a"), "b").distinct().join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     )
     more = _confirmed(written(again, "again"), sets, threshold)
-    large = open_rows.where(F.col("m") > SMALL_BUCKET).select("bucket", "id", "component")
-    if not large.isEmpty():
-        more = more.union(_large_bucket_links(large, sets, threshold, total))
-    return written(more, "more")
+    large = left.where(F.col("m") > SMALL_BUCKET)
+    if large.isEmpty():
+        return extended(parts, written(more, "more"))
+    # first the strays meet the largest component of their pool, which takes most of them in; then those that are left, each other
+    pools = _pools(large, sets, threshold, total)
+    parts = extended(parts, written(more.union(_pool_links(pools, sets, threshold, among=False)), "more"))
+    rest = written(_of(pools.where("stray").select(F.col("pool").alias("bucket"), "id"), parts), "rest")
+    rest = _split(rest, rest.count())
+    if rest.isEmpty():
+        return parts
+    pools = _pools(rest, sets, threshold, rest.count())
+    return extended(parts, written(_pool_links(pools, sets, threshold, among=True), "more"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -214,9 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         with small_batches(spark):
             sets = written(shingle_table(_only(source, wanted), width, bands=False).dropDuplicates(["id", "hi", "lo"]), "sets")
         parts = components(written(_confirmed(pairs, sets, threshold), "found"))
-        more = _links_stars_missed(spread, pairs, parts, sets, threshold, in_bands)
-        if not more.isEmpty():
-            parts = extended(parts, more)
+        parts = _with_missed_links(spread, pairs, parts, sets, threshold, in_bands)
         # equal ids with different texts tie their classes together
         key = F.struct("hi", "lo")
         repeated = written(named.groupBy("id").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select("id"), "repeated")

@@ -301,6 +301,7 @@ def test_near_duplicates_equal_brute_force(spark, width, monkeypatch):
 
     monkeypatch.setattr(N, "SMALL_BUCKET", 4)  # so that the block search runs as well
     monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "FILTER_BLOCKS", 8 if width == 4 else 0)
     rng = np.random.default_rng(9)
     rows = random_docs()
     base = [f"h{i}" for i in range(90)]
@@ -321,10 +322,11 @@ def test_stray_comparisons_grow_with_the_members(spark, monkeypatch):
     for m in (1000, 4000):
         # one bucket: m members of component 0 and ten strays, all with 40 shared shingles of 50
         ids = spark.range(m + 10).withColumn("component", F.when(F.col("id") < m, F.lit(0)).otherwise(F.col("id")))
-        sets = ids.select("id", F.lit(50).cast("long").alias("n"), F.concat(F.sequence(F.lit(1), F.lit(42)), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.col("id") * 100 + i)).alias("items"))
+        sets = ids.select("id", F.lit(50).cast("long").alias("n"), F.concat(F.sequence(F.lit(1), F.lit(42)), F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.col("id") * 100 + 1000 + i)).alias("items"))
         rows = ids.select(F.lit(7).cast("long").alias("bucket"), "id", "component")
-        rows_of[m] = N._stray_work(rows, sets, 80, m + 10).count()
-        assert N._large_bucket_links(rows.where("id > 900"), sets, 80, m + 10).count() == 0
+        pools = N._pools(rows, sets, 80, m + 10)
+        rows_of[m] = N._stray_work(pools, sets, 80, among=True).count()
+        assert N._pool_links(pools, sets, 80, among=True).count() == 0
     assert rows_of[4000] < 5 * rows_of[1000] and rows_of[1000] < 1000 * 1.5
 
 
