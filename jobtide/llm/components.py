@@ -14,7 +14,7 @@ MAX_ROUNDS = 100
 def _least(edges: DataFrame, total: int) -> DataFrame:
     """(u, v, m): each directed edge with the least of u and its neighbours; edges of hot nodes stay where they lie."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-    return spread_join(edges, least, ["u"], total, "degree")
+    return spread_join(edges, written(least, "least"), ["u"], total, "degree")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct()
     now, mark = written(now, "links"), None
     total = now.count()
+    if not total:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(MAX_ROUNDS):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -57,6 +59,7 @@ def extended(parts: DataFrame, links: DataFrame) -> DataFrame:
     merged = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     sizes = parts.groupBy("component").agg(F.count("*").alias("m"))
     moved = sizes.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component")
+    moved = written(moved, "moved")
     total = parts.count()
     out = spread_join(parts, moved, ["component"], total, how="left").select("node", F.coalesce("to", "component").alias("component"))
     fresh = merged.join(parts.select("node"), "node", "left_anti")

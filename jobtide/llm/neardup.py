@@ -128,7 +128,7 @@ def _pools(rows: DataFrame, sets: DataFrame, threshold: int, total: int) -> Data
     """
     sizes = rows.groupBy("bucket", "component").agg(F.count("*").alias("often"))
     main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("often", -F.col("component"))).alias("pool"), F.sum("often").alias("rows_here"))
-    pools = spread_join(rows.select("bucket", "id", "component"), main, ["bucket"], total, "rows_here").select("pool", "id", "component").distinct()
+    pools = spread_join(rows.select("bucket", "id", "component"), written(main, "main"), ["bucket"], total, "rows_here").select("pool", "id", "component").distinct()
     step = float(np.log(100 / threshold))
     pools = pools.join(sets.select("id", "n", "items"), "id").withColumn("class", F.floor(F.log(F.col("n")) / step).cast("int"))
     return written(pools.withColumn("stray", F.col("component") != F.col("pool")), "pools")
@@ -204,7 +204,8 @@ def _of(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def _split(rows: DataFrame, total: int) -> DataFrame:
     """The rows of buckets that have several components."""
     several = rows.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("rows_here")).where("p < q")
-    return written(spread_join(rows, several.select("bucket", "rows_here"), ["bucket"], total, "rows_here", "left_semi"), "split")
+    several = written(several.select("bucket", "rows_here"), "several")
+    return written(spread_join(rows, several, ["bucket"], total, "rows_here", "left_semi"), "split")
 
 
 def _with_missed_links(spread: DataFrame, pairs: DataFrame, parts: DataFrame, sets: DataFrame, threshold: int, total: int) -> DataFrame:

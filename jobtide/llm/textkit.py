@@ -136,8 +136,8 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
             _MADE[-1].extend(stay)
 
 
-#: A key with this many rows or more counts as hot; at most HOT_KEYS keys do, as their rows are then at least total / HOT_KEYS.
-HOT_ROWS, HOT_KEYS = 256, 1_000_000
+#: A key with this many rows or more can count as hot; at most HOT_KEYS keys do, as a hot key has at least total / HOT_KEYS rows.
+HOT_ROWS, HOT_KEYS = 256, 1000
 
 
 def hot_rows(total: int) -> int:
@@ -146,16 +146,18 @@ def hot_rows(total: int) -> int:
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, size: str = "m", how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, which has each key once and, in column ``size``, that key's rows in ``left``.
+    """``left`` joined with ``right`` (written), which has each key once and, in column ``size``, that key's rows in ``left``.
 
-    The rows of hot keys meet a broadcast part of ``right`` where they lie (its length has
-    the bound of ``hot_rows``); the others are joined by shuffle, in partitions that no
-    key can fill. ``total``: rows of ``left``. ``how``: inner, left or left_semi.
+    The rows of hot keys meet a broadcast part of ``right`` (at most HOT_KEYS rows) where
+    they lie; the others are joined by shuffle, in partitions that no key can fill.
+    ``total``: rows of ``left``. ``how``: inner, left or left_semi.
     """
-    least = hot_rows(total)
-    hot, cold = F.broadcast(right.where(F.col(size) >= least)), right.where(F.col(size) < least)
-    there = left.join(hot, keys, "left_semi" if how == "left_semi" else "inner")
-    return there.unionByName(left.join(F.broadcast(right.where(F.col(size) >= least).select(*keys)), keys, "left_anti").join(cold, keys, how))
+    mark = F.xxhash64(*keys)
+    hot = [r[0] for r in right.where(F.col(size) >= hot_rows(total)).select(mark).collect()]  # at most HOT_KEYS
+    if not hot:
+        return left.join(right, keys, how)
+    there = left.where(mark.isin(hot)).join(F.broadcast(right.where(mark.isin(hot))), keys, how)
+    return there.unionByName(left.where(~mark.isin(hot)).join(right.where(~mark.isin(hot)), keys, how))
 
 
 def let(value: Column, use) -> Column:
