@@ -6,6 +6,7 @@ memory of a Python worker follows the block and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,33 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds as words at one time (a single longer
 #: text makes a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Text bytes after which a worker hands freed memory back to the system.
+TRIM_BYTES = 8 << 20
+
+
+def _trim() -> None:
+    """Hand freed memory back: workers outlive tasks, and what one stage has freed is of no use to the next one's JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    """The C library where it has ``malloc_trim``."""
+    try:
+        found = ctypes.CDLL(None)
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows with at most ``limit`` text bytes each."""
+    seen = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -34,6 +57,11 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             last = max(first + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(first, last - first)
             first, done = last, int(ends[last - 1])
+        seen += done
+        if seen > TRIM_BYTES:
+            seen = 0
+            _trim()
+    _trim()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
