@@ -24,8 +24,14 @@ from jobtide.llm.textkit import drop_written, scratch, written
 ORACLE_SQL = None
 
 
+def _whole_texts(spark: SparkSession) -> None:
+    """Rows here are whole texts: at most 1,000 in an Arrow batch of this application, so that both sides' buffers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the quality rules reject (null and empty texts among them); repeated rows and null ids are judged by their texts."""
+    _whole_texts(spark)
     return kept_documents(docs)
 
 
@@ -78,6 +84,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 ids; a null or empty text is its end token, an empty table has no pieces."""
+    _whole_texts(spark)
     return digest(pack(docs, public_tokenizers.path(TOKENIZER)))
 
 
