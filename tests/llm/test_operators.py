@@ -645,6 +645,20 @@ def test_pipeline_equals_its_parts_by_brute_force(spark, tmp_path, vocabulary):
         assert sum(p.length for p in pieces if p.doc_id == key) == len(ids)
 
 
+def test_pipeline_near_duplicates_keep_every_different_text(spark):
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(14)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, a, "z"), (None, c, "n"), (None, c, "n"), (None, d, "n"), (5, d, "k"), (6, None, "e"), (7, "", "e"), (8, "", "e")]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], DOCS + ", source string, id string")
+    got = sorted(((r.doc_id, r.text, r.source) for r in C.drop_near_duplicates(spark, docs, "").collect()), key=repr)
+    # single ids come before rows that share one; of equal rows the least stays
+    assert got == sorted([(2, a, "z"), (1, b, "x"), (None, c, "n"), (5, d, "k"), (6, None, "e"), (7, "", "e"), (8, "", "e")], key=repr)
+    assert C.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_every_query_is_registered_and_runs(spark):
     from jobtide.llm.queries import ORACLES, QUERIES
 
