@@ -136,9 +136,9 @@ def normalize_title(title: Column | str) -> Column:
     text = basic_text(let(F.coalesce(col(title), F.lit("")), _unwrapped))
     text = without_dates(F.regexp_replace(text, R.CLASS_OF, " "))
     for phrase in R.TITLE_PHRASES_DROPPED:
-        text = F.regexp_replace(text, rf"\b{phrase}\b", " ")
+        text = F.regexp_replace(text, phrase, " ")
     for phrase, other in R.TITLE_REWRITES:
-        text = F.regexp_replace(text, rf"\b{phrase}\b", other)
+        text = F.regexp_replace(text, phrase, other)
     return let(F.array_join(_tokens(text, [*R.TITLE_NOISE, *R.SEASONS]), " "), _with_level)
 
 
@@ -190,7 +190,7 @@ def state_of(core: Column) -> Column:
 
 def _term_in(text: Column) -> Column:
     """The term that a canonical text names, or null."""
-    table = mapping(R.TERM_OF_SEASON)
+    table = mapping({f"{season}{year % 100}": term for (season, year), term in R.TERM_OF_SEASON.items()})
 
     def first_term(pattern: str, season: int, year: int) -> Column:
         pairs = F.zip_with(

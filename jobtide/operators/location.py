@@ -16,12 +16,12 @@ from ..functions import text as T
 
 def alias_table(spark) -> DataFrame:
     """(alias, metro, states, rank): longer aliases first, then in table order."""
-    rows = [(a.strip(), m, R.METRO_STATES[m].split() if m in R.METRO_STATES else None) for m, names in R.METROS.items() for a in names.split(",")]
+    rows = [(a, m, R.METRO_STATES.get(m)) for m, names in R.METROS.items() for a in names]
     rows = [(a, m, s, -len(a) * 1000 + i) for i, (a, m, s) in enumerate(rows)]
     return spark.createDataFrame(rows, "alias string, metro string, states array<string>, rank int")
 
 
-MOST_WORDS = max(len(a.split()) for names in R.METROS.values() for a in names.split(","))
+MOST_WORDS = max(len(a.split()) for names in R.METROS.values() for a in names)
 
 
 def _grams_of(text, k: int):

@@ -19,8 +19,8 @@ from .location import normalize_locations
 ORDER = ["source_order", "seq"]
 
 
-def normalize_postings(raw: DataFrame, now: Column) -> DataFrame:
-    """Raw postings to postings. Titles and companies are normalised once per distinct string."""
+def normalize_postings(raw: DataFrame, now: Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """Raw postings to postings. Titles and companies are normalised once per distinct string; columns ``also`` are carried."""
     titles = raw.select(F.col("title").alias("_title")).distinct().withColumn("title_norm", T.normalize_title("_title"))
     companies = raw.select(F.col("company").alias("_company")).distinct().withColumn("company_norm", T.normalize_company("_company"))
     rows = normalize_locations(raw).join(titles, F.expr("title <=> _title"), "left").join(companies, F.expr("company <=> _company"), "left").drop("_title", "_company")
@@ -32,7 +32,7 @@ def normalize_postings(raw: DataFrame, now: Column) -> DataFrame:
         F.when(trimmed("location") == "", "Unknown").otherwise(trimmed("location")).alias("location"),
         T.is_remote("location", "remote_hint").alias("remote"), trimmed("apply_url").alias("apply_url"),
         F.when(trimmed("apply_url") != "", trimmed("apply_url")).alias("source_url"), "source", now.alias("first_seen_at"), now.alias("last_seen_at"),
-        "posted_at", "posted_precision", "company_norm", "title_norm", "location_norm", "source_id", *ORDER,
+        "posted_at", "posted_precision", "company_norm", "title_norm", "location_norm", "source_id", *ORDER, *also,
     )
 
 

@@ -47,9 +47,9 @@ def _title_dim() -> str:
     text = "t1"
     text = dates_out(sub(basic(text), R.CLASS_OF))
     for p in R.TITLE_PHRASES_DROPPED:
-        text = sub(text, rf"\b{p}\b")
+        text = sub(text, p)
     for p, to in R.TITLE_REWRITES:
-        text = sub(text, rf"\b{p}\b", to)
+        text = sub(text, p, to)
     mark = R.LEVEL_MARK
     inner = f"list_transform(regexp_extract_all(title, {q(PAREN)}, 1), lambda p: CASE WHEN len({tokens(dates_out(basic('p')), [*R.TITLE_NOISE, *R.SEASONS, *R.PAREN_NOISE])}) = 0 THEN ' ' ELSE ' ' || p || ' ' END)"
     return f"""
@@ -83,8 +83,8 @@ def _location_dim() -> str:
     for name in sorted(R.STATE_NAMES, key=len, reverse=True):
         states = sub(states, rf"\b{name}\b", R.STATE_NAMES[name])
     tail = rf"\s*\b({'|'.join(sorted(R.COUNTRIES, key=len, reverse=True))})\s*$"
-    aliases = [(a.strip(), m) for m, names in R.METROS.items() for a in names.split(",")]
-    rows = ", ".join(f"({q(a)}, {q(m)}, {q(R.METRO_STATES.get(m, ''))}, {len(a)}, {i})" for i, (a, m) in enumerate(aliases))
+    aliases = [(a, m) for m, names in R.METROS.items() for a in names]
+    rows = ", ".join(f"({q(a)}, {q(m)}, {q(' '.join(R.METRO_STATES.get(m, [])))}, {len(a)}, {i})" for i, (a, m) in enumerate(aliases))
     marked = " OR ".join(f"contains(core, {q(m)})" for m in R.REMOTE_MARKERS)
     return f"""
 la AS (SELECT DISTINCT location, remote_hint FROM raw),
@@ -106,7 +106,8 @@ ldim AS (SELECT le.location, le.remote_hint, CASE
 def _term_in(x: str) -> str:
     def first(pattern: str, season: int, year: int) -> str:
         s, y = f"regexp_extract_all({x}, {q(pattern)}, {season})", f"regexp_extract_all({x}, {q(pattern)}, {year})"
-        return f"list_filter(list_transform(range(1, len({s}) + 1), lambda k: {case(f'{s}[k] || {y}[k]', R.TERM_OF_SEASON, 'NULL')}), lambda v: v IS NOT NULL)[1]"
+        terms = {f"{name}{full % 100}": term for (name, full), term in R.TERM_OF_SEASON.items()}
+        return f"list_filter(list_transform(range(1, len({s}) + 1), lambda k: {case(f'{s}[k] || {y}[k]', terms, 'NULL')}), lambda v: v IS NOT NULL)[1]"
 
     grad = " OR ".join(f"contains({x}, {q(m)})" for m in R.NEW_GRAD_MARKERS)
     grad += f" OR regexp_matches({x}, '\\bclass of (?:20)?27\\b') OR (starts_with({x}, 'graduate ') AND NOT regexp_matches({x}, '^graduate research\\b') AND NOT regexp_matches({x}, '\\b(intern|internship|co op|coop)\\b'))"

@@ -278,9 +278,9 @@ def j17_rekey(spark, sf):
 
 @query
 def a02_a03_exclusions(spark, sf):
-    dropped = S.normalize_postings(G.with_gates(B.raw_postings(spark, sf)).where("not keep"), now())
-    reasons = G.with_gates(B.raw_postings(spark, sf)).where("not keep").select("seq", F.col("reason").alias("filter_reason"))
-    table = S.record_exclusions(S.empty(spark, EXCLUDED), dropped.join(reasons, "seq"), "v1", now())
+    rows = G.with_gates(B.raw_postings(spark, sf)).where("not keep").withColumn("filter_reason", F.col("reason"))
+    dropped = S.normalize_postings(rows, now(), also=("filter_reason",))
+    table = S.record_exclusions(S.empty(spark, EXCLUDED), dropped, "v1", now())
     return R.exclusion_counts(table).select("filter_reason", "n", F.round("share", 9).alias("share"))
 
 
@@ -592,9 +592,9 @@ def ranked_postings(spark, sf):
     """The flagship: gated, normalised, deduplicated, scored, ranked postings."""
     raw = B.raw_postings(spark, sf)
     gated = G.disqualifiers(G.with_gates(raw).where("keep").withColumn("term", T.infer_term("title", "description", "term_default")), PROFILE)
-    merged = S.upsert(_state_columns(spark), S.normalize_postings(gated, now())).drop("disqualifiers", "tier", "score")
-    body = S.normalize_postings(gated, now()).select("id", "seq", "source_order").join(gated.select("seq", "disqualifiers"), "seq")
-    body = S.first_raw_by_id(body, ["disqualifiers"])
+    batch = S.normalize_postings(gated, now(), also=("disqualifiers",))
+    merged = S.upsert(_state_columns(spark), batch).drop("disqualifiers", "tier", "score")
+    body = S.first_raw_by_id(batch, ["disqualifiers"])
     scored = C.with_signals(C.with_target(merged.join(body, "id", "left"), _targets(spark, sf)), PROFILE, now())
     scored = scored.withColumn("score", F.col("heuristic_score")).withColumn("tier", C.assign_tier(F.col("heuristic_score")))
     return V.rank_postings(scored, "date", 20).select("term", "place", "id", "company", "title", "location_norm", "tier", "score", "heuristic_trace")
