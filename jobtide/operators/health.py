@@ -42,10 +42,19 @@ def source_health(history: DataFrame) -> DataFrame:
     rows = rows.withColumn("precision_drift", F.coalesce(F.abs(F.col("midnight_share") - F.col("midnight_median")) >= DRIFT, F.lit(False)))
     rows = rows.withColumn("ok", ~(F.col("volume_drop") | F.col("stale_304") | F.col("precision_drift")))
     unit = F.when(boards, "boards responding").otherwise("raw postings")
+    whole = lambda c: F.bround(c, 0).cast("long")  # noqa: E731  halves to even
+    percent = lambda c: whole(F.col(c) * 100)
+    # The published wording
     message = (
-        F.when(F.col("volume_drop") & (F.col("measured") == 0), F.format_string("%s: 0 %s (trailing median %.0f) - source may be broken", "source", unit, "median"))
-        .when(F.col("volume_drop"), F.format_string("%s: %d %s, %.0f%% of trailing median %.0f", "source", "measured", unit, F.col("ratio") * 100, "median"))
-        .when(F.col("stale_304"), F.format_string("%s: only 304s for %.0f days - upstream frozen or an ETag is pinned", "source", "days_since_data"))
-        .when(F.col("precision_drift"), F.format_string("%s: %.0f%% of timestamps are midnight UTC, against a trailing median of %.0f%%", "source", F.col("midnight_share") * 100, F.col("midnight_median") * 100))
+        F.when(F.col("volume_drop") & (F.col("measured") == 0), F.format_string("%s: 0 %s (trailing median %d) - source may be broken", "source", unit, whole("median")))
+        .when(F.col("volume_drop"), F.format_string("%s: %d %s, %d%% of trailing median %d", "source", "measured", unit, percent("ratio"), whole("median")))
+        .when(F.col("stale_304"), F.format_string("%s: only 304s for %d days - upstream frozen or an ETag is pinned", "source", whole("days_since_data")))
+        .when(
+            F.col("precision_drift"),
+            F.format_string(
+                "%s: %d%% of timestamps are midnight UTC, against a trailing median of %d%% - the feed's timestamp format may have changed, "
+                "which would silently reclassify posted_at precision", "source", percent("midnight_share"), percent("midnight_median"),
+            ),
+        )
     )
     return rows.withColumn("message", message).drop("board_median", "board_n", "raw_median", "raw_n", "share_median", "share_n")

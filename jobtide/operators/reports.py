@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import dates as D
 
@@ -51,15 +50,15 @@ def link_status_counts(postings: DataFrame) -> DataFrame:
     return postings.rollup("link_status", "source").agg(F.count("*").alias("n"), F.grouping("link_status").alias("g")).where("g = 0").drop("g")
 
 
-def store_stats(postings: DataFrame, ledger: DataFrame, now: Column) -> DataFrame:
-    """One row."""
+def store_stats(postings: DataFrame, ledger: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
+    """One row; ``runs`` has one row a run."""
     facts = postings.agg(
         F.count("*").alias("total"), *[F.count_if(F.col("tier") == t).alias(f"tier{t}") for t in (1, 2, 3)],
         *[F.count_if(F.col("status") == s).alias(s) for s in ("new", "notified", "applied", "skipped", "expired")],
         F.count_if((F.col("status") == "notified") & F.col("tier").isin(1, 2)).alias("backlog"), F.max("first_seen_at").alias("last_new"),
     )
     pushes = ledger.where(F.unix_micros("sent_at") >= F.unix_micros(now) - 3_600_000_000).agg(F.count("*").alias("pushes_last_hour"))
-    return facts.crossJoin(pushes)
+    return facts.crossJoin(pushes).crossJoin(runs.agg(F.count("*").alias("runs")))  # one row each
 
 
 def backlog_unapplied(postings: DataFrame) -> DataFrame:
@@ -159,10 +158,10 @@ def stable_sample(rows: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     return chosen.drop("_digest").orderBy(id_col)
 
 
-def sample_exclusions(excluded: DataFrame, n: int, reason: str | None = None, seed: int = 0) -> DataFrame:
-    """T8."""
+def sample_exclusions(excluded: DataFrame, n: int, reason: str | None = None, seed: int = 0, id_col: str = "id") -> DataFrame:
+    """A top-k by a hash of seed and id, so that one seed gives one sample on every layout."""
     rows = excluded if reason is None else excluded.where(F.col("filter_reason") == reason)
-    return rows.orderBy(F.rand(seed)).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary")), id_col).limit(n)
 
 
 def recent_suppressions(suppressions: DataFrame, since: Column, n: int) -> DataFrame:
@@ -182,13 +181,3 @@ def audit_record(excluded: DataFrame, suppressions: DataFrame, run_id: str, now:
         F.lit(run_id).alias("run_id"), now.alias("at"), F.struct("total", "by_reason", "sample").alias("exclusions"), F.struct(F.col("suppressed").alias("total"), "worst_collapse").alias("suppressions")
     )
 
-
-def applied_history(history: DataFrame, days: int, now: Column) -> DataFrame:
-    """S18, reader: reports of the last days, oldest first."""
-    return history.where(F.unix_micros("started_at") >= F.unix_micros(now) - days * D.DAY_MICROS).orderBy("started_at")
-
-
-def first_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in an order."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_n", place).where("_n = 1").drop("_n")

@@ -149,8 +149,10 @@ def upsert(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def seen(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """Batch rows whose id is in the state."""
-    return batch.join(state.select("id"), "id", "left_semi")
+    """Batch rows whose id or dedupe key is in the state; two semi joins by keys, so no row pairs with many."""
+    by_id = batch.join(state.select("id", F.lit(True).alias("_id")).distinct(), "id", "left")
+    keys = state.where("dedupe_key is not null").select("dedupe_key", F.lit(True).alias("_key")).distinct()
+    return by_id.join(keys, "dedupe_key", "left").where("_id or _key").select(*batch.columns)
 
 
 def healthy_sources(reports: DataFrame) -> DataFrame:
@@ -247,6 +249,13 @@ def parse_decisions(rows: DataFrame) -> DataFrame:
     return known.where("status is not null").groupBy("id").agg(F.max_by("status", "row_no").alias("status"), F.max_by("applied_on", "row_no").alias("applied_on"))
 
 
+def unknown_decisions(rows: DataFrame) -> DataFrame:
+    """J14, words that are no decision: (row_no, id, word), to be reported."""
+    word = F.trim("status")
+    known = F.lower(word).isin(list(DECISIONS))
+    return rows.where((F.trim("id") != "") & (word != "") & ~known).select("row_no", F.trim("id").alias("id"), word.alias("word"))
+
+
 def set_status(postings: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """changes(id, status); equal statuses are not touched, ``applied`` stamps its time."""
     both = postings.join(changes.select("id", F.col("status").alias("_to")), "id", "left")

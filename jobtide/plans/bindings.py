@@ -109,7 +109,8 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved links: page urls, some of them turned into job links."""
     k = F.col("page_id")
     final = (
-        F.when(k % 5 == 0, F.concat(F.lit("https://boards.greenhouse.io/acme"), F.when(k % 2 == 0, F.concat(F.lit("/jobs/"), k.cast("string"))).otherwise("")))
+        F.when(k % 25 == 7, F.concat(F.lit("https://careers.roblox.com/jobs/"), k.cast("string"))).when(k % 25 == 12, "https://eu.amazon.jobs/en/")
+        .when(k % 5 == 0, F.concat(F.lit("https://boards.greenhouse.io/acme"), F.when(k % 2 == 0, F.concat(F.lit("/jobs/"), k.cast("string"))).otherwise("")))
         .when(k % 5 == 1, F.concat(F.lit("https://jobs.lever.co/acme/"), k.cast("string"), F.lit("?gh_jid="), k.cast("string")))
         .when(k % 5 == 2, "https://www.example.org/careers/").otherwise(F.col("url"))
     )
@@ -172,7 +173,7 @@ h0 AS (
 
 LINKS_SQL = """
 links AS (
-  SELECT page_id AS id, url, CASE page_id % 5 WHEN 0 THEN 'https://boards.greenhouse.io/acme' || CASE WHEN page_id % 2 = 0 THEN '/jobs/' || page_id ELSE '' END
-      WHEN 1 THEN 'https://jobs.lever.co/acme/' || page_id || '?gh_jid=' || page_id WHEN 2 THEN 'https://www.example.org/careers/' ELSE url END AS final_url,
+  SELECT page_id AS id, url, CASE WHEN page_id % 25 = 7 THEN 'https://careers.roblox.com/jobs/' || page_id WHEN page_id % 25 = 12 THEN 'https://eu.amazon.jobs/en/' ELSE CASE page_id % 5 WHEN 0 THEN 'https://boards.greenhouse.io/acme' || CASE WHEN page_id % 2 = 0 THEN '/jobs/' || page_id ELSE '' END
+      WHEN 1 THEN 'https://jobs.lever.co/acme/' || page_id || '?gh_jid=' || page_id WHEN 2 THEN 'https://www.example.org/careers/' ELSE url END END AS final_url,
     [200, 200, 404, 403, 500, 200, 410, 429, 301][CAST(page_id % 9 AS BIGINT) + 1] AS http_status FROM pages
 )"""

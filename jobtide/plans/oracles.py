@@ -253,6 +253,7 @@ _HAS = (
 _BOARD = "(" + " OR ".join(f"ends_with({_host('final_url')}, {q(h)}) OR contains({_host('final_url')}, {q('.' + h)})" for h in R.BOARD_HOSTS) + ")"
 _INDEX = f"(NOT {_HAS} AND (regexp_matches(CASE WHEN {_path('final_url')} = '' THEN '/' ELSE {_path('final_url')} END, {q(R.INDEX_PATH)}) OR ({_BOARD} AND len(list_filter(string_split({_path('final_url')}, '/'), lambda s: s <> '')) <= 1)))"
 _KEY = f"array_to_string(string_split({_host('final_url')}, '.')[-2:], '.')"
+_BLOCKED = "(" + " OR ".join(f"{_host('final_url')} = {q(h)} OR ends_with({_host('final_url')}, {q('.' + h)})" for h in R.BLOCKED_HOSTS) + ")"
 _VERDICT = f"CASE WHEN http_status IN (404, 410, 451) THEN 'dead' WHEN http_status IN (401, 403, 429) THEN 'blocked' WHEN http_status >= 400 THEN 'unreachable' WHEN {_INDEX} THEN 'redirected_to_index' ELSE 'ok' END"
 FORMULA = lambda x: f"CASE WHEN regexp_matches(coalesce({x}, ''), '^[=+\\-@\\t\\r]') THEN '''' || {x} ELSE coalesce({x}, '') END"
 TRAIL = "OVER (PARTITION BY source ORDER BY started_at ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
@@ -290,13 +291,33 @@ p AS (SELECT merged.*, {NOW} AS first_seen_at, coalesce(dq.disqualifiers, []) AS
 ranked AS (SELECT *, CAST(heuristic_score AS INT) AS score, {TIER('heuristic_score')} AS tier FROM scored)
 SELECT * FROM (SELECT term, row_number() OVER (PARTITION BY {TERM_RANK} ORDER BY {RANK['date']}) AS place, id, company, title, location_norm, tier, score, heuristic_trace FROM ranked) WHERE place <= 20"""
 
+HEALTH = f"""{H}, a AS (SELECT *, coalesce(responding, raw_fetched) AS measured, responding IS NOT NULL AS b,
+  quantile_cont(responding, 0.5) FILTER (NOT not_modified AND responding > 0) {TRAIL} AS mb, count(*) FILTER (NOT not_modified AND responding > 0) {TRAIL} AS nb,
+  quantile_cont(raw_fetched, 0.5) FILTER (NOT not_modified AND raw_fetched > 0) {TRAIL} AS mr, count(*) FILTER (NOT not_modified AND raw_fetched > 0) {TRAIL} AS nr,
+  quantile_cont(midnight / dated, 0.5) FILTER (dated > 0 AND midnight IS NOT NULL) {TRAIL} AS ms, count(*) FILTER (dated > 0 AND midnight IS NOT NULL) {TRAIL} AS ns,
+  max(started_at) FILTER (NOT not_modified AND raw_fetched > 0) OVER (PARTITION BY source ORDER BY started_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS la FROM h),
+c AS (SELECT *, CASE WHEN NOT not_modified AND CASE WHEN b THEN nb ELSE nr END >= 3 THEN CASE WHEN b THEN mb ELSE mr END END AS median,
+  CASE WHEN dated >= 30 AND midnight IS NOT NULL AND ns >= 3 THEN ms END AS mm FROM a),
+d AS (SELECT *, coalesce(median IS NOT NULL AND (measured = 0 OR measured / median < 0.5), false) AS vd, coalesce(not_modified AND epoch(started_at) - epoch(la) >= 604800, false) AS st, coalesce(abs(midnight / dated - mm) >= 0.25, false) AS pd FROM c)"""
+UNIT = "CASE WHEN b THEN 'boards responding' ELSE 'raw postings' END"
+even = lambda x: f"CAST(round_even({x}, 0) AS BIGINT)"
+
 ORACLES: dict[str, str] = {
     "ranked_postings": FLAGSHIP,
     "j02_upsert_postings": f"""{BATCH}, {merged('seq % 2')} SELECT id, company, title, term, location, remote, apply_url, source, source_id, source_url, posted_at, posted_precision,
   'new' AS status, 'unchecked' AS link_status, is_new, url_upgrades FROM merged""",
     "a07_run_totals": f"""{BATCH}, {merged('1')} SELECT (SELECT count(*) FROM gated) AS raw_fetched, (SELECT count(*) FROM gated WHERE NOT keep) AS filtered_out, 0 AS suppressed_by_baseline,
   (SELECT count(*) FROM batch) AS accepted, (SELECT count(*) FROM merged) AS new, (SELECT CAST(sum(url_upgrades) AS BIGINT) FROM merged) AS url_upgrades, (SELECT count(*) FROM batch) - (SELECT count(*) FROM merged) AS deduped_out""",
-    "j17_rekey": f"""{BATCH} SELECT DISTINCT id AS old, sha256(company_norm || '|' || title_norm || '|new-york|' || term)[1:16] AS new, false AS collides FROM batch WHERE location_norm = 'nyc'""",
+    "j17_rekey": f"""{BATCH}, m AS (SELECT DISTINCT id AS old, sha256(company_norm || '|' || title_norm || '|new-york|' || term)[1:16] AS new FROM batch WHERE location_norm IN ('nyc', 'sf-bay'))
+SELECT old, new, count(*) OVER (PARTITION BY new) > 1 AS collides FROM m""",
+    "j03_seen": f"{P} SELECT seq, id, dedupe_key FROM (SELECT seq, id, company_norm || '|' || title_norm || '|' || term AS dedupe_key FROM p) b WHERE id IN (SELECT id FROM p WHERE tier = 1) OR dedupe_key IN (SELECT company_norm || '|' || title_norm || '|' || term FROM p WHERE tier = 1 AND status = 'applied' AND company_norm <> 'meta')",
+    "j09_collapse_to_baseline": f"{P} SELECT DISTINCT id, {NOW} AS seeded_at FROM p",
+    "j14_unknown_words": f"{P}, {DECISIONS} SELECT d0.row_no, d0.id, d0.word FROM d0 WHERE word NOT IN ('', 'applied', 'interviewing', 'skipped', 'rejected')",
+    "c06_record_notifications": f"""{decided('2001-08-03 08:00:00', True)} SELECT id AS posting_id, tier, last_seen_at AS sent_at FROM p WHERE status = 'notified'
+UNION ALL SELECT id, tier, TIMESTAMP '2001-08-03 08:00:00' FROM decided WHERE decision IN ('interrupt', 'silent')""",
+    "c07_notifications_since": f"""{P}, s AS (SELECT tier FROM p WHERE status = 'notified' AND last_seen_at >= {NOW} - INTERVAL 400 DAY)
+SELECT 'all' AS tier, count(*) AS n FROM s UNION ALL SELECT '1', count(*) FILTER (tier = 1) FROM s""",
+    "t08_sample_exclusions": f"WITH {B.RAW_SQL}, {GATES} SELECT seq, reason AS filter_reason FROM gated WHERE NOT keep AND reason = 'senior-level' ORDER BY md5('0:' || seq), seq LIMIT 20",
     "n01_basic_text": f"SELECT doc_id, md5({basic('text')}) AS basic_md5 FROM documents",
     "n02_normalize_company": f"WITH {B.RAW_SQL}, {_company_dim()} SELECT company, company_norm, count(*) AS n FROM raw JOIN cdim USING (company) GROUP BY ALL",
     "n04_normalize_title": f"WITH {B.RAW_SQL}, {_title_dim()} SELECT title, title_norm, count(*) AS n FROM raw JOIN tdim USING (title) GROUP BY ALL",
@@ -307,13 +328,13 @@ ORACLES: dict[str, str] = {
     "n15_n16_day_and_age": f"{P} SELECT seq, posted_precision, {DAY} AS day, {age(NOW)} AS age, {fresh(NOW)} AS fresh FROM p",
     "s08_s09_timestamps": f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('millisecond', ts) WHEN 2 THEN date_trunc('second', ts) END AS parsed,
   CASE WHEN event_id % 6 < 5 THEN {NOW} - to_seconds((event_id % 40) * [3600, 86400, 604800, 2592000, 31536000][CAST(event_id % 6 AS BIGINT) + 1]) END AS posted_at FROM events""",
-    "n17_n21_links": f"""{L} SELECT id, {_HAS} AS has_id, {_INDEX} AS is_index, false AS blocked_host, {_VERDICT} AS verdict,
+    "n17_n21_links": f"""{L} SELECT id, {_HAS} AS has_id, {_INDEX} AS is_index, {_BLOCKED} AS blocked_host, {_VERDICT} AS verdict,
   CASE {_VERDICT} WHEN 'blocked' THEN 'HTTP ' || http_status || ' - bot protection, verdict unknown' WHEN 'dead' THEN 'HTTP ' || http_status WHEN 'unreachable' THEN 'HTTP ' || http_status
     WHEN 'redirected_to_index' THEN CASE WHEN final_url <> url THEN 'redirected to a board index' ELSE 'URL carries no requisition id' END END AS note, {_KEY} AS host_key FROM links""",
     "n22_n23_mirror_rows": f"""{P} SELECT {FORMULA('id')} AS id, {FORMULA('company')} AS company, {FORMULA('title')} AS title, term, CAST(tier AS VARCHAR) AS tier,
   {FORMULA("location || CASE WHEN remote THEN ' / remote' ELSE '' END")} AS location, coalesce(CASE WHEN posted_at IS NOT NULL THEN strftime({DAY}, '%Y-%m-%d') END, '') AS posted_date, apply_url FROM p""",
     "n24_redact_secrets": "SELECT conv_id, turn, md5(replace(replace(text, 'and therhean is the is esndha', '[redacted]'), 'therhean is the is', '[redacted]')) AS clean_md5 FROM conversations",
-    "n26_parse_applied_on": "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 < 3 THEN CAST(o_orderdate AS DATE) END AS applied_on FROM orders",
+    "n26_parse_applied_on": "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 5 < 3 OR (o_orderkey % 5 = 4 AND day(o_orderdate) > 12) THEN CAST(o_orderdate AS DATE) END AS applied_on FROM orders",
     "n28_parse_model_reply": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(greatest(0, least(100, trunc(value))) AS INT) END AS score, CASE WHEN event_id % 3 = 0 THEN 'fits (a; b)' END AS rationale FROM events",
     "f01_f04_gates": f"WITH {B.RAW_SQL}, {GATES} SELECT seq, level_reason, field_reason, keep, reason FROM gated",
     "a01_gate_reason_counts": f"WITH {B.RAW_SQL}, {GATES} SELECT 'level' AS gate, source, level_reason AS reason, count(*) AS n FROM gated GROUP BY ALL UNION ALL SELECT 'field', source, field_reason, count(*) FROM gated WHERE field_reason IS NOT NULL GROUP BY ALL",
@@ -388,15 +409,14 @@ SELECT tier, place, id, score, greatest(0, c - 12) AS overflow FROM l WHERE plac
     "w11_host_waves": f"{L} SELECT id, {_KEY} AS host_key, CAST(ceil(row_number() OVER (PARTITION BY {_KEY} ORDER BY id) / 3) AS INT) AS wave FROM links",
     "a20_decision_stats": f"""{P}, {DECISIONS} SELECT count(*) FILTER (st IS NULL AND {LIVE}) AS undecided, count(*) FILTER (st = 'applied') AS applied, count(*) FILTER (st = 'applied') AS applied_week, 0 AS applied_undated, count(*) FILTER ({LIVE}) AS live FROM p LEFT JOIN dec USING (id)""",
     "a20_applied_by_term": f"{P}, {DECISIONS} SELECT term, count(*) AS n FROM p JOIN dec USING (id) WHERE st = 'applied' GROUP BY 1",
-    "w02_w05_source_health": f"""{H}, a AS (SELECT *, coalesce(responding, raw_fetched) AS measured, responding IS NOT NULL AS b,
-  quantile_cont(responding, 0.5) FILTER (NOT not_modified AND responding > 0) {TRAIL} AS mb, count(*) FILTER (NOT not_modified AND responding > 0) {TRAIL} AS nb,
-  quantile_cont(raw_fetched, 0.5) FILTER (NOT not_modified AND raw_fetched > 0) {TRAIL} AS mr, count(*) FILTER (NOT not_modified AND raw_fetched > 0) {TRAIL} AS nr,
-  quantile_cont(midnight / dated, 0.5) FILTER (dated > 0 AND midnight IS NOT NULL) {TRAIL} AS ms, count(*) FILTER (dated > 0 AND midnight IS NOT NULL) {TRAIL} AS ns,
-  max(started_at) FILTER (NOT not_modified AND raw_fetched > 0) OVER (PARTITION BY source ORDER BY started_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS la FROM h),
-c AS (SELECT *, CASE WHEN NOT not_modified AND CASE WHEN b THEN nb ELSE nr END >= 3 THEN CASE WHEN b THEN mb ELSE mr END END AS median,
-  CASE WHEN dated >= 30 AND midnight IS NOT NULL AND ns >= 3 THEN ms END AS mm FROM a),
-d AS (SELECT *, coalesce(median IS NOT NULL AND (measured = 0 OR measured / median < 0.5), false) AS vd, coalesce(not_modified AND epoch(started_at) - epoch(la) >= 604800, false) AS st, coalesce(abs(midnight / dated - mm) >= 0.25, false) AS pd FROM c)
+    "w02_w05_source_health": f"""{HEALTH}
 SELECT source, started_at, measured, median, round(measured / median, 9) AS ratio, vd AS volume_drop, st AS stale_304, round(mm, 9) AS midnight_median, pd AS precision_drift, NOT (vd OR st OR pd) AS ok FROM d""",
+    "w05_messages": f"""{HEALTH} SELECT source, started_at, CASE
+    WHEN vd AND measured = 0 THEN source || ': 0 ' || {UNIT} || ' (trailing median ' || {even('median')} || ') - source may be broken'
+    WHEN vd THEN source || ': ' || measured || ' ' || {UNIT} || ', ' || {even('measured / median * 100')} || '% of trailing median ' || {even('median')}
+    WHEN st THEN source || ': only 304s for ' || {even('(epoch_us(started_at) - epoch_us(la)) / 86400000000.0')} || ' days - upstream frozen or an ETag is pinned'
+    ELSE source || ': ' || {even('midnight / dated * 100')} || '% of timestamps are midnight UTC, against a trailing median of ' || {even('mm * 100')}
+      || '% - the feed''s timestamp format may have changed, which would silently reclassify posted_at precision' END AS message FROM d WHERE vd OR st OR pd""",
     "a06_source_counters": f"""WITH {B.RAW_SQL}, {GATES}, {TERM_DIM}, g AS (SELECT gated.*, u.term FROM gated JOIN udim u ON gated.title IS NOT DISTINCT FROM u.title AND gated.description IS NOT DISTINCT FROM u.description AND gated.term_default IS NOT DISTINCT FROM u.term_default),
 c AS (SELECT source, count(*) AS raw_fetched, count(*) FILTER (keep) AS fetched, count(*) FILTER (NOT keep) AS filtered_out, count(*) FILTER (keep AND seq % 10 = 0) AS new, count(*) FILTER (keep AND seq % 10 = 1) AS baselined,
   count(*) FILTER (keep AND posted_at IS NOT NULL) AS dated, count(*) FILTER (keep AND epoch_us(posted_at) % 86400000000 = 0) AS midnight, count(*) FILTER (keep AND term = 'unknown') AS term_unknown FROM g GROUP BY 1)
@@ -404,7 +424,7 @@ SELECT *, round(midnight / nullif(dated, 0), 9) AS midnight_share, round(term_un
     "a08_link_status_counts": f"{P} SELECT link_status, source, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT link_status, NULL, count(*) FROM p GROUP BY 1",
     "a09_store_stats": f"""{P} SELECT count(*) AS total, count(*) FILTER (tier = 1) AS tier1, count(*) FILTER (tier = 2) AS tier2, count(*) FILTER (tier = 3) AS tier3, count(*) FILTER (status = 'new') AS new, count(*) FILTER (status = 'notified') AS notified,
   count(*) FILTER (status = 'applied') AS applied, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'expired') AS expired, count(*) FILTER (status = 'notified' AND tier IN (1, 2)) AS backlog, max(first_seen_at) AS last_new,
-  count(*) FILTER (status = 'notified' AND first_seen_at >= {NOW} - INTERVAL 1 HOUR) AS pushes_last_hour FROM p""",
+  count(*) FILTER (status = 'notified' AND first_seen_at >= {NOW} - INTERVAL 1 HOUR) AS pushes_last_hour, (SELECT count(DISTINCT date_trunc('hour', ts)) FROM events) AS runs FROM p""",
     "a11_daily_new": f"""{H}, d AS (SELECT CAST(started_at AS DATE) AS day, source, sum(new) AS s FROM h GROUP BY ALL), x AS (SELECT DISTINCT day FROM d), y AS (SELECT DISTINCT source FROM d)
 SELECT x.day, y.source, CAST(coalesce(s, 0) AS BIGINT) AS new, CAST((SELECT sum(s) FROM d d2 WHERE d2.day = x.day) AS BIGINT) AS total FROM x CROSS JOIN y LEFT JOIN d ON d.day = x.day AND d.source = y.source""",
     "a12_median_daily_new": f"""{H}, d AS (SELECT CAST(started_at AS DATE) AS day, sum(new) AS s FROM h GROUP BY 1), m AS (SELECT CAST(quantile_cont(s, 0.5) AS DOUBLE) AS median, count(*) AS days FROM d WHERE day < DATE '2024-01-20')

@@ -125,7 +125,7 @@ def n24_redact_secrets(spark, sf):
 def n26_parse_applied_on(spark, sf):
     o = B.read(spark, sf, "orders")
     k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
-    text = F.when(k % 5 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 5 == 1, F.date_format(d, "MM/dd/yyyy")).when(k % 5 == 2, F.date_format(d, "yyyy/MM/dd")).when(k % 5 == 3, "soon")
+    text = F.when(k % 5 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 5 == 1, F.date_format(d, "MM/dd/yyyy")).when(k % 5 == 2, F.date_format(d, "yyyy/MM/dd")).when(k % 5 == 3, "soon").when(F.dayofmonth(d) > 12, F.date_format(d, "dd/MM/yyyy"))
     return o.select(k.alias("seq"), D.parse_applied_on(text).alias("applied_on"))
 
 
@@ -201,6 +201,20 @@ def j03_u02_seen_ids(spark, sf):
     return S.union_ids([p.where("source = 'ats'"), p.where("tier = 1")], p.where("status = 'expired'"))
 
 
+@query
+def j03_seen(spark, sf):
+    """By id for tier 1; by dedupe key alone for the applied ones of it, whose ids stand under an older key."""
+    p = B.postings(spark, sf).withColumn("dedupe_key", F.concat_ws("|", "company_norm", "title_norm", "term"))
+    top = p.where("tier = 1").select("id", F.lit(None).cast("string").alias("dedupe_key"))
+    older = p.where("tier = 1 and status = 'applied' and company_norm <> 'meta'").select(F.concat(F.lit("old"), "id").alias("id"), "dedupe_key")
+    return S.seen(p.select("seq", "id", "dedupe_key"), top.unionByName(older))
+
+
+@query
+def j09_collapse_to_baseline(spark, sf):
+    return S.collapse_to_baseline(B.postings(spark, sf), S.empty(spark, BASELINE), now())[1].select("id", "seeded_at")
+
+
 @query
 def j04_j05_sightings(spark, sf):
     p = B.postings(spark, sf)
@@ -252,11 +266,20 @@ def j13_apply_link_results(spark, sf):
     return S.apply_link_results(p, results).select("id", "link_status", "final_url", "status")
 
 
-def _decisions(spark, sf):
+def _decision_rows(spark, sf):
     p = B.postings(spark, sf)
     words = B.pick(["Applied", "skipped ", "", "maybe", "Interviewing", "rejected"], F.floor(F.col("seq") / 4) + 2 * F.col("o"))
     rows = p.select("id", "seq", F.explode(F.array(F.lit(0), F.lit(1))).alias("o")).where(F.col("seq") % 4 == 0)
-    return S.parse_decisions(rows.select((F.col("seq") * 2 + F.col("o")).alias("row_no"), "id", words.alias("status"), F.lit("2001-07-30").cast("date").alias("applied_on")))
+    return rows.select((F.col("seq") * 2 + F.col("o")).alias("row_no"), "id", words.alias("status"), F.lit("2001-07-30").cast("date").alias("applied_on"))
+
+
+def _decisions(spark, sf):
+    return S.parse_decisions(_decision_rows(spark, sf))
+
+
+@query
+def j14_unknown_words(spark, sf):
+    return S.unknown_decisions(_decision_rows(spark, sf))
 
 
 @query
@@ -272,7 +295,7 @@ def j16_mirror_plan(spark, sf):
 
 @query
 def j17_rekey(spark, sf):
-    p = _normalized(spark, sf).dropDuplicates(["id"]).withColumn("location_norm", F.when(F.col("location_norm") == "nyc", "new-york").otherwise(F.col("location_norm")))
+    p = _normalized(spark, sf).dropDuplicates(["id"]).withColumn("location_norm", F.when(F.col("location_norm").isin("nyc", "sf-bay"), "new-york").otherwise(F.col("location_norm")))
     return S.rekey(p)
 
 
@@ -366,6 +389,23 @@ def c05_quiet_hours(spark, sf):
     return _decided(spark, sf, "2001-08-03 08:00:00").groupBy("decision", "decision_reason", "priority").agg(F.count("*").alias("n"))
 
 
+def _ledger(spark, sf):
+    return B.postings(spark, sf).where("status = 'notified'").select(F.col("id").alias("posting_id"), "tier", F.col("last_seen_at").alias("sent_at"))
+
+
+@query
+def c06_record_notifications(spark, sf):
+    at = "2001-08-03 08:00:00"
+    return N.record_notifications(_ledger(spark, sf), _decided(spark, sf, at), B.stamp(at))
+
+
+@query
+def c07_notifications_since(spark, sf):
+    since = now() - F.expr("interval 400 days")
+    every = N.notifications_since(_ledger(spark, sf), since).select(F.lit("all").alias("tier"), "n")
+    return every.union(N.notifications_since(_ledger(spark, sf), since, 1).select(F.lit("1"), "n"))
+
+
 @query
 def n25_payloads(spark, sf):
     return N.payloads(_decided(spark, sf, "2001-08-03 08:00:00").withColumn("score_rationale", F.lit("ok")), now()).select("id", "title", "body", "priority", "tag", "action_url")
@@ -496,7 +536,8 @@ def a08_link_status_counts(spark, sf):
 def a09_store_stats(spark, sf):
     p = B.postings(spark, sf)
     ledger = p.where("status = 'notified'").select(F.col("id").alias("posting_id"), "tier", F.col("first_seen_at").alias("sent_at"))
-    return R.store_stats(p, ledger, now())
+    runs = B.read(spark, sf, "events").select(F.date_trunc("hour", "ts").alias("started_at")).distinct()
+    return R.store_stats(p, ledger, runs, now())
 
 
 @query
@@ -577,7 +618,7 @@ def t07_stable_sample(spark, sf):
 @query
 def t08_sample_exclusions(spark, sf):
     g = G.with_gates(B.raw_postings(spark, sf)).where("not keep").select("seq", F.col("reason").alias("filter_reason"))
-    return R.sample_exclusions(g, 20, "senior-level")
+    return R.sample_exclusions(g, 20, "senior-level", id_col="seq")
 
 
 @query
