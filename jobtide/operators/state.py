@@ -36,20 +36,27 @@ def normalize_postings(raw: DataFrame, now: Column, also: tuple[str, ...] = ())
     )
 
 
-def apply_cutover(batch: DataFrame, baseline: DataFrame, cutover: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(accepted, suppressed, next baseline).
+def cutover_flags(batch: DataFrame, baseline: DataFrame, cutover: Column) -> DataFrame:
+    """The batch with ``known`` (its id is baselined) and ``accepted``.
 
     A baselined id is promoted by its first row posted after the cutover; that row and
-    all later ones of the id are accepted, earlier ones stay suppressed.
+    all later ones of the id are accepted, earlier ones stay suppressed. The promoting
+    row of an id is a minimum, combined before the shuffle, so no task orders an id's rows;
+    the batch is read twice, so write it first where it is costly.
     """
-    known = batch.join(baseline.select("id", F.lit(True).alias("_known")).distinct(), "id", "left")
-    promotes = F.col("_known") & (F.col("posted_at") > cutover)
-    so_far = Window.partitionBy("id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flagged = known.withColumn("_promoted", F.coalesce(F.max(promotes).over(so_far), F.lit(False)))
-    accept = F.col("_known").isNull() | F.col("_promoted")
-    accepted, suppressed = flagged.where(accept), flagged.where(~accept)
-    promoted = flagged.where("_known and _promoted").select("id").distinct()
-    return accepted.drop("_known", "_promoted"), suppressed.drop("_known", "_promoted"), baseline.join(promoted, "id", "left_anti")
+    known = baseline.select("id").distinct()
+    first = batch.where(F.col("posted_at") > cutover).groupBy("id").agg(F.min(F.struct(*ORDER)).alias("_from"))
+    first = known.join(first, "id", "left").select("id", F.lit(True).alias("known"), "_from")
+    rows = batch.join(first, "id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return rows.withColumn("accepted", ~F.col("known") | F.coalesce(F.struct(*ORDER) >= F.col("_from"), F.lit(False))).drop("_from")
+
+
+def apply_cutover(batch: DataFrame, baseline: DataFrame, cutover: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(accepted, suppressed, next baseline) by ``cutover_flags``."""
+    flagged = cutover_flags(batch, baseline, cutover)
+    promoted = flagged.where("known and accepted").select("id").distinct()
+    accepted, suppressed = (flagged.where(keep).drop("known", "accepted") for keep in ("accepted", "not accepted"))
+    return accepted, suppressed, baseline.join(promoted, "id", "left_anti")
 
 
 def source_rank(source: Column) -> Column:

@@ -176,8 +176,7 @@ def _baseline(spark, sf):
 
 @query
 def j01_apply_cutover(spark, sf):
-    accepted, suppressed, _ = S.apply_cutover(_normalized(spark, sf), _baseline(spark, sf), B.stamp(B.CUTOVER))
-    return accepted.select("seq", F.lit(True).alias("accepted")).union(suppressed.select("seq", F.lit(False)))
+    return S.cutover_flags(_normalized(spark, sf), _baseline(spark, sf), B.stamp(B.CUTOVER)).select("seq", "accepted")
 
 
 def _state_columns(spark):
