@@ -26,7 +26,7 @@ def unescape_twice(raw: pd.Series) -> pd.Series:
 
 def strip_html(raw: Column | str, limit: int = BODY_LIMIT) -> Column:
     """Plain text of an HTML body. Only the entities need Python, in Arrow batches; null is empty."""
-    text = F.coalesce(unescape_twice(T.col(raw)), F.lit(""))
+    text = F.coalesce(F.when(T.col(raw).contains("&"), unescape_twice(T.col(raw))).otherwise(T.col(raw)), F.lit(""))
     text = F.regexp_replace(text, r"(?i)<(br|/p|/div|/li|/h[1-6])[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", " ")
     text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
@@ -150,21 +150,34 @@ def pipe_tables(files: DataFrame) -> DataFrame:
     return rows.select("file", "n", F.map_from_arrays("head", F.slice("cells", 1, F.size("head"))).alias("row"))
 
 
-def read_pipe_tables(spark: SparkSession, path: str, source: str, now: Column) -> DataFrame:
-    """Postings of Markdown tables; the new-grad file sets its term."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+)$", 1))
-    rows = pipe_tables(files)
+def _table_rows(spark: SparkSession, path: str, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(files, complete rows of their tables); a file is known by its whole path, as names repeat between folders."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     at = lambda name: F.try_element_at("row", F.lit(name))
-    rows = rows.select(
+    rows = pipe_tables(files).select(
         "file", cell_text(at("company")).alias("company"), cell_text(at("position")).alias("title"), cell_url(F.coalesce(at("posting"), F.lit(""))).alias("url"),
         F.nullif(F.regexp_replace(cell_text(at("location")), r"\s*\+\d+\s*$", ""), F.lit("")).alias("location"), D.age_to_posted_at(at("age"), now).alias("posted_at"),
     ).where("company <> '' and title <> '' and url <> ''")
+    return files, rows
+
+
+def read_pipe_tables(spark: SparkSession, path: str, source: str, now: Column) -> DataFrame:
+    """Postings of Markdown tables; the new-grad file sets its term."""
+    rows = _table_rows(spark, path, now)[1]
+    name = F.lower(F.regexp_extract("file", "([^/]+)$", 1))
     return _raw(
         rows, source, company=F.col("company"), title=F.col("title"), location=F.col("location"), apply_url=F.col("url"),
-        term_default=F.when(F.lower("file").contains("new_grad"), "new-grad"), posted_at=F.col("posted_at"),
+        term_default=F.when(name.contains("new_grad"), "new-grad"), posted_at=F.col("posted_at"),
     )
 
 
+def pipe_tables_quality(spark: SparkSession, path: str) -> DataFrame:
+    """By file: the rows kept, and a warning when there are none."""
+    files, rows = _table_rows(spark, path, F.current_timestamp())
+    kept = files.select("file").join(rows.groupBy("file").agg(F.count("*").alias("kept")), "file", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return kept.withColumn("warning", F.when(F.col("kept") == 0, F.concat(F.lit("parsed 0 rows in "), F.regexp_extract("file", "([^/]+)$", 1))))
+
+
 def load_roster(spark: SparkSession, path: str) -> DataFrame:
     """One row per board."""
     return _json(spark, path, ROSTER).select(F.explode("companies").alias("c")).select("c.*").withColumn("company_norm", T.normalize_company("name"))

@@ -11,9 +11,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from jobtide.plans.oracles import ORACLES
-from jobtide.plans.queries import QUERIES
 
+QUERIES, ORACLES = entry.QUERIES, entry.ORACLES
 SF = "/root/testdata/sf0.001"
 
 
@@ -51,3 +50,15 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns[:3] == ["term", "place", "id"]
+
+
+def test_rate_cap_against_one_by_one(spark):
+    """x03: the cap of the stream, counted push by push."""
+    got = {r.id: r.decision for r in QUERIES["x03_stream_rate_cap"](spark, SF).collect()}
+    hour, sent, want = datetime.timedelta(hours=1), {}, {}
+    events = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_id", "ts", "value").collect()
+    for e in sorted(events, key=lambda e: (e.ts, -int(e.value), str(e.event_id))):
+        recent = [s for s in sent.get(e.user_id, []) if e.ts - s < hour]
+        want[str(e.event_id)] = "interrupt" if len(recent) < 3 else "digest"
+        sent[e.user_id] = recent + [e.ts] * (len(recent) < 3)
+    assert got == want
