@@ -74,8 +74,10 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 def _folded(text: Column) -> Column:
     source, target, longer = _folds()
     table = mapping(longer)
+    # a class of scattered characters is tried one by one; cut with a range, it is tried for the few characters beyond Latin-1 only
+    low, high = ("".join(c for c in longer if (c > "\xff") == beyond) for beyond in (False, True))
     split = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    text = F.when(text.rlike("[" + "".join(longer) + "]"), split).otherwise(text)
+    text = F.when(text.rlike(f"[{low}[\u0100-\uffff&&[{high}]]]"), split).otherwise(text)
     return F.translate(text, source, target)
 
 
