@@ -14,6 +14,7 @@ from .repetition import op4_quality_rules
 from .resampling import op1_importance_resampling
 from .toxicity import op5_bigru_toxicity
 from .urls import OP10_SQL, op10_url_filter
+from .vectors import OP12_SQL, op12_bitmask_product_codes
 
 QUERIES: dict[str, Callable] = {
     "op1_importance_resampling": op1_importance_resampling,
@@ -26,10 +27,12 @@ QUERIES: dict[str, Callable] = {
     "op8_word_backoff_language": op8_word_backoff_language,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_url_filter": op10_url_filter,
+    "op12_bitmask_product_codes": op12_bitmask_product_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op10_url_filter": OP10_SQL,
+    "op12_bitmask_product_codes": OP12_SQL,
 }
