@@ -12,6 +12,7 @@ from .packing import op2_sum_of_squares_packing
 from .pii import op9_weak_supervision_pii
 from .repetition import op4_quality_rules
 from .resampling import op1_importance_resampling
+from .spelling import op13_pivotal_spelling_variants
 from .toxicity import op5_bigru_toxicity
 from .urls import OP10_SQL, op10_url_filter
 from .vectors import OP12_SQL, op12_bitmask_product_codes
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable] = {
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_url_filter": op10_url_filter,
     "op12_bitmask_product_codes": op12_bitmask_product_codes,
+    "op13_pivotal_spelling_variants": op13_pivotal_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
