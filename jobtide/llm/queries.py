@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from .chat import OP6_SQL, op6_chat_formatting
 from .decontaminate import OP3_SQL, op3_decontamination
+from .katz import OP11_SQL, op11_katz_backoff
 from .language import op8_word_backoff_language
 from .neardup import op7_minhash_neardup
 from .packing import op2_sum_of_squares_packing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable] = {
     "op8_word_backoff_language": op8_word_backoff_language,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_url_filter": op10_url_filter,
+    "op11_katz_backoff": op11_katz_backoff,
     "op12_bitmask_product_codes": op12_bitmask_product_codes,
     "op13_pivotal_spelling_variants": op13_pivotal_spelling_variants,
 }
@@ -36,5 +38,6 @@ ORACLES: dict[str, str] = {
     "op3_decontamination": OP3_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op10_url_filter": OP10_SQL,
+    "op11_katz_backoff": OP11_SQL,
     "op12_bitmask_product_codes": OP12_SQL,
 }
