@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import cache, reduce
 
@@ -43,26 +44,21 @@ def words_pattern(phrases: list[str]) -> str:
     return "|".join(rf"\b{re.escape(p)}\b" for p in phrases)
 
 
-#: Latin letters and their extensions, combining marks, letter-like signs and numerals, ligatures, full-width forms.
-FOLDED = [(0x80, 0x250), (0x300, 0x370), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F)]
-
-
 @cache
 def _folds() -> tuple[str, str, dict[str, str]]:
     """Characters whose compatibility decomposition has something to keep: (from, to, longer results).
 
-    Built from the Unicode tables by rule: decompose, drop combining marks, lower.
-    Combining marks come last in ``from`` and so are deleted by ``translate``. The
-    ranges keep expressions short; characters outside them separate words.
+    Built from the Unicode tables by rule, for every code point: decompose, drop combining
+    marks, lower. Combining marks come last in ``from`` and so are deleted by ``translate``.
     """
     single, plain, longer, marks = [], [], {}, []
-    for point in (p for first, last in FOLDED for p in range(first, last)):
-        char = chr(point)
-        if unicodedata.combining(char):
-            marks.append(char)
+    for char in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not unicodedata.combining(char) and not unicodedata.decomposition(char):
             continue
         folded = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)).lower()
-        if re.search("[a-z0-9&]", folded):
+        if not folded:
+            marks.append(char)
+        elif re.search("[a-z0-9&]", folded):
             if len(folded) == 1:
                 single.append(char)
                 plain.append(folded)
@@ -72,12 +68,14 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 
 
 def _folded(text: Column) -> Column:
+    """The text with all characters folded: a hashed table for those that fold to one, a search table for those that fold to several."""
     source, target, longer = _folds()
-    table = mapping(longer)
     # a class of scattered characters is tried one by one; cut with a range, it is tried for the few characters beyond Latin-1 only
-    low, high = ("".join(c for c in longer if (c > "\xff") == beyond) for beyond in (False, True))
-    split = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    text = F.when(text.rlike(f"[{low}[\u0100-\uffff&&[{high}]]]"), split).otherwise(text)
+    low, high = ({c: v for c, v in longer.items() if (c > "\xff") == beyond} for beyond in (False, True))
+    near, far = mapping(low), mapping(high)
+    one = lambda c: F.coalesce(F.when(c > "\xff", F.try_element_at(far, c)).when(c > "\x7f", F.try_element_at(near, c)), c)
+    split = F.array_join(F.transform(F.split(text, ""), one), "")
+    text = F.when(text.rlike(f"[{''.join(low)}[\u0100-\U0010ffff&&[{''.join(high)}]]]"), split).otherwise(text)
     return F.translate(text, source, target)
 
 

@@ -89,33 +89,31 @@ class Profile:
 def clearance(text: Column) -> tuple[Column, Column]:
     """(must hold one, may obtain one), each mention read within its surroundings.
 
-    Surroundings may overlap, so they are found by position: the text is cut at each
-    mention, and the end of what came before and the start of what follows are joined.
+    Surroundings may overlap. The text is cut at the mentions, long pieces between them
+    are cut to what can surround one, and each mention is joined with the pieces and
+    mentions before and after it that ``CONTEXT_CHARS`` characters can reach, so the work
+    is linear in the text and in the mentions.
     """
     flags, near = "(?iU)", R.CONTEXT_CHARS
     mention = flags + R.CLEARANCE
-    pieces, hits = F.split(text, mention), F.regexp_extract_all(text, F.lit(mention), F.lit(0))
-    # text before each mention and after it, up to ``near`` characters, from the pieces and mentions around it
-    starts = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), hits.alias("h")), F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["p"]) + F.coalesce(F.length(x["h"]), F.lit(0)))),
-    )
-    windows = T.let(
-        starts,
-        lambda s: F.transform(
-            hits,
-            lambda h, i: F.substr(
-                text,
-                F.greatest(F.get(s, i + 1) - F.length(h) - near, F.lit(0)) + 1,
-                F.get(s, i + 1) + near - F.greatest(F.get(s, i + 1) - F.length(h) - near, F.lit(0)),
-            ),
-        ),
-    )
+    reach = 2 * (near // (R.SHORTEST_MENTION + 1) + 1)  # pieces and mentions; between two mentions is a character at least
+    nearest = lambda p: F.when(F.length(p) > 2 * near, F.concat(F.left(p, F.lit(near)), F.right(p, F.lit(near)))).otherwise(p)
+    pieces, hits = F.transform(F.split(text, mention), nearest), F.regexp_extract_all(text, F.lit(mention), F.lit(0))
+    # piece, mention, piece, mention, ..., piece
+    chain = F.flatten(F.transform(F.arrays_zip(pieces.alias("p"), hits.alias("h")), lambda x: F.array(x["p"], F.coalesce(x["h"], F.lit("")))))
+
+    def window(chain: Column, i: Column) -> Column:
+        at = 2 * i + 2  # the mention's place, from 1
+        first = F.greatest(at - reach, F.lit(1))
+        before = F.right(F.array_join(F.slice(chain, first, at - first), ""), F.lit(near))
+        return F.concat(before, F.element_at(chain, at), F.left(F.array_join(F.slice(chain, at + 1, F.lit(reach)), ""), F.lit(near)))
+
+    windows = T.let(chain, lambda c: F.transform(F.sequence(F.lit(0), (F.size(c) / 2).cast("int") - 2), lambda i: window(c, i)))
     found = F.when(text.rlike(mention), windows).otherwise(F.array().cast("array<string>"))
-    obtain = lambda w: w.rlike(flags + R.OBTAINABLE)
-    may = F.exists(found, obtain)
-    must = F.exists(found, lambda w: ~obtain(w) & w.rlike(flags + R.ALREADY_HELD))
-    return must & ~may, may
+    # one pass over the windows: 2 where one may be obtained, 1 where one is held
+    judged = F.transform(found, lambda w: F.when(w.rlike(flags + R.OBTAINABLE), 2).when(w.rlike(flags + R.ALREADY_HELD), 1).otherwise(0))
+    verdict = F.coalesce(F.array_max(judged), F.lit(0))
+    return verdict == 1, verdict == 2
 
 
 def disqualifiers(df: DataFrame, profile: Profile) -> DataFrame:
