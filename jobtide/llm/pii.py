@@ -42,10 +42,11 @@ _LOCAL = r"[A-Za-z0-9._%+-]"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: (kind, is base, pattern, text that must occur). Possessive repeats keep long runs linear and off the
 #: stack; none of them changes what matches. An address is tried at the start of a run of its
-#: characters or where the last match ended, as any later start in a run fails like the first.
+#: characters or where the last match ended, and a number of an IP address at the start of a run of digits, as any later
+#: start in a run fails like the first.
 PATTERNS = [
     ("email", True, rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    ("ip", True, r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]"),
+    ("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]"),
     ("card", True, r"[0-9](?:[ -]?[0-9])++", "[0-9]"),
     ("phone", True, r"\+[0-9][ ().0-9-]+[0-9]", r"\+"),
     ("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?i:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:(?i:\(dot\)|\[dot\]|\{dot\})|\.) ?[A-Za-z]{2,24}+)++", r"(?i)[(\[{]at[)\]}]"),
@@ -125,7 +126,7 @@ def votes(r: Column) -> Column:
         F.when(kind == "email", _vote(match.rlike(r"[A-Za-z0-9]@[A-Za-z0-9].*\.[A-Za-z]{2,24}$"), match.rlike(r"^[.%+-]|\.\.|\.-|-\.|[0-9]$")))
         .when(kind == "ip", _vote(match.rlike(r"^[1-9][0-9]*(\.(0|[1-9][0-9]*)){3}$"), match.rlike(r"(^|\.)0[0-9]")))
         .when(kind == "card", _vote(match.rlike(r"^([0-9]+|([0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$"), match.rlike("(^|[ -])[0-9][ -]")))
-        .when(kind == "phone", _vote(match.rlike(r"^(\+[1-9][0-9]{0,2}[ .-]?)?(\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])?[0-9]{2,4}([ .-]?[0-9]{2,4})+$"), match.rlike(r"\.\.|--|[(][^)]*$|^[^(]*[)]")))
+        .when(kind == "phone", _vote(match.rlike(r"^(\+[1-9][0-9]{0,2}[ .-]?)?(\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])?[0-9]{2,4}([ .-]?[0-9]{2,4})+$"), match.rlike(r"\.\.|--|[(][^()]*$|^[^(]*[)]")))
         .when(kind == "secret", _vote(match.startswith("AKIA") | (value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 12)), value.rlike("^[A-Za-z]+$")))
         .otherwise(_vote(match.rlike("^[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}$"), match.startswith("9")))
     )

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import Memo, blocks, scratch, small_batches, spread_join, written
+from .textkit import Memo, blocks, drop_written, scratch, small_batches, spread_join, written
 
 #: Code points of a gram; grams of a prefix for one edit (GRAM + 1); pivots.
 GRAM, PREFIX = 2, 3
@@ -169,7 +169,9 @@ def near_words(words: DataFrame, crowded: int = CROWDED) -> DataFrame:
         sizes = rows.groupBy("key").agg(p.alias("p"), q.alias("q"), F.max("stage").alias("last")).where("p > 0 and q > 0")
         split = (F.col("p") * F.col("q") > crowded * (F.col("p") + F.col("q"))) & (F.col("last") < 2)
         sizes = written(sizes.select("key", (F.col("p") + F.col("q")).alias("m"), split.alias("split")), "sizes")
-        met = written(spread_join(rows.withColumn("many", F.lit(1)), sizes, ["key"], rows.count()), "met")
+        met = written(spread_join(rows, sizes, ["key"], rows.count()), "met")
+        drop_written(rows)
+        drop_written(sizes)
         one, two = met.where("not split and pivot"), met.where("not split and not pivot")
         two = two.select("key", "rev", F.col("text").alias("found"), F.col("n").alias("m2"), F.col("rank").alias("rank2"))
         pairs = one.join(two, ["key", "rev"]).where("text <> found and rank <= rank2 and abs(length(text) - length(found)) <= 1")
@@ -177,6 +179,7 @@ def near_words(words: DataFrame, crowded: int = CROWDED) -> DataFrame:
         word = lambda name: F.when(F.col("rev"), F.reverse(name)).otherwise(F.col(name))
         found.append(written(pairs.select(word("text").alias("word"), "n", word("found").alias("other"), F.col("m2").alias("m")), "pairs"))
         rows = written(_split(met.where("split")), "windows")
+        drop_written(met)
     if not found:
         return words.select("word", "n", F.col("word").alias("other"), F.col("n").alias("m")).limit(0)
     every = found[0]
