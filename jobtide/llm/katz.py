@@ -45,12 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import fold
-from .textkit import Memo, blocks, mix, scratch, segment_ids, small_batches, text_bytes, written
+from .textkit import Memo, blocks, mix, scratch, segment_ids, small_batches, text_bytes, trim, written
 
 ORDER = 2
 #: Counts up to this are discounted.
 SMALL = 5
-BLOCK_TOKENS, BUCKET_TOKENS = 4_000_000, 500_000
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 500_000
 #: A history with fewer training tokens is never hot.
 HOT_TOKENS, HOT_HISTORIES = 10_000, 1000
 
@@ -306,17 +306,20 @@ def _bucket_answers(level: int, buckets: int):
         np.add.at(sums, (owns[some], np.minimum(count[some], SMALL + 1) - 1), np.where(count[some] > SMALL, count[some], 1))
         below = np.bincount(owns[some], weights=lows[some], minlength=len(history))
         out = []
+        rank = np.empty(len(count), np.int64)  # frequent words get small numbers, whose upper bytes compress to nothing
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
         ends = np.cumsum(length)
         places = np.cumsum([len(k) for k in keys])
         for r, k, a, b, end in zip(rows, keys, ends - length, ends, places, strict=True):
             own = owner[end - len(k) : end]
             own = own[~is_hot[own]]
-            numbers = packed(gram[a:b] * buckets + bucket) if level == 0 else None
+            numbers = packed(rank[gram[a:b]] * buckets + bucket) if level == 0 else None
             out.append((0, level, r["block"], bucket, packed(count[gram[a:b]]), packed(sums[own].reshape(-1)), packed(below[own]), numbers, None, None, None))
         grams = [int((count == n).sum()) for n in range(1, SMALL + 2)] + [int(some.sum())]
         out.append((1, level, None, bucket, None, None, None, None, None, grams, 0.0))
         for i in np.flatnonzero(is_hot).tolist():
             out.append((2, level, None, bucket, None, None, None, None, int(history[i].view(np.int64)), sums[i].tolist() + [0], float(below[i])))
+        trim()
         types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.list_(pa.int64()), pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in ANSWER_SCHEMA.split(", ")])
 
@@ -331,6 +334,7 @@ def _rows_of(table: pa.Table, levels: int) -> dict[int, list[dict]]:
 
 
 def _climbed(row: dict, answers: pa.Table | None, plan: Plan, levels: list[Level]) -> Block:
+    trim()
     block = Block(row, _rows_of(answers, len(levels)) if answers is not None else {}, plan, levels)
     for _ in levels:
         block.climb()

@@ -25,7 +25,7 @@ BLOCK_BYTES = 1 << 20
 TRIM_BYTES = 8 << 20
 
 
-def _trim() -> None:
+def trim() -> None:
     """Hand freed memory back: workers outlive tasks, and what one stage has freed is of no use to the next one's JVM."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
@@ -60,8 +60,8 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         seen += done
         if seen > TRIM_BYTES:
             seen = 0
-            _trim()
-    _trim()
+            trim()
+    trim()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
