@@ -8,10 +8,12 @@ read what has landed, once, and write files.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import gates as G
 from ..operators import state as S
@@ -19,6 +21,7 @@ from ..schemas import POSTING, RAW_POSTING
 from ..sources import feeds, tables
 from ..sources.folders import new_folder
 from ..streaming import streams as X
+from ..streaming.snapshots import Chain
 from . import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,12 +43,17 @@ def land(rows: DataFrame, key: str, value: Column, label: str) -> str:
     return path
 
 
-def array_of(*fields: Column) -> Column:
-    return F.to_json(F.collect_list(F.struct(*fields)))
+def _in_order(fields: tuple[Column, ...], key: str) -> Column:
+    """A file's records, by key: what collect_list gathers has no order of its own."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.struct(*fields).alias("record")))), lambda x: x["record"])
 
 
-def named(name: str, *fields: Column) -> Column:
-    return F.to_json(F.struct(F.collect_list(F.struct(*fields)).alias(name)))
+def array_of(*fields: Column, key: str = "seq") -> Column:
+    return F.to_json(_in_order(fields, key))
+
+
+def named(name: str, *fields: Column, key: str = "seq") -> Column:
+    return F.to_json(F.struct(_in_order(fields, key).alias(name)))
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +116,7 @@ def table_files(spark: SparkSession, sf: str) -> str:
 
 
 def _columns(df: DataFrame) -> DataFrame:
-    return df.withColumn("degrees", F.array_join("degrees", ","))
+    return df.withColumn("degrees", F.array_join("degrees", ",")).drop("seq")
 
 
 @query
@@ -140,7 +148,7 @@ def s05_s06_read_pipe_tables(spark, sf):
 def s07_target_companies(spark, sf):
     k = F.col("s_suppkey")
     fields = [F.col("s_name").alias("name"), F.lit("ats").alias("ats"), k.cast("string").alias("token"), F.when(k % 5 != 0, k % 2 == 0).alias("target"), F.array(F.lit("t")).alias("tags"), (k % 3 == 0).alias("verified")]
-    path = land(B.read(spark, sf, "supplier"), "s_suppkey", named("companies", *fields), "roster")
+    path = land(B.read(spark, sf, "supplier"), "s_suppkey", named("companies", *fields, key="s_suppkey"), "roster")
     return feeds.target_companies(feeds.load_roster(spark, path))
 
 
@@ -160,15 +168,28 @@ def s12_tables_quality(spark, sf):
     return found.select(_chunk(), "kept", F.col("warning").isNotNull().alias("warned"))
 
 
+def _feeds(spark: SparkSession, sf: str) -> dict:
+    """Three sources from landed files; the boards are two feeds of one."""
+    boards = [feeds.read_board_c(spark, board_c_files(spark, sf), "Acme"), feeds.read_board_b(spark, board_b_files(spark, sf), "Acme")]
+    return {"listings": feeds.read_listings(spark, listings_files(spark, sf)), "swe": feeds.read_pipe_tables(spark, table_files(spark, sf), "swe", B.stamp(B.NOW)), "ats": boards}
+
+
 @query
 def s13_u01_union_sources(spark, sf):
-    parts = {
-        "listings": feeds.read_listings(spark, listings_files(spark, sf)), "swe": feeds.read_pipe_tables(spark, table_files(spark, sf), "swe", B.stamp(B.NOW)),
-        "ats": feeds.read_board_c(spark, board_c_files(spark, sf), "Acme"),
-    }
+    parts = _feeds(spark, sf) | {"ats": feeds.read_board_c(spark, board_c_files(spark, sf), "Acme")}
     return feeds.union_sources(parts).groupBy("source_order", "source").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("places"))
 
 
+@query
+def s13_u01_places(spark, sf):
+    """Each row's place: source, feed, file in the order of paths, position in the file."""
+    rows, seq = feeds.union_sources(_feeds(spark, sf)), F.col("seq")
+    part = lambda shift, bits: F.shiftright(seq, shift).bitwiseAND((1 << bits) - 1)
+    return rows.select(
+        "source_order", part(feeds.POSITION_BITS + feeds.FILE_BITS, 15).alias("feed"), part(feeds.POSITION_BITS, feeds.FILE_BITS).alias("file"), part(0, feeds.POSITION_BITS).alias("position"), "title", "apply_url"
+    )
+
+
 def stored(spark: SparkSession, sf: str) -> DataFrame:
     """Stored postings with every column of the schema."""
     rows = B.postings(spark, sf)
@@ -227,58 +248,117 @@ def s20_review(spark, sf):
 
 # --- streams ------------------------------------------------------------------
 
+#: Landings, each of which a stream takes up from its checkpoint in a run of its own.
+TURNS = 5
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, X.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_turns(rows: DataFrame, turn: Column, run: Callable[[str], StreamingQuery], label: str) -> str:
+    """Land the rows of one turn after the other, and let the stream that ``run(folder)`` starts take up each."""
+    path = new_folder(rows.sparkSession, label)
+    for i in range(TURNS):
+        rows.where(turn == i).write.mode("append").parquet(f"{path}/in")
+        running = run(path)
+        running.awaitTermination()
+        if running.exception() is not None:
+            raise running.exception()
+    return path
+
 
-def _events(spark: SparkSession, sf: str, *columns: Column) -> DataFrame:
-    """The events as a stream of landed files; a stream reads folders, while a given table may be one file."""
-    path, rows = new_folder(spark, "events"), B.read(spark, sf, "events").select(*columns)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+def finished(rows: DataFrame, turn: Column, make: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """The rows, landed in turns, through a stream into files, and those read."""
+    spark, schema = rows.sparkSession, []
 
+    def run(path: str) -> StreamingQuery:
+        stream = make(X.landing(spark, f"{path}/in", rows.schema))
+        schema[:] = [stream.schema]
+        return stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
 
-def finished(stream: DataFrame, label: str) -> DataFrame:
-    """Run a stream over all that has landed into files, and read those."""
-    spark, path = stream.sparkSession, new_folder(stream.sparkSession, label)
-    running = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    with _rocksdb(spark):
+        path = in_turns(rows, turn, run, label)
+    return spark.read.schema(schema[0]).parquet(f"{path}/out")
+
+
+def _by_time(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+    """The events with ``ts``, and the turn of each: fifths of the time they cover."""
+    rows = B.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    return rows, F.floor((F.unix_micros("ts") - (first or 0)) * TURNS / ((last or 0) - (first or 0) + 1)).cast("int")
 
 
 @query
 def x01_x05_stream_ingest(spark, sf):
-    """Landed raw postings through the batch functions, a snapshot for each micro-batch."""
-    path = new_folder(spark, "ingest")
-    _raw(spark, sf).write.parquet(f"{path}/in")
-
-    def merge(batch: DataFrame, n: int) -> None:
-        inner = batch.sparkSession
-        state = tables.read_snapshot(inner, f"{path}/state", str(n - 1), POSTING) if n else S.empty(inner, POSTING)
-        rows = S.normalize_postings(G.with_gates(batch).where("keep"), B.stamp(B.NOW))
-        tables.write_snapshot(S.upsert(state, rows).drop("is_new", "url_upgrades"), f"{path}/state", str(n), 8)
-
-    running = X.stream_ingest(X.landing(spark, f"{path}/in", RAW_POSTING), merge, f"{path}/log")
-    running.awaitTermination()
-    last = running.lastProgress
-    after = tables.read_snapshot(spark, f"{path}/state", str(last["batchId"]), POSTING) if last else S.empty(spark, POSTING)
+    """Landed raw postings through the batch functions, a snapshot for each of five micro-batches; later ones bring late rows."""
+    rows = _raw(spark, sf)
+    chains = {}
+
+    def merge(state: DataFrame, batch: DataFrame) -> DataFrame:
+        new = S.normalize_postings(G.with_gates(batch).where("keep"), B.stamp(B.NOW))
+        return S.upsert(state, new).drop("is_new", "url_upgrades")
+
+    def run(path: str) -> StreamingQuery:
+        chain = chains.setdefault(path, Chain(f"{path}/state", POSTING, partitions=8))
+        return X.stream_ingest(X.landing(spark, f"{path}/in", RAW_POSTING), chain, merge, f"{path}/log")
+
+    path = in_turns(rows, F.col("seq") % TURNS, run, "ingest")
+    after = chains[path].read(spark)
     return after.select("id", "company", "title", "term", "location", "remote", "apply_url", "source", "source_id", "source_url", "posted_at", "posted_precision", "status", "link_status")
 
 
 @query
 def x02_stream_first_seen(spark, sf):
-    events = _events(spark, sf, F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("seen_at"))
-    return finished(X.stream_first_seen(events), "first-seen").select("id")
+    """Each user once, over five landings."""
+    events, turn = _by_time(spark, sf)
+    rows = events.select(F.col("user_id").cast("string").alias("id"), F.col("ts").alias("seen_at"), turn.alias("turn"))
+    return finished(rows, F.col("turn"), X.stream_first_seen, "first-seen").select("id")
+
+
+@query
+def x02_first_seen_within(spark, sf):
+    """Each user at most once in 48 hours of bounded memory; each landing has a user's last event of its time only."""
+    events, turn = _by_time(spark, sf)
+    rows = events.groupBy(F.col("user_id").cast("string").alias("id"), turn.alias("turn")).agg(F.max("ts").alias("seen_at"))
+    return finished(rows, F.col("turn"), X.stream_first_seen_within, "seen-within").select("id", "seen_at")
 
 
 @query
 def x03_stream_rate_cap(spark, sf):
     """Pushes of each user as a channel; the cap is sequential, so a brute-force test takes the place of SQL."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", X.ROCKSDB)
-    events = _events(spark, sf, F.col("user_id").cast("string").alias("channel"), F.col("event_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("int").alias("score"))
-    return finished(X.stream_rate_cap(events), "capped")
+    events, turn = _by_time(spark, sf)
+    rows = events.select(F.col("user_id").cast("string").alias("channel"), F.col("event_id").cast("string").alias("id"), "ts", F.col("value").cast("int").alias("score"), turn.alias("turn"))
+
+    def run(path: str) -> StreamingQuery:
+        chain = Chain(f"{path}/sent", X.SENT, partitions=8, key="channel")
+        return X.stream_rate_cap(X.landing(spark, f"{path}/in", rows.schema), chain, f"{path}/out", f"{path}/log")
+
+    return X.read_decisions(spark, f"{in_turns(rows, F.col('turn'), run, 'capped')}/out").select("id", "ts", "score", "decision")
+
+
+@query
+def x03_push_counts(spark, sf):
+    events, turn = _by_time(spark, sf)
+    found = finished(events.select("ts", turn.alias("turn")), F.col("turn"), X.stream_push_counts, "pushes")
+    return found.select(F.col("window.start").alias("window_start"), "n")
 
 
 @query
 def x04_stream_expiry(spark, sf):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", X.ROCKSDB)
-    k = F.col("event_id")
-    events = _events(spark, sf, F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("run_at"), (k % 5 != 0).alias("healthy"), (k % 7 == 0).alias("seen"))
-    return finished(X.stream_expiry(events), "expired")
+    """Runs of each source every six hours, and the users that each showed."""
+    events, turn = _by_time(spark, sf)
+    run_at = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 21600) * 21600)
+    runs = B.run_history(spark, sf).select("source", F.col("started_at").alias("run_at"), (~F.col("not_modified")).alias("healthy"))
+    shown = events.select(F.col("event_type").alias("source"), run_at.alias("run_at"), F.col("user_id").cast("string").alias("id")).distinct().join(runs, ["source", "run_at"])
+    rows = shown.select("source", "run_at", "healthy", "id").unionByName(runs.withColumn("id", F.lit(None).cast("string")))
+    first, last = rows.agg(F.unix_timestamp(F.min("run_at")), F.unix_timestamp(F.max("run_at"))).first()
+    rows = rows.withColumn("turn", F.floor((F.unix_timestamp("run_at") - (first or 0)) * TURNS / ((last or 0) - (first or 0) + 1)).cast("int"))
+    return finished(rows, F.col("turn"), lambda stream: X.stream_expiry(stream, 8), "expired")

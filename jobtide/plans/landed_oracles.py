@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import bindings as B
-from .landed import AUDIT_DAYS, CATEGORIES, FILE_ROWS, SINCE, TODAY
+from .landed import AUDIT_DAYS, CATEGORIES, FILE_ROWS, SINCE, TODAY, TURNS
 from .oracles import BATCH, merged
 
 RAW = f"WITH {B.RAW_SQL}"
@@ -45,6 +45,19 @@ TABLES = feed(
     posted_at=f"CASE WHEN seq % 11 <> 0 THEN TIMESTAMP '{B.NOW}' - to_days(CAST(seq % 30 AS INT)) END",
 )
 
+LISTINGS_KEPT, BOARD_C_KEPT = f"{OPEN} AND {FITS}", f"{LINKED} AND seq % 8 <> 0"
+#: Files are written by chunk, in folders named by it; a file's place follows the order of those names.
+PLACED = f"""named AS (SELECT chunk, row_number() OVER (ORDER BY 'chunk=' || chunk || '/') - 1 AS file FROM (SELECT DISTINCT seq // {FILE_ROWS} AS chunk FROM raw)),
+placed AS (SELECT raw.*, file, row_number() OVER (PARTITION BY chunk ORDER BY seq) - 1 AS position FROM raw JOIN named ON seq // {FILE_ROWS} = chunk)"""
+
+
+def placed(kept: str) -> str:
+    return f"SELECT * FROM placed WHERE {kept}"
+
+
+#: Events by the fifth of their time in which they landed.
+BY_TIME = f"e AS (SELECT *, CAST(floor(CAST(epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events) AS DOUBLE) * {TURNS} / ((SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events) + 1)) AS INT) AS turn FROM events)"
+
 ORACLES: dict[str, str] = {
     "s01_read_listings": f"{RAW} {LISTINGS}",
     "s02_read_board_a": f"{RAW} {BOARD_A}",
@@ -57,6 +70,9 @@ ORACLES: dict[str, str] = {
     "s12_tables_quality": f"{RAW} SELECT seq // {FILE_ROWS} AS chunk, count(*) FILTER ({IN_TABLE}) AS kept, count(*) FILTER ({IN_TABLE}) = 0 AS warned FROM raw GROUP BY 1",
     "s13_u01_union_sources": f"""{RAW} SELECT * FROM (SELECT 0 AS source_order, 'listings' AS source, count(*) AS n, count(*) AS places FROM ({LISTINGS})
 UNION ALL SELECT 1, 'swe', count(*), count(*) FROM ({TABLES}) UNION ALL SELECT 3, 'ats', count(*), count(*) FROM ({BOARD_C})) WHERE n > 0""",
+    "s13_u01_places": f"""{RAW}, {PLACED} SELECT 0 AS source_order, 0 AS feed, file, position, title, apply_url FROM ({placed(LISTINGS_KEPT)})
+UNION ALL SELECT 1, 0, file, position + 4, replace(title, '|', '/'), apply_url FROM ({placed(IN_TABLE)})
+UNION ALL SELECT 3, 0, file, position, title, apply_url FROM ({placed(BOARD_C_KEPT)}) UNION ALL SELECT 3, 1, file, position, title, apply_url FROM ({placed(LINKED)})""",
     "s14_s15_export_restore": f"""{P} SELECT id, company, title, term, location, remote, apply_url, source, first_seen_at, posted_at, posted_precision, tier, score, status, link_status, 'heuristic' AS tier_source,
   array_to_string(disqualifiers, ',') AS disqualifiers FROM p""",
     "s16_baseline": f"{P} SELECT DISTINCT id FROM p WHERE tier = 1",
@@ -65,11 +81,24 @@ UNION ALL SELECT 1, 'swe', count(*), count(*) FROM ({TABLES}) UNION ALL SELECT 3
 SELECT 'r' || CAST(epoch(started_at) AS BIGINT) AS run_id, started_at, d AS duration_s, source, raw_fetched, new FROM r WHERE started_at >= TIMESTAMP '{SINCE}'""",
     "s19_r03_audit": f"{H} SELECT 'r' || CAST(epoch(started_at) AS BIGINT) AS run_id, CAST(sum(new) AS BIGINT) AS n FROM h WHERE CAST(started_at AS DATE) >= DATE '{TODAY}' - {AUDIT_DAYS} GROUP BY started_at",
     "s20_review": f"{P} SELECT id, company, title, term, tier, score, location, apply_url, array_to_string(disqualifiers, '|') AS disqualifiers FROM p",
-    "x01_x05_stream_ingest": f"""{BATCH}, {merged('1')} SELECT id, company, title, term, location, remote, apply_url, source, source_id, source_url, posted_at, posted_precision,
+    "x01_x05_stream_ingest": f"""{BATCH}, {merged(f'seq % {TURNS}')} SELECT id, company, title, term, location, remote, apply_url, source, source_id, source_url, posted_at, posted_precision,
   'new' AS status, 'unchecked' AS link_status FROM merged""",
     "x02_stream_first_seen": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events",
-    "x04_stream_expiry": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, ts AS run_at, event_id % 7 = 0 AS seen FROM events WHERE event_id % 5 <> 0),
-g AS (SELECT *, count(*) FILTER (seen) OVER (PARTITION BY id ORDER BY run_at, seen ROWS UNBOUNDED PRECEDING) AS part FROM e),
-m AS (SELECT id, run_at, min(run_at) OVER (PARTITION BY id, part) AS since FROM g WHERE NOT seen)
-SELECT id, min(run_at) AS expired_at FROM m WHERE run_at - since >= INTERVAL 48 HOUR GROUP BY id""",
+    "x02_first_seen_within": f"""WITH {BY_TIME}, last AS (SELECT CAST(user_id AS VARCHAR) AS id, turn, max(ts) AS seen_at FROM e GROUP BY ALL),
+marks AS (SELECT turn, max(max(seen_at)) OVER (ORDER BY turn) - INTERVAL 48 HOUR AS mark FROM last GROUP BY turn),
+before AS (SELECT last.*, (SELECT max(mark) FROM marks WHERE marks.turn < last.turn) AS mark FROM last),
+told AS (SELECT id, list({{'turn': turn, 'seen_at': seen_at, 'mark': mark, 'kept': true, 'held': seen_at}} ORDER BY turn) AS l FROM before GROUP BY id),
+steps AS (SELECT id, unnest(range(1, len(l) + 1)) AS k, l FROM told),
+kept AS (SELECT id, list_reduce(l[:k], lambda a, x: {{'turn': x.turn, 'seen_at': x.seen_at, 'mark': x.mark, 'kept': a.held + INTERVAL 48 HOUR <= x.mark,
+  'held': CASE WHEN a.held + INTERVAL 48 HOUR <= x.mark THEN x.seen_at ELSE a.held END}}) AS r FROM steps)
+SELECT id, r.seen_at AS seen_at FROM kept WHERE r.kept""",
+    "x03_push_counts": """WITH w AS (SELECT to_timestamp((epoch(ts)::BIGINT // 600 - k) * 600)::TIMESTAMP AS window_start FROM (SELECT date_trunc('second', ts) AS ts FROM events), range(6) t(k))
+SELECT window_start, count(*) AS n FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY window_start""",
+    "x04_stream_expiry": f"""WITH {B.HISTORY_SQL}, runs AS (SELECT source, started_at AS run_at FROM h WHERE NOT not_modified),
+shown AS (SELECT DISTINCT event_type AS source, CAST(user_id AS VARCHAR) AS id, to_timestamp(floor(epoch(ts) / 21600) * 21600)::TIMESTAMP AS run_at FROM events),
+s AS (SELECT shown.* FROM shown JOIN runs USING (source, run_at)),
+n AS (SELECT *, lead(run_at) OVER (PARTITION BY source, id ORDER BY run_at) AS again FROM s),
+m AS (SELECT *, (SELECT min(r.run_at) FROM runs r WHERE r.source = n.source AND r.run_at > n.run_at) AS missed FROM n),
+d AS (SELECT *, (SELECT min(r.run_at) FROM runs r WHERE r.source = m.source AND r.run_at >= m.missed + INTERVAL 48 HOUR) AS due FROM m)
+SELECT source, id, min(due) AS expired_at FROM d WHERE (again IS NULL OR due < again) AND due <= (SELECT max(started_at) FROM h) - INTERVAL 6 HOUR GROUP BY ALL""",
 }

@@ -1,14 +1,21 @@
-"""Readers: each turns landed files of one feed into raw postings."""
+"""Readers: each turns landed files of one feed into raw postings.
+
+Every row carries ``seq``, its place in the feed: the place of its file in the order of
+paths and its position in the file. Both come from the scan, so the order is the same on
+every layout and at every reading. A feed file is read whole, by one task; feeds land as
+many files of bounded size.
+"""
 
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructType
 from pyspark.sql.window import Window
 
 from .. import rules as R
@@ -16,6 +23,10 @@ from ..functions import dates as D
 from ..functions import text as T
 
 BODY_LIMIT = 6000
+#: Bits of ``seq`` for the position in a file and for the file's place; above them stands the feed's number in its source.
+POSITION_BITS, FILE_BITS = 24, 24
+#: Up to this many files, their places are broadcast (a path and a number each).
+BROADCAST_FILES = 50_000
 
 
 @F.pandas_udf(StringType())
@@ -47,25 +58,46 @@ JOBS_C = "jobs array<struct<id:string,title:string,department:string,team:string
 ROSTER = "companies array<struct<name:string,ats:string,token:string,target:boolean,tags:array<string>,verified:boolean,note:string>>"
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, value): every file's whole text and its place in the order of paths.
+
+    The driver has the listing of any scan of files; the places are taken from it.
+    """
+    # the listing and the rows write the slashes after a scheme differently
+    name = F.regexp_replace("_metadata.file_path", "^([a-z0-9]+):/+", "$1:/")
+    files = spark.read.text(path, wholetext=True).select("value", name.alias("file"))
+    places = [(name, i) for i, name in enumerate(sorted(re.sub("^([a-z0-9]+):/+", r"\1:/", f) for f in files.inputFiles()))]
+    table = spark.createDataFrame(places, "file string, place long")
+    return files.join(F.broadcast(table) if len(places) <= BROADCAST_FILES else table, "file")
+
+
+def seq(place: str, position: str) -> Column:
+    return F.shiftleft(F.col(place).cast("long"), POSITION_BITS) + F.col(position)
+
+
+def _records(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
+    """(file, seq, the record's columns) of JSON files: an array of records, or an object with one in ``field``. A file without records gives one row of nulls."""
+    kind = StructType.fromDDL(schema)
+    parsed = F.from_json("value", ArrayType(kind)) if field is None else F.from_json("value", kind)[field]
+    rows = whole_files(spark, path).select("file", "place", F.posexplode_outer(parsed).alias("position", "record"))
+    return rows.select("file", seq("place", "position").alias("seq"), "record.*")
 
 
 def _raw(df: DataFrame, source: str, **given: Column) -> DataFrame:
-    """All columns of a raw posting; those not given are null."""
+    """All columns of a raw posting, and its place; those not given are null."""
     none = lambda kind: F.lit(None).cast(kind)
     values = {
         "source": F.lit(source), "company": none("string"), "title": none("string"), "location": none("string"), "apply_url": none("string"),
         "description": none("string"), "term_default": none("string"), "posted_at": none("timestamp"), "remote_hint": none("boolean"), "source_id": none("string"),
         "sponsorship": none("string"), "degrees": none("array<string>"),
     } | given
-    out = df.select(*[v.alias(k) for k, v in values.items()])
+    out = df.select(*[v.alias(k) for k, v in values.items()], "seq")
     return out.withColumn("posted_precision", D.posted_precision("source", "posted_at"))
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """An array of records; active and visible ones of a relevant or no category."""
-    rows = _json(spark, path, LISTING)
+    rows = _records(spark, path, LISTING)
     fits = F.coalesce("category", F.lit("")).isin("", *R.RELEVANT_CATEGORIES)
     rows = rows.where(F.coalesce("active", F.lit(False)) & F.coalesce("is_visible", F.lit(True)) & fits)
     return _raw(
@@ -78,14 +110,14 @@ def listings_quality(spark: SparkSession, path: str) -> DataFrame:
     """By file: records, inactive, off-category, kept, and a warning when nothing is left."""
     on = F.coalesce("active", F.lit(False)) & F.coalesce("is_visible", F.lit(True))
     fits = F.coalesce("category", F.lit("")).isin("", *R.RELEVANT_CATEGORIES)
-    rows = _json(spark, path, LISTING).withColumn("file", F.input_file_name())
-    out = rows.groupBy("file").agg(F.count("*").alias("records"), F.count_if(~on).alias("inactive"), F.count_if(on & ~fits).alias("off_category"), F.count_if(on & fits).alias("kept"))
+    rows = _records(spark, path, LISTING)
+    out = rows.groupBy("file").agg(F.count("seq").alias("records"), F.count_if(~on & F.col("seq").isNotNull()).alias("inactive"), F.count_if(on & ~fits).alias("off_category"), F.count_if(on & fits).alias("kept"))
     return out.withColumn("warning", F.when(F.col("kept") == 0, F.format_string("parsed 0 from %d", "records")))
 
 
 def read_board_a(spark: SparkSession, path: str, company: str | None = None) -> DataFrame:
     """``{"jobs": [...]}`` with first_published and escaped HTML bodies; title and link required."""
-    rows = _json(spark, path, JOBS_A).select(F.explode("jobs").alias("j")).select("j.*").where("title <> '' and absolute_url <> ''")
+    rows = _records(spark, path, JOBS_A, "jobs").where("title <> '' and absolute_url <> ''")
     return _raw(
         rows, "ats", company=F.coalesce(F.nullif("company_name", F.lit("")), F.lit(company)), title=F.col("title"), location=F.col("location.name"), apply_url=F.col("absolute_url"),
         description=strip_html("content"), posted_at=D.parse_timestamp("first_published"), source_id=F.col("id").cast("string"),
@@ -95,7 +127,7 @@ def read_board_a(spark: SparkSession, path: str, company: str | None = None) ->
 def read_board_b(spark: SparkSession, path: str, company: str | None = None) -> DataFrame:
     """S3: a bare array with epoch milliseconds and a workplace type."""
     link = F.coalesce(F.nullif("hostedUrl", F.lit("")), F.nullif("applyUrl", F.lit("")))
-    rows = _json(spark, path, JOBS_B).withColumn("_link", link).where("text <> '' and _link is not null")
+    rows = _records(spark, path, JOBS_B).withColumn("_link", link).where("text <> '' and _link is not null")
     place = F.lower(F.coalesce("workplaceType", F.lit("")))
     body = F.coalesce(F.nullif("descriptionPlain", F.lit("")), strip_html("description"))
     return _raw(
@@ -106,7 +138,7 @@ def read_board_b(spark: SparkSession, path: str, company: str | None = None) ->
 
 def read_board_c(spark: SparkSession, path: str, company: str | None = None) -> DataFrame:
     """``{"jobs": [...]}``; rows that say they are not listed are left out."""
-    rows = _json(spark, path, JOBS_C).select(F.explode("jobs").alias("j")).select("j.*")
+    rows = _records(spark, path, JOBS_C, "jobs")
     rows = rows.withColumn("_link", F.coalesce(F.nullif("jobUrl", F.lit("")), F.nullif("applyUrl", F.lit(""))))
     rows = rows.where("title <> '' and _link is not null and not (isListed <=> false)")
     body = F.coalesce(F.nullif("descriptionPlain", F.lit("")), strip_html("descriptionHtml"))
@@ -127,12 +159,12 @@ def cell_url(cell: Column) -> Column:
 
 
 def pipe_tables(files: DataFrame) -> DataFrame:
-    """S5, first half: files(file, value whole text) -> (file, row map by header name) of every table with company and position.
+    """S5, first half: files(file, place, value whole text) -> (file, place, line, row map by header name) of every table with company and position.
 
     Lines of one file form islands: a line that is no table line ends one, and a header
     followed by a dash line begins one. The work is by file, so many files run at once.
     """
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    lines = files.select("file", "place", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     trimmed = F.regexp_replace(F.trim("line"), r"^\|+|\|+$", "")
     lines = lines.withColumn("cells", F.transform(F.split(trimmed, r"\|"), lambda c: F.trim(c))).withColumn("is_row", F.col("line").startswith("|"))
     by_file = Window.partitionBy("file").orderBy("n")
@@ -147,15 +179,15 @@ def pipe_tables(files: DataFrame) -> DataFrame:
     begin = F.last(F.when(F.col("is_header"), F.col("n")), ignorenulls=True).over(island)
     rows = lines.withColumn("head", head).withColumn("begin", begin).where(~F.col("is_header") & F.col("is_row") & (F.col("n") > F.col("begin") + 1))
     rows = rows.where(F.size("cells") >= F.size("head"))
-    return rows.select("file", "n", F.map_from_arrays("head", F.slice("cells", 1, F.size("head"))).alias("row"))
+    return rows.select("file", "place", "n", F.map_from_arrays("head", F.slice("cells", 1, F.size("head"))).alias("row"))
 
 
 def _table_rows(spark: SparkSession, path: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """(files, complete rows of their tables); a file is known by its whole path, as names repeat between folders."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    files = whole_files(spark, path)
     at = lambda name: F.try_element_at("row", F.lit(name))
     rows = pipe_tables(files).select(
-        "file", cell_text(at("company")).alias("company"), cell_text(at("position")).alias("title"), cell_url(F.coalesce(at("posting"), F.lit(""))).alias("url"),
+        "file", seq("place", "n").alias("seq"), cell_text(at("company")).alias("company"), cell_text(at("position")).alias("title"), cell_url(F.coalesce(at("posting"), F.lit(""))).alias("url"),
         F.nullif(F.regexp_replace(cell_text(at("location")), r"\s*\+\d+\s*$", ""), F.lit("")).alias("location"), D.age_to_posted_at(at("age"), now).alias("posted_at"),
     ).where("company <> '' and title <> '' and url <> ''")
     return files, rows
@@ -180,17 +212,22 @@ def pipe_tables_quality(spark: SparkSession, path: str) -> DataFrame:
 
 def load_roster(spark: SparkSession, path: str) -> DataFrame:
     """One row per board."""
-    return _json(spark, path, ROSTER).select(F.explode("companies").alias("c")).select("c.*").withColumn("company_norm", T.normalize_company("name"))
+    return _records(spark, path, ROSTER, "companies").where("seq is not null").drop("file", "seq").withColumn("company_norm", T.normalize_company("name"))
 
 
 def target_companies(roster: DataFrame) -> DataFrame:
     return roster.where("target").select("company_norm").distinct()
 
 
-def union_sources(feeds: dict[str, DataFrame], only: list[str] | None = None) -> DataFrame:
-    """All feeds with (source_order, seq), the order that later merges follow."""
+def union_sources(feeds: dict[str, DataFrame | list[DataFrame]], only: list[str] | None = None) -> DataFrame:
+    """All feeds with (source_order, seq), the order that later merges follow.
+
+    A source of several feeds (boards) comes as a list; its feeds follow each other.
+    """
     parts = []
     for name, order in R.SOURCE_ORDER.items():
         if name in feeds and (only is None or name in only):
-            parts.append(feeds[name].withColumn("source_order", F.lit(order)).withColumn("seq", F.monotonically_increasing_id()))
+            own = feeds[name] if isinstance(feeds[name], list) else [feeds[name]]
+            shift = lambda i: F.lit(i << (POSITION_BITS + FILE_BITS))
+            parts += [feed.withColumn("source_order", F.lit(order)).withColumn("seq", F.col("seq") + shift(i)) for i, feed in enumerate(own)]
     return reduce(DataFrame.unionByName, parts)

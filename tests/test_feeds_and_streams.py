@@ -72,7 +72,7 @@ def test_roster_and_union(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"companies": [{"name": "Acme, Inc.", "ats": "x", "token": "a", "target": True, "tags": ["t"], "verified": True}, {"name": "B", "target": False}]}))
     roster = S1.load_roster(spark, str(tmp_path / "r.json"))
     assert [r.company_norm for r in S1.target_companies(roster).collect()] == ["acme"]
-    one = S1._raw(spark.range(2), "ats", title=F.lit("x"))
+    one = S1._raw(spark.range(2).withColumnRenamed("id", "seq"), "ats", title=F.lit("x"))
     both = S1.union_sources({"ats": one, "listings": one})
     assert [r.source_order for r in both.orderBy("source_order").collect()] == [0, 0, 3, 3] and S1.union_sources({"ats": one, "listings": one}, ["ats"]).count() == 2
 
