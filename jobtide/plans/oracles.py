@@ -291,14 +291,21 @@ p AS (SELECT merged.*, {NOW} AS first_seen_at, coalesce(dq.disqualifiers, []) AS
 ranked AS (SELECT *, CAST(heuristic_score AS INT) AS score, {TIER('heuristic_score')} AS tier FROM scored)
 SELECT * FROM (SELECT term, row_number() OVER (PARTITION BY {TERM_RANK} ORDER BY {RANK['date']}) AS place, id, company, title, location_norm, tier, score, heuristic_trace FROM ranked) WHERE place <= 20"""
 
-HEALTH = f"""{H}, a AS (SELECT *, coalesce(responding, raw_fetched) AS measured, responding IS NOT NULL AS b,
-  quantile_cont(responding, 0.5) FILTER (NOT not_modified AND responding > 0) {TRAIL} AS mb, count(*) FILTER (NOT not_modified AND responding > 0) {TRAIL} AS nb,
-  quantile_cont(raw_fetched, 0.5) FILTER (NOT not_modified AND raw_fetched > 0) {TRAIL} AS mr, count(*) FILTER (NOT not_modified AND raw_fetched > 0) {TRAIL} AS nr,
-  quantile_cont(midnight / dated, 0.5) FILTER (dated > 0 AND midnight IS NOT NULL) {TRAIL} AS ms, count(*) FILTER (dated > 0 AND midnight IS NOT NULL) {TRAIL} AS ns,
-  max(started_at) FILTER (NOT not_modified AND raw_fetched > 0) OVER (PARTITION BY source ORDER BY started_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS la FROM h),
+def health(runs: str) -> str:
+    """Verdicts over the runs of a table: the last 20 of a source, and of these those of eight days."""
+    entry = "{'at': started_at, 'b': CASE WHEN NOT not_modified AND responding > 0 THEN responding END, 'r': CASE WHEN NOT not_modified AND raw_fetched > 0 THEN raw_fetched END, 's': CASE WHEN dated > 0 THEN midnight / dated END}"
+    of = lambda k: f"list_filter(list_transform(list_filter(l, lambda x: x.at >= started_at - INTERVAL 8 DAY), lambda x: CAST(x.{k} AS DOUBLE)), lambda v: v IS NOT NULL)"
+    return f"""{H}, l AS (SELECT *, coalesce(list({entry}) {TRAIL}, []) AS l,
+  max(started_at) FILTER (NOT not_modified AND raw_fetched > 0) OVER (PARTITION BY source ORDER BY started_at RANGE BETWEEN INTERVAL 8 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS la FROM {runs}),
+a AS (SELECT *, coalesce(responding, raw_fetched) AS measured, responding IS NOT NULL AS b, list_aggregate({of('b')}, 'median') AS mb, len({of('b')}) AS nb, list_aggregate({of('r')}, 'median') AS mr, len({of('r')}) AS nr,
+  list_aggregate({of('s')}, 'median') AS ms, len({of('s')}) AS ns FROM l),
 c AS (SELECT *, CASE WHEN NOT not_modified AND CASE WHEN b THEN nb ELSE nr END >= 3 THEN CASE WHEN b THEN mb ELSE mr END END AS median,
   CASE WHEN dated >= 30 AND midnight IS NOT NULL AND ns >= 3 THEN ms END AS mm FROM a),
 d AS (SELECT *, coalesce(median IS NOT NULL AND (measured = 0 OR measured / median < 0.5), false) AS vd, coalesce(not_modified AND epoch(started_at) - epoch(la) >= 604800, false) AS st, coalesce(abs(midnight / dated - mm) >= 0.25, false) AS pd FROM c)"""
+
+
+HEALTH = health("h")
+VERDICTS = "SELECT source, started_at, measured, median, round(measured / median, 9) AS ratio, vd AS volume_drop, st AS stale_304, round(mm, 9) AS midnight_median, pd AS precision_drift, NOT (vd OR st OR pd) AS ok FROM d"
 UNIT = "CASE WHEN b THEN 'boards responding' ELSE 'raw postings' END"
 even = lambda x: f"CAST(round_even({x}, 0) AS BIGINT)"
 
@@ -411,6 +418,7 @@ SELECT tier, place, id, score, greatest(0, c - 12) AS overflow FROM l WHERE plac
     "a20_applied_by_term": f"{P}, {DECISIONS} SELECT term, count(*) AS n FROM p JOIN dec USING (id) WHERE st = 'applied' GROUP BY 1",
     "w02_w05_source_health": f"""{HEALTH}
 SELECT source, started_at, measured, median, round(measured / median, 9) AS ratio, vd AS volume_drop, st AS stale_304, round(mm, 9) AS midnight_median, pd AS precision_drift, NOT (vd OR st OR pd) AS ok FROM d""",
+    "w05_quiet_feeds": health("(SELECT * FROM h WHERE day(started_at) % 12 < 2 OR day(started_at) % 7 = 3)") + VERDICTS,
     "w05_messages": f"""{HEALTH} SELECT source, started_at, CASE
     WHEN vd AND measured = 0 THEN source || ': 0 ' || {UNIT} || ' (trailing median ' || {even('median')} || ') - source may be broken'
     WHEN vd THEN source || ': ' || measured || ' ' || {UNIT} || ', ' || {even('measured / median * 100')} || '% of trailing median ' || {even('median')}

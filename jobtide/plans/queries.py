@@ -507,6 +507,14 @@ def w02_w05_source_health(spark, sf):
     return h.select("source", "started_at", "measured", "median", F.round("ratio", 9).alias("ratio"), "volume_drop", "stale_304", F.round("midnight_median", 9).alias("midnight_median"), "precision_drift", "ok")
 
 
+@query
+def w05_quiet_feeds(spark, sf):
+    """Feeds that answer on a few days of a month only: most runs have no history within eight days, or a short one."""
+    some = (F.dayofmonth("started_at") % 12 < 2) | (F.dayofmonth("started_at") % 7 == 3)
+    h = H.source_health(B.run_history(spark, sf).where(some))
+    return h.select("source", "started_at", "measured", "median", F.round("ratio", 9).alias("ratio"), "volume_drop", "stale_304", F.round("midnight_median", 9).alias("midnight_median"), "precision_drift", "ok")
+
+
 @query
 def w05_messages(spark, sf):
     return H.source_health(B.run_history(spark, sf)).where("not ok").select("source", "started_at", "message")
