@@ -45,6 +45,62 @@ def run_totals(counters: DataFrame, accepted: DataFrame, merged: DataFrame) -> D
     return sums.crossJoin(taken).crossJoin(new).withColumn("deduped_out", F.col("accepted") - F.col("new"))
 
 
+def _counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """One row: a map from key to the number of rows, in the order of the keys."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n"))
+    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
+
+
+def links_by_source(postings: DataFrame) -> DataFrame:
+    """One row: links (map by status) and links_by_source (map of such maps), from one count of the postings."""
+    counts = postings.groupBy("source", "link_status").agg(F.count("*").alias("n"))
+    entries = lambda k, v: F.map_from_entries(F.collect_list(F.struct(k, v)))
+    own = counts.groupBy("source").agg(entries("link_status", "n").alias("m")).agg(entries("source", "m").alias("links_by_source"))
+    return own.crossJoin(counts.groupBy("link_status").agg(F.sum("n").alias("n")).agg(entries("link_status", "n").alias("links")))
+
+
+def run_report(run: DataFrame, counters: DataFrame, accepted: DataFrame, merged: DataFrame, postings: DataFrame, decided: DataFrame, baseline: DataFrame, gone: DataFrame, scored: DataFrame, now: Column) -> DataFrame:
+    """The nested report of a run, one row.
+
+    ``run(run_id, duration_s)`` has one row; ``counters`` are those of its sources (``source_run_counters``);
+    ``gone(id, why)`` are the postings that expired or were retired; ``decided`` are the rows
+    that notification looked at. All parts are aggregates of one row each.
+    """
+    sources = counters.agg(F.array_sort(F.collect_list(F.struct("source", "raw_fetched", "fetched", "filtered_out", "new", "baselined", "dated", "midnight", "term_unknown"))).alias("sources"))
+    warned = counters.where("term_warning").select(F.format_string("%s: term unknown for %d%% of postings (>10%%)", "source", F.bround(F.col("term_unknown_rate") * 100, 0).cast("long")).alias("w"))
+    why, how = F.col("decision_reason"), F.col("decision")
+    notified = decided.agg(
+        F.create_map(
+            F.lit("sent"), F.count_if(how == "interrupt"), F.lit("suppressed_rate_cap"), F.count_if(why.startswith("rate cap")),
+            F.lit("suppressed_quiet_hours"), F.count_if(why.startswith("quiet hours")), F.lit("suppressed_backpressure"), F.count_if(why.contains("backpressure")),
+        ).alias("notifications")
+    )
+    counts = postings.agg(F.count_if((F.col("status") == "notified") & F.col("tier").isin(1, 2)).alias("backlog_unapplied"))
+    went = gone.agg(F.count_if(F.col("why") == "expired").alias("expired"), F.count_if(F.col("why") == "retired").alias("retired"))
+    parts = [
+        sources, warned.agg(F.array_sort(F.collect_list("w")).alias("warnings")), run_totals(counters, accepted, merged), _counted(scored, "tier", "tiers"), _counted(scored, "tier_source", "scorer"),
+        notified, counts, baseline.agg(F.count("*").alias("baseline_size")), went, links_by_source(postings),
+    ]
+    return reduce(DataFrame.crossJoin, parts, run.withColumn("started_at", now))  # one row each
+
+
+def latest_report(reports: DataFrame) -> DataFrame:
+    """The report of the latest run."""
+    return reports.agg(F.max_by(F.struct(*reports.columns), F.struct("started_at", "run_id")).alias("r")).select("r.*")
+
+
+def report_counts(report: DataFrame) -> DataFrame:
+    """A report's counts as rows (field, source, name, n)."""
+    plain = ["raw_fetched", "filtered_out", "suppressed_by_baseline", "accepted", "new", "url_upgrades", "deduped_out", "backlog_unapplied", "baseline_size", "expired", "retired"]
+    row = lambda field, source, name, n: F.struct(F.lit(field).alias("field"), source.cast("string").alias("source"), name.cast("string").alias("name"), n.cast("long").alias("n"))
+    none = F.lit(None)
+    single = F.array(*[row(c, none, none, F.col(c)) for c in plain])
+    of_map = lambda c: F.transform(F.map_entries(c), lambda e: row(c, none, e["key"], e["value"]))
+    maps = [of_map(c) for c in ("tiers", "scorer", "notifications", "links")]
+    nested = F.flatten(F.transform(F.map_entries("links_by_source"), lambda s: F.transform(F.map_entries(s["value"]), lambda e: row("links_by_source", s["key"], e["key"], e["value"]))))
+    return report.select(F.inline(F.concat(single, *maps, nested)))
+
+
 def link_status_counts(postings: DataFrame) -> DataFrame:
     """By source and status, and by status alone (source null), in one pass."""
     return postings.rollup("link_status", "source").agg(F.count("*").alias("n"), F.grouping("link_status").alias("g")).where("g = 0").drop("g")

@@ -11,6 +11,7 @@ from .. import rules as R
 from ..functions import dates as D
 from ..functions import links as L
 from ..functions import text as T
+from .reports import latest_report
 
 
 def term_rank(term: Column | str = "term") -> Column:
@@ -126,6 +127,19 @@ def digest(postings: DataFrame, now: Column, top: int = 12) -> DataFrame:
     return best.join(F.broadcast(counts), "tier").withColumn("overflow", F.greatest(F.lit(0), F.col("in_tier") - top)).select("tier", "place", "id", "score", "overflow")
 
 
+def digest_totals(postings: DataFrame, reports: DataFrame, now: Column) -> DataFrame:
+    """T5, the lines around the tiers: one row with the backlog, the new rows of 24 hours, their dead links, and what the latest run of that time held back."""
+    recent = F.unix_micros("first_seen_at") >= F.unix_micros(now) - D.DAY_MICROS
+    shown = recent & ~F.col("status").isin("expired", "skipped")
+    facts = postings.agg(
+        F.count_if((F.col("status") == "notified") & F.col("tier").isin(1, 2)).alias("backlog"), F.count_if(shown).alias("new"),
+        F.count_if(shown & F.col("link_status").isin("dead", "redirected_to_index")).alias("dead_links"),
+    )
+    held = latest_report(reports.where(F.unix_micros("started_at") >= F.unix_micros(now) - D.DAY_MICROS)).select("notifications")
+    kinds = ("rate_cap", "quiet_hours", "backpressure")
+    return facts.crossJoin(held).select("backlog", "new", "dead_links", *[F.coalesce(F.try_element_at("notifications", F.lit(f"suppressed_{k}")), F.lit(0)).alias(f"suppressed_{k}") for k in kinds])
+
+
 def order_backlog(rows: DataFrame) -> DataFrame:
     """rows(term, score as text): sort keys; a score that is no number counts 0."""
     return rows.withColumn("term_rank", term_rank(F.trim(F.coalesce("term", F.lit("unknown"))))).withColumn("points", F.coalesce(F.col("score").try_cast("int"), F.lit(0))).orderBy("term_rank", F.desc("points"))

@@ -10,19 +10,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import gates as G
+from ..operators import reports as R
 from ..operators import state as S
+from ..operators import views as V
 from ..schemas import POSTING, RAW_POSTING
 from ..sources import feeds, tables
 from ..sources.folders import new_folder
 from ..streaming import streams as X
 from ..streaming.snapshots import Chain
 from . import bindings as B
+from .queries import decided_postings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -206,6 +210,15 @@ def s14_s15_export_restore(spark, sf):
     return back.select(*names, F.array_join("disqualifiers", ",").alias("disqualifiers"))
 
 
+@query
+def s14_changed_parts(spark, sf):
+    """Parts of an export that differ after some rows changed, and some went."""
+    path, rows = new_folder(spark, "export"), stored(spark, sf)
+    tables.export_postings(rows.where("not startswith(id, 'a0')"), path)
+    later = rows.withColumn("status", F.when((F.col("id") < "8") & (F.col("score") == 7), "applied").otherwise(F.col("status"))).where("not startswith(id, 'ff')")
+    return tables.changed_parts(later, path)
+
+
 @query
 def s16_baseline(spark, sf):
     path = new_folder(spark, "baseline")
@@ -222,6 +235,18 @@ def s17_archive_replay(spark, sf):
     return tables.replay_raw(spark, path, "r2").select("seq", "source", F.length("description").alias("chars"))
 
 
+@query
+def s17_r04_prune_raw(spark, sf):
+    """Five runs are archived, three stay: what each has before and after."""
+    path, raw = new_folder(spark, "archive"), _raw(spark, sf)
+    for i in range(5):
+        tables.archive_raw(raw.where(F.col("seq") % 5 == i), path, f"r{(i * 3) % 5}", B.stamp(B.NOW) + F.expr(f"interval {i} hours"))
+    count = lambda when: spark.read.parquet(path).groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(when).alias("at"), "run_id", "n")
+    before = spark.createDataFrame(count("before").collect(), "at string, run_id string, n long")  # a row a run
+    tables.prune_raw(spark, path, 3)
+    return before.union(count("after"))
+
+
 @query
 def s18_reports(spark, sf):
     path = new_folder(spark, "reports")
@@ -238,6 +263,79 @@ def s19_r03_audit(spark, sf):
     return tables.read_audit(spark, path, TODAY, AUDIT_DAYS).select("run_id", "n")
 
 
+@query
+def s19_r03_prune_audit(spark, sf):
+    """Day partitions before the window go: the days and their records that are left."""
+    path = new_folder(spark, "audit")
+    runs = B.run_history(spark, sf).groupBy(F.col("started_at").alias("at")).agg(F.sum("new").alias("n"))
+    tables.append_audit(runs.withColumn("run_id", F.concat(F.lit("r"), F.unix_timestamp("at").cast("string"))), path)
+    went = tables.prune_audit(spark, path, TODAY, AUDIT_DAYS)
+    gone = spark.createDataFrame([(day,) for day in went], "day string").select(F.lit("gone").alias("state"), "day", F.lit(None).cast("long").alias("records"))
+    left = spark.read.json(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("records"))
+    return gone.union(left.select(F.lit("left"), "day", "records"))
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """A costly table, written once and read back by all that use it."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@query
+def j17_rewrite_ids(spark, sf):
+    """Ids of one metro change under its new name, in postings, sightings, baseline, ledger and cache at once."""
+    p = S.normalize_postings(G.with_gates(_raw(spark, sf)).where("keep"), B.stamp(B.NOW)).dropDuplicates(["id"])
+    p = p.select("id", "company", "title", "term", F.when(F.col("location_norm") == "nyc", "new-york").otherwise(F.col("location_norm")).alias("location_norm"))
+    p = _written(p, "postings")
+    held = {"postings": "id", "sightings": "id", "baseline": "id", "ledger": "posting_id", "cache": "posting_id"}
+    named = {
+        name: (p.where(F.substr("id", F.lit(16), F.lit(1)) >= F.lit("0123"[i % 4])).select(F.col("id").alias(column)), column) for i, (name, column) in enumerate(held.items())
+    }
+    path = new_folder(spark, "migrated")
+    done = tables.rewrite_tables(named, S.rekey(p), path, "v2")
+    parts = [tables.read_version(spark, path, "v2", name).select(F.lit(name).alias("held_in"), F.col(column).alias("id")) for name, column in held.items()] if done else []
+    return reduce(DataFrame.union, parts)
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of one run over the bound tables."""
+    g = G.with_gates(_raw(spark, sf)).withColumn("term", F.lit("unknown")).withColumn("is_new", F.lit(False)).withColumn("suppressed", F.col("seq") % 10 == 1)
+    accepted = _written(S.normalize_postings(G.with_gates(_raw(spark, sf)).where("keep"), B.stamp(B.NOW)), "batch")
+    merged, p = S.upsert(S.empty(spark, POSTING), accepted), B.postings(spark, sf)
+    gone = p.where("status = 'expired'").select("id", F.when(F.col("seq") % 50 < 10, "retired").otherwise("expired").alias("why"))
+    scored = p.withColumn("tier_source", F.when(F.col("seq") % 5 == 0, "llm").when(F.col("seq") % 5 == 1, "cached").otherwise("heuristic"))
+    run = spark.range(1).select(F.lit("r2").alias("run_id"), F.lit(12.5).alias("duration_s"))
+    decided = decided_postings(spark, sf, "2001-08-03 20:00:00")
+    return R.run_report(run, R.source_run_counters(g), accepted, merged, p, decided, p.where("tier = 1").select("id"), gone, scored, B.stamp(B.NOW))
+
+
+@query
+def a07_run_report(spark, sf):
+    """The nested report, written beside an older one and read back as the latest."""
+    path, report = new_folder(spark, "reports"), _report(spark, sf)
+    tables.write_report(report, path)
+    older = tables.read_reports(spark, path, B.stamp("1970-01-01 00:00:00")).withColumn("run_id", F.lit("r1")).withColumn("started_at", F.col("started_at") - F.expr("interval 1 hour"))
+    both = older.withColumn("expired", F.lit(-1).cast("long")).unionByName(tables.read_reports(spark, path, B.stamp("1970-01-01 00:00:00")))
+    return R.report_counts(R.latest_report(both))
+
+
+@query
+def a07_report_sources(spark, sf):
+    """The same report's sources and warnings."""
+    path = new_folder(spark, "reports")
+    tables.write_report(_report(spark, sf), path)
+    report = R.latest_report(tables.read_reports(spark, path, B.stamp("1970-01-01 00:00:00")))
+    return report.select(F.explode("sources").alias("s"), F.size("warnings").alias("warnings")).select("s.source", "s.raw_fetched", "s.fetched", "s.filtered_out", "s.baselined", "s.term_unknown", "warnings")
+
+
+@query
+def t05_digest_totals(spark, sf):
+    path = new_folder(spark, "reports")
+    tables.write_report(_report(spark, sf), path)
+    return V.digest_totals(B.postings(spark, sf).withColumn("first_seen_at", F.col("first_seen_at") + F.expr("interval 1 day")), tables.read_reports(spark, path, B.stamp("1970-01-01 00:00:00")), B.stamp(B.NOW))
+
+
 @query
 def s20_review(spark, sf):
     path = new_folder(spark, "review")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import bindings as B
 from .landed import AUDIT_DAYS, CATEGORIES, FILE_ROWS, SINCE, TODAY, TURNS
-from .oracles import BATCH, merged
+from .oracles import BATCH, decided, merged
 
 RAW = f"WITH {B.RAW_SQL}"
 P = f"WITH {B.POSTINGS_SQL}"
@@ -55,6 +55,22 @@ def placed(kept: str) -> str:
     return f"SELECT * FROM placed WHERE {kept}"
 
 
+_DECIDED = decided("2001-08-03 20:00:00", False).removeprefix(f"{P}, ")
+_PLAIN = {
+    "raw_fetched": "SELECT count(*) FROM gated", "filtered_out": "SELECT count(*) FROM gated WHERE NOT keep", "suppressed_by_baseline": "SELECT count(*) FROM gated WHERE seq % 10 = 1",
+    "accepted": "SELECT count(*) FROM batch", "new": "SELECT count(*) FROM merged", "url_upgrades": "SELECT CAST(sum(url_upgrades) AS BIGINT) FROM merged",
+    "deduped_out": "SELECT (SELECT count(*) FROM batch) - (SELECT count(*) FROM merged)", "backlog_unapplied": "SELECT count(*) FROM p WHERE status = 'notified' AND tier IN (1, 2)",
+    "baseline_size": "SELECT count(*) FROM p WHERE tier = 1", "expired": "SELECT count(*) FROM p WHERE status = 'expired' AND seq % 50 >= 10", "retired": "SELECT count(*) FROM p WHERE status = 'expired' AND seq % 50 < 10",
+}
+_HELD = {"sent": "decision = 'interrupt'", "suppressed_rate_cap": "starts_with(decision_reason, 'rate cap')", "suppressed_quiet_hours": "starts_with(decision_reason, 'quiet hours')", "suppressed_backpressure": "contains(decision_reason, 'backpressure')"}
+_ROWS = [
+    *[f"SELECT '{k}' AS field, NULL::VARCHAR AS source, NULL::VARCHAR AS name, ({v}) AS n" for k, v in _PLAIN.items()], "SELECT 'tiers', NULL, CAST(tier AS VARCHAR), count(*) FROM p GROUP BY tier",
+    "SELECT 'scorer', NULL, CASE seq % 5 WHEN 0 THEN 'llm' WHEN 1 THEN 'cached' ELSE 'heuristic' END AS k, count(*) FROM p GROUP BY k", "SELECT 'links', NULL, link_status, count(*) FROM p GROUP BY link_status",
+    *[f"SELECT 'notifications', NULL, '{k}', count(*) FILTER ({v}) FROM decided" for k, v in _HELD.items()], "SELECT 'links_by_source', source, link_status, count(*) FROM p GROUP BY source, link_status",
+]
+#: The counts of the run report.
+REPORT = f"{BATCH}, {merged('1')}, {B.POSTINGS_SQL}, {_DECIDED}, counts AS ({' UNION ALL '.join(_ROWS)})"
+
 #: Events by the fifth of their time in which they landed.
 BY_TIME = f"e AS (SELECT *, CAST(floor(CAST(epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events) AS DOUBLE) * {TURNS} / ((SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events) + 1)) AS INT) AS turn FROM events)"
 
@@ -75,11 +91,26 @@ UNION ALL SELECT 1, 0, file, position + 4, replace(title, '|', '/'), apply_url F
 UNION ALL SELECT 3, 0, file, position, title, apply_url FROM ({placed(BOARD_C_KEPT)}) UNION ALL SELECT 3, 1, file, position, title, apply_url FROM ({placed(LINKED)})""",
     "s14_s15_export_restore": f"""{P} SELECT id, company, title, term, location, remote, apply_url, source, first_seen_at, posted_at, posted_precision, tier, score, status, link_status, 'heuristic' AS tier_source,
   array_to_string(disqualifiers, ',') AS disqualifiers FROM p""",
+    "s14_changed_parts": f"""{P}, a AS (SELECT substr(id, 1, 2) AS part, id < '8' AND score = 7 AND status <> 'applied' AS hit FROM p)
+SELECT part, CASE WHEN part = 'a0' THEN 'new' WHEN part = 'ff' THEN 'gone' ELSE 'changed' END AS change FROM a GROUP BY part HAVING part IN ('a0', 'ff') OR bool_or(hit)""",
     "s16_baseline": f"{P} SELECT DISTINCT id FROM p WHERE tier = 1",
     "s17_archive_replay": f"{RAW} SELECT seq, source, length(substr(repeat(description, 40), 1, 2000)) AS chars FROM raw WHERE seq % 2 = 1",
+    "s17_r04_prune_raw": f"""{RAW}, c AS (SELECT 'r' || ((seq % 5) * 3) % 5 AS run_id, seq % 5 AS hour, count(*) AS n FROM raw GROUP BY ALL)
+SELECT 'before' AS at, run_id, n FROM c UNION ALL SELECT 'after', run_id, n FROM c WHERE hour IN (SELECT hour FROM c ORDER BY hour DESC LIMIT 3)""",
     "s18_reports": f"""{H}, r AS (SELECT *, max(duration_s) OVER (PARTITION BY started_at) AS d FROM h)
 SELECT 'r' || CAST(epoch(started_at) AS BIGINT) AS run_id, started_at, d AS duration_s, source, raw_fetched, new FROM r WHERE started_at >= TIMESTAMP '{SINCE}'""",
     "s19_r03_audit": f"{H} SELECT 'r' || CAST(epoch(started_at) AS BIGINT) AS run_id, CAST(sum(new) AS BIGINT) AS n FROM h WHERE CAST(started_at AS DATE) >= DATE '{TODAY}' - {AUDIT_DAYS} GROUP BY started_at",
+    "s19_r03_prune_audit": f"""{H}, d AS (SELECT CAST(CAST(started_at AS DATE) AS VARCHAR) AS day, count(DISTINCT started_at) AS n FROM h GROUP BY 1)
+SELECT 'gone' AS state, day, NULL AS records FROM d WHERE day < CAST(DATE '{TODAY}' - {AUDIT_DAYS} AS VARCHAR) UNION ALL SELECT 'left', day, n FROM d WHERE day >= CAST(DATE '{TODAY}' - {AUDIT_DAYS} AS VARCHAR)""",
+    "j17_rewrite_ids": f"""{BATCH}, m AS (SELECT DISTINCT id, CASE WHEN location_norm = 'nyc' THEN sha256(company_norm || '|' || title_norm || '|new-york|' || term)[1:16] ELSE id END AS fresh FROM batch),
+t(held_in, least) AS (VALUES ('postings', '0'), ('sightings', '1'), ('baseline', '2'), ('ledger', '3'), ('cache', '0'))
+SELECT held_in, fresh AS id FROM m JOIN t ON substr(id, 16, 1) >= least""",
+    "a07_run_report": f"""{REPORT} SELECT * FROM counts""",
+    "a07_report_sources": f"""{BATCH} SELECT source, count(*) AS raw_fetched, count(*) FILTER (keep) AS fetched, count(*) FILTER (NOT keep) AS filtered_out, count(*) FILTER (seq % 10 = 1) AS baselined,
+  count(*) FILTER (keep) AS term_unknown, (SELECT count(DISTINCT source) FROM gated WHERE keep) AS warnings FROM gated GROUP BY source""",
+    "t05_digest_totals": f"""{REPORT}, f AS (SELECT count(*) FILTER (status = 'notified' AND tier IN (1, 2)) AS backlog, count(*) FILTER (shown) AS new, count(*) FILTER (shown AND link_status IN ('dead', 'redirected_to_index')) AS dead_links
+  FROM (SELECT *, first_seen_at + INTERVAL 1 DAY >= TIMESTAMP '{B.NOW}' - INTERVAL 24 HOUR AND status NOT IN ('expired', 'skipped') AS shown FROM p))
+SELECT backlog, new, dead_links, {", ".join(f"(SELECT n FROM counts WHERE name = 'suppressed_{k}') AS suppressed_{k}" for k in ("rate_cap", "quiet_hours", "backpressure"))} FROM f""",
     "s20_review": f"{P} SELECT id, company, title, term, tier, score, location, apply_url, array_to_string(disqualifiers, '|') AS disqualifiers FROM p",
     "x01_x05_stream_ingest": f"""{BATCH}, {merged(f'seq % {TURNS}')} SELECT id, company, title, term, location, remote, apply_url, source, source_id, source_url, posted_at, posted_precision,
   'new' AS status, 'unchecked' AS link_status FROM merged""",

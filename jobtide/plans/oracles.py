@@ -224,7 +224,7 @@ dec AS (SELECT id, arg_max(st, row_no) AS st FROM d1 WHERE st IS NOT NULL GROUP
 
 
 def decided(at: str, quiet: bool) -> str:
-    return f"""{P}, ctx AS (SELECT (SELECT least(1, count(*)) FROM p WHERE status = 'notified' AND tier = 1 AND seq % 997 = 3) AS sent, (SELECT count(*) FROM p WHERE status = 'notified' AND tier IN (1, 2)) AS backlog),
+    return f"""{P}, ctx AS (SELECT (SELECT count(*) FROM p WHERE status = 'notified' AND tier = 1 AND seq * 3 <= 60) AS sent, (SELECT count(*) FROM p WHERE status = 'notified' AND tier IN (1, 2)) AS backlog),
 o AS (SELECT p.*, sent, backlog, seq % 50 = 0 AS base, status IN ('notified', 'applied', 'skipped', 'expired') AS done, len(disqualifiers) > 0 OR tier = 3 AS low FROM p, ctx),
 r AS (SELECT id, row_number() OVER (ORDER BY score DESC, seq, id) AS rk FROM o WHERE NOT base AND NOT done AND NOT low AND tier = 1),
 decided AS (SELECT o.*, CASE WHEN base OR done THEN 'skip' WHEN low OR tier = 2 THEN 'digest' WHEN {str(quiet).lower()} THEN 'silent' WHEN rk <= greatest(0, 3 - sent) THEN 'interrupt' ELSE 'digest' END AS decision,

@@ -370,22 +370,23 @@ def n27_build_prompts(spark, sf):
     return rows.select("id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 
 
-def _decided(spark, sf, at: str):
+def decided_postings(spark, sf, at: str):
     p = B.postings(spark, sf)
     base = p.where(F.col("seq") % 50 == 0).select("id")
-    ledger = p.where("status = 'notified' and tier = 1 and seq % 997 = 3").select(F.col("id").alias("posting_id"), "tier", F.lit(at).cast("timestamp").alias("sent_at"))
-    sent = N.notifications_since(ledger.limit(1), F.lit(at).cast("timestamp") - F.expr("interval 1 hour"), 1)
+    sent_at = F.timestamp_micros(F.unix_micros(F.lit(at).cast("timestamp")) - F.col("seq") * 180_000_000)
+    ledger = p.where("status = 'notified'").select(F.col("id").alias("posting_id"), "tier", sent_at.alias("sent_at"))
+    sent = N.notifications_since(ledger, F.lit(at).cast("timestamp") - F.expr("interval 1 hour"), 1)
     return N.decide_notifications(p, base, F.lit(at).cast("timestamp"), sent, R.backlog_unapplied(p))
 
 
 @query
 def c05_w08_decide_notifications(spark, sf):
-    return _decided(spark, sf, "2001-08-03 20:00:00").select("id", "decision", "decision_reason", "priority")
+    return decided_postings(spark, sf, "2001-08-03 20:00:00").select("id", "decision", "decision_reason", "priority")
 
 
 @query
 def c05_quiet_hours(spark, sf):
-    return _decided(spark, sf, "2001-08-03 08:00:00").groupBy("decision", "decision_reason", "priority").agg(F.count("*").alias("n"))
+    return decided_postings(spark, sf, "2001-08-03 08:00:00").groupBy("decision", "decision_reason", "priority").agg(F.count("*").alias("n"))
 
 
 def _ledger(spark, sf):
@@ -395,7 +396,7 @@ def _ledger(spark, sf):
 @query
 def c06_record_notifications(spark, sf):
     at = "2001-08-03 08:00:00"
-    return N.record_notifications(_ledger(spark, sf), _decided(spark, sf, at), B.stamp(at))
+    return N.record_notifications(_ledger(spark, sf), decided_postings(spark, sf, at), B.stamp(at))
 
 
 @query
@@ -407,7 +408,7 @@ def c07_notifications_since(spark, sf):
 
 @query
 def n25_payloads(spark, sf):
-    return N.payloads(_decided(spark, sf, "2001-08-03 08:00:00").withColumn("score_rationale", F.lit("ok")), now()).select("id", "title", "body", "priority", "tag", "action_url")
+    return N.payloads(decided_postings(spark, sf, "2001-08-03 08:00:00").withColumn("score_rationale", F.lit("ok")), now()).select("id", "title", "body", "priority", "tag", "action_url")
 
 
 @query

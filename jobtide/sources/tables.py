@@ -6,40 +6,65 @@ interrupted run leaves the last one in place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..operators.state import rewrite_ids
 from ..operators.views import order_backlog
 from ..schemas import POSTING
+from . import files
 
 RAW_BODY_LIMIT = 2000
 
 
-def export_lines(postings: DataFrame) -> DataFrame:
-    """One compact JSON line per posting, keys in schema order, nulls kept, by id."""
+#: Hexadecimal digits of an id that name its part of an export.
+PART_DIGITS = 2
+
+
+def part_digests(lines: DataFrame) -> DataFrame:
+    """lines(part, value) -> (part, n, digest), whatever the order of the lines."""
+    return lines.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("value")).alias("digest"))
+
+
+def _parts(postings: DataFrame, digits: int) -> DataFrame:
     fields = [c.split()[0] for c in POSTING.split(", ")]
-    return postings.orderBy("id").select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+    return postings.select(F.substr("id", F.lit(1), F.lit(digits)).alias("part"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def lines_digest(lines: DataFrame) -> DataFrame:
-    """(n, digest) of a set of lines, whatever their order: tells whether an export changed."""
-    return lines.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)).alias("digest"))
+def changed_parts(postings: DataFrame, path: str, digits: int = PART_DIGITS) -> DataFrame:
+    """(part, change) of the parts that differ from the export at ``path``: ``new``, ``changed`` or ``gone``. Only digests meet."""
+    spark = postings.sparkSession
+    after = part_digests(_parts(postings, digits)).select("part", F.struct("n", "digest").alias("after"))
+    names = [n.split("=", 1)[1] for n in files.names(spark, path) if n.startswith("part=")]  # 16^digits at most
+    before = spark.read.schema("value string, part string").option("basePath", path).text(*[[f"{path}/part={n}" for n in names]]) if names else spark.createDataFrame([], "value string, part string")
+    both = after.join(part_digests(before).select("part", F.struct("n", "digest").alias("before")), "part", "full_outer").where("not (after <=> before)")
+    return both.select("part", F.when(F.col("before").isNull(), "new").when(F.col("after").isNull(), "gone").otherwise("changed").alias("change"))
+
 
+def export_postings(postings: DataFrame, path: str, digits: int = PART_DIGITS) -> list[str]:
+    """Bring the export at ``path`` up to date, part by part: the parts that changed; none where the export is the same.
 
-def export_postings(postings: DataFrame, path: str, previous: str | None = None) -> bool:
-    """Write the export; whether it differs from the previous one."""
-    lines = export_lines(postings)
-    lines.write.mode("overwrite").text(path)
-    if previous is None:
-        return True
+    A part has the lines of a range of ids, sorted. Parts that are equal keep their files.
+    """
     spark = postings.sparkSession
-    return lines_digest(spark.read.text(path)).first() != lines_digest(spark.read.text(previous)).first()
+    changes = {r["part"]: r["change"] for r in changed_parts(postings, path, digits).collect()}  # 16^digits at most
+    kept = [p for p, change in changes.items() if change != "gone"]
+    if kept:
+        lines = _parts(postings.where(F.substr("id", F.lit(1), F.lit(digits)).isin(kept)), digits)
+        dealt = lines.repartition("part").sortWithinPartitions("part", "value")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)
+    for part in (p for p, change in changes.items() if change == "gone"):
+        files.delete(spark, f"{path}/part={part}")
+    return sorted(changes)
 
 
 def restore_postings(spark: SparkSession, path: str, state: DataFrame | None = None) -> DataFrame:
     """An export as postings, defaults filled; ids that the state has already are ignored."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    lines = spark.read.text(path).where("trim(value) <> ''").select("value")
     rows = lines.select(F.from_json("value", POSTING).alias("p"), F.array_contains(F.json_object_keys("value"), "posted_precision").alias("has")).select("p.*", "has")
     derived = D.posted_precision("source", "posted_at")
     precision = F.when((F.col("source") == "listings") | ~F.col("has"), derived).otherwise(F.coalesce(F.nullif("posted_precision", F.lit("")), F.lit("unknown")))
@@ -72,6 +97,22 @@ def replay_raw(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("run_id") == run_id)
 
 
+def prune_partitions(spark: SparkSession, path: str, column: str, gone: Callable[[str], bool]) -> list[str]:
+    """Delete whole partitions ``column=value`` whose value is ``gone``: the values that went. Their files are never read."""
+    values = [name.split("=", 1)[1] for name in files.names(spark, path) if name.startswith(f"{column}=")]
+    went = [value for value in values if gone(value)]
+    for value in went:
+        files.delete(spark, f"{path}/{column}={value}")
+    return went
+
+
+def prune_raw(spark: SparkSession, path: str, keep: int = 3) -> list[str]:
+    """Only the newest ``keep`` runs (by their latest row) stay: the runs that went."""
+    runs = spark.read.parquet(path).groupBy("run_id").agg(F.max("created_at").alias("at"))
+    stay = {r["run_id"] for r in runs.orderBy(F.desc("at"), "run_id").limit(keep).collect()}
+    return prune_partitions(spark, path, "run_id", lambda run: run not in stay)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """One nested report per run; a repeated run replaces its own."""
     report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
@@ -96,6 +137,33 @@ def read_audit(spark: SparkSession, path: str, today: str, days: int = 30) -> Da
     return spark.read.json(path).where(F.col("day") >= F.date_format(F.date_sub(F.lit(today).cast("date"), days), "yyyy-MM-dd"))
 
 
+def prune_audit(spark: SparkSession, path: str, today: str, days: int = 30) -> list[str]:
+    """Days before the window go, files and all: the days that went."""
+    first = (date.fromisoformat(today) - timedelta(days=days)).isoformat()
+    return prune_partitions(spark, path, "day", lambda day: day < first)
+
+
+def rewrite_tables(tables: dict[str, tuple[DataFrame, str]], mapping: DataFrame, path: str, version: str) -> bool:
+    """One mapping(old, new, collides) of ids for all tables(name: (rows, id column)), as one new version.
+
+    Nothing is written where any new id would have two old ones. The version counts from
+    its commit on, which is made when all tables are written, so readers see all or none.
+    """
+    spark = mapping.sparkSession
+    if not mapping.where("collides").isEmpty():
+        return False
+    for name, (rows, column) in tables.items():
+        rewrite_ids(rows, mapping, column).write.mode("overwrite").parquet(f"{path}/{version}/{name}")
+    return files.make(spark, f"{path}/{version}/_COMMITTED")
+
+
+def read_version(spark: SparkSession, path: str, version: str, name: str) -> DataFrame:
+    """A table of a committed version; an error where it is not committed."""
+    if "_COMMITTED" not in files.names(spark, f"{path}/{version}"):
+        raise FileNotFoundError(f"{path}/{version} is not committed")
+    return spark.read.parquet(f"{path}/{version}/{name}")
+
+
 REVIEW = ["id", "company", "title", "term", "tier", "score", "location", "posted_at", "apply_url", "disqualifiers", "score_rationale"]
 
 
