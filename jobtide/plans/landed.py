@@ -22,7 +22,7 @@ from ..operators import state as S
 from ..operators import views as V
 from ..schemas import POSTING, RAW_POSTING
 from ..sources import feeds, tables
-from ..sources.folders import new_folder
+from ..sources.folders import new_folder, written
 from ..streaming import streams as X
 from ..streaming.snapshots import Chain
 from . import bindings as B
@@ -275,19 +275,12 @@ def s19_r03_prune_audit(spark, sf):
     return gone.union(left.select(F.lit("left"), "day", "records"))
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """A costly table, written once and read back by all that use it."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @query
 def j17_rewrite_ids(spark, sf):
     """Ids of one metro change under its new name, in postings, sightings, baseline, ledger and cache at once."""
     p = S.normalize_postings(G.with_gates(_raw(spark, sf)).where("keep"), B.stamp(B.NOW)).dropDuplicates(["id"])
     p = p.select("id", "company", "title", "term", F.when(F.col("location_norm") == "nyc", "new-york").otherwise(F.col("location_norm")).alias("location_norm"))
-    p = _written(p, "postings")
+    p = written(p, "postings")
     held = {"postings": "id", "sightings": "id", "baseline": "id", "ledger": "posting_id", "cache": "posting_id"}
     named = {
         name: (p.where(F.substr("id", F.lit(16), F.lit(1)) >= F.lit("0123"[i % 4])).select(F.col("id").alias(column)), column) for i, (name, column) in enumerate(held.items())
@@ -301,7 +294,7 @@ def j17_rewrite_ids(spark, sf):
 def _report(spark: SparkSession, sf: str) -> DataFrame:
     """The report of one run over the bound tables."""
     g = G.with_gates(_raw(spark, sf)).withColumn("term", F.lit("unknown")).withColumn("is_new", F.lit(False)).withColumn("suppressed", F.col("seq") % 10 == 1)
-    accepted = _written(S.normalize_postings(G.with_gates(_raw(spark, sf)).where("keep"), B.stamp(B.NOW)), "batch")
+    accepted = written(S.normalize_postings(G.with_gates(_raw(spark, sf)).where("keep"), B.stamp(B.NOW)), "batch")
     merged, p = S.upsert(S.empty(spark, POSTING), accepted), B.postings(spark, sf)
     gone = p.where("status = 'expired'").select("id", F.when(F.col("seq") % 50 < 10, "retired").otherwise("expired").alias("why"))
     scored = p.withColumn("tier_source", F.when(F.col("seq") % 5 == 0, "llm").when(F.col("seq") % 5 == 1, "cached").otherwise("heuristic"))

@@ -20,6 +20,7 @@ from ..operators import views as V
 from ..operators.location import normalize_locations
 from ..schemas import BASELINE, EXCLUDED, SIGHTING, SUPPRESSION
 from ..sources.feeds import strip_html
+from ..sources.folders import written
 from . import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,18 +166,26 @@ def f06_disqualifiers(spark, sf):
 
 
 def _normalized(spark, sf):
-    return S.normalize_postings(G.with_gates(B.raw_postings(spark, sf)).where("keep"), now())
+    """The gated and normalised batch, written once: several frames of one query read it."""
+    return written(S.normalize_postings(G.with_gates(B.raw_postings(spark, sf)).where("keep"), now()), "batch")
 
 
-def _baseline(spark, sf):
+def _baseline(batch):
     """Every third id of the first half of the batch."""
-    rows = _normalized(spark, sf).where(F.col("posted_at") < B.stamp(B.CUTOVER))
+    rows = batch.where(F.col("posted_at") < B.stamp(B.CUTOVER))
     return rows.where(F.substr("id", F.lit(1), F.lit(1)).isin(*"01234")).select("id", now().alias("seeded_at")).distinct()
 
 
+def _suppressed(spark, sf):
+    """What the cutover holds back, written once."""
+    batch = _normalized(spark, sf)
+    return written(S.apply_cutover(batch, _baseline(batch), B.stamp(B.CUTOVER))[1], "suppressed")
+
+
 @query
 def j01_apply_cutover(spark, sf):
-    return S.cutover_flags(_normalized(spark, sf), _baseline(spark, sf), B.stamp(B.CUTOVER)).select("seq", "accepted")
+    batch = _normalized(spark, sf)
+    return S.cutover_flags(batch, _baseline(batch), B.stamp(B.CUTOVER)).select("seq", "accepted")
 
 
 def _state_columns(spark):
@@ -189,7 +198,7 @@ def _state_columns(spark):
 def j02_upsert_postings(spark, sf):
     batch = _normalized(spark, sf)
     half = F.col("seq") % 2 == 0
-    state = S.upsert(_state_columns(spark), batch.where(half)).drop("is_new", "url_upgrades")
+    state = written(S.upsert(_state_columns(spark), batch.where(half)).drop("is_new", "url_upgrades"), "state")
     merged = S.upsert(state, batch.where(~half))
     return merged.select("id", "company", "title", "term", "location", "remote", "apply_url", "source", "source_id", "source_url", "posted_at", "posted_precision", "status", "link_status", "is_new", "url_upgrades")
 
@@ -308,7 +317,7 @@ def a02_a03_exclusions(spark, sf):
 
 @query
 def a04_a05_suppressions(spark, sf):
-    _, suppressed, _ = S.apply_cutover(_normalized(spark, sf), _baseline(spark, sf), B.stamp(B.CUTOVER))
+    suppressed = _suppressed(spark, sf)
     once = S.record_suppressions(S.empty(spark, SUPPRESSION), suppressed, now())
     return R.suppression_collapse(S.record_suppressions(once, suppressed.where("source = 'ats'"), now()))
 
@@ -613,7 +622,7 @@ def a21_board_tally(spark, sf):
 @query
 def a22_audit_record(spark, sf):
     g = G.with_gates(B.raw_postings(spark, sf)).where("not keep").select(F.col("seq").cast("string").alias("id"), "company", "title", F.col("reason").alias("filter_reason"))
-    _, suppressed, _ = S.apply_cutover(_normalized(spark, sf), _baseline(spark, sf), B.stamp(B.CUTOVER))
+    suppressed = _suppressed(spark, sf)
     one = R.audit_record(g, S.record_suppressions(S.empty(spark, SUPPRESSION), suppressed, now()), "r1", now())
     return one.select("run_id", "at", F.to_json("exclusions").alias("exclusions"), F.to_json("suppressions").alias("suppressions"))
 
@@ -631,7 +640,7 @@ def t08_sample_exclusions(spark, sf):
 
 @query
 def t09_recent_suppressions(spark, sf):
-    _, suppressed, _ = S.apply_cutover(_normalized(spark, sf), _baseline(spark, sf), B.stamp(B.CUTOVER))
+    suppressed = _suppressed(spark, sf)
     table = S.record_suppressions(S.empty(spark, SUPPRESSION), suppressed, now())
     return R.recent_suppressions(table, B.stamp("2001-01-01 00:00:00"), 25).select("baseline_id", "title", "source", "times_seen")
 
@@ -641,7 +650,7 @@ def ranked_postings(spark, sf):
     """The flagship: gated, normalised, deduplicated, scored, ranked postings."""
     raw = B.raw_postings(spark, sf)
     gated = G.disqualifiers(G.with_gates(raw).where("keep").withColumn("term", T.infer_term("title", "description", "term_default")), PROFILE)
-    batch = S.normalize_postings(gated, now(), also=("disqualifiers",))
+    batch = written(S.normalize_postings(gated, now(), also=("disqualifiers",)), "batch")
     merged = S.upsert(_state_columns(spark), batch).drop("disqualifiers", "tier", "score")
     body = S.first_raw_by_id(batch, ["disqualifiers"])
     scored = C.with_signals(C.with_target(merged.join(body, "id", "left"), _targets(spark, sf)), PROFILE, now())

@@ -65,10 +65,9 @@ class Chain:
 
         def run(batch: DataFrame, number: int) -> None:
             spark = batch.sparkSession
-            if number in self.commits(spark):
-                return
-            folder = self.write(merge(self.read(spark, number), batch), number)
-            self.commit(spark, number, folder)
+            if number not in self.commits(spark):
+                folder = self.write(merge(self.read(spark, number), batch), number)
+                self.commit(spark, number, folder)
             self.clean(spark)
 
         return run

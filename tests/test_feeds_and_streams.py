@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobtide.operators import health as H
@@ -14,6 +15,7 @@ from jobtide.schemas import POSTING
 from jobtide.sources import feeds as S1
 from jobtide.sources import tables as S2
 from jobtide.streaming import streams as X
+from jobtide.streaming.snapshots import Chain
 
 T0 = datetime(2026, 7, 1)
 
@@ -84,17 +86,82 @@ def posting_rows(spark, n=5):
 
 
 def test_export_round_trip(spark, tmp_path):
-    rows = posting_rows(spark)
-    assert S2.export_postings(rows, str(tmp_path / "a"))
-    back = S2.restore_postings(spark, str(tmp_path / "a"))
+    rows, path = posting_rows(spark), str(tmp_path / "a")
+    assert S2.export_postings(rows, path, 1) == ["0"] and not S2.export_postings(rows.repartition(3), path, 1)
+    back = S2.restore_postings(spark, path)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
-    assert not S2.export_postings(back, str(tmp_path / "b"), str(tmp_path / "a"))
-    assert S2.export_postings(back.limit(2), str(tmp_path / "c"), str(tmp_path / "a"))
     (tmp_path / "old").write_text('{"id": "zz", "source": "swe", "posted_at": "2026-07-01T00:00:00.000Z"}\n{"id": "00"}\n')
     old = {r.id: r for r in S2.restore_postings(spark, str(tmp_path / "old"), rows).collect()}
     assert len(old) == 6 and (old["zz"].posted_precision, old["zz"].link_status, old["zz"].tier_source, old["zz"].disqualifiers) == ("age_derived", "unchecked", "heuristic", [])
 
 
+def test_export_writes_changed_parts_only(spark, tmp_path):
+    rows, path = posting_rows(spark, 40), str(tmp_path / "e")
+    assert S2.export_postings(rows, path, 1) == ["0", "1", "2", "3"]
+    held = {f: f.stat().st_mtime_ns for f in (tmp_path / "e").rglob("part-*")}
+    later = rows.withColumn("score", F.when(F.col("id") == "17", 9).otherwise(F.col("score"))).where("id < '30'")
+    assert {r.part: r.change for r in S2.changed_parts(later, path, 1).collect()} == {"1": "changed", "3": "gone"}
+    assert S2.export_postings(later, path, 1) == ["1", "3"] and not S2.export_postings(later, path, 1)
+    same = [f for f in held if "part=0" in str(f) or "part=2" in str(f)]
+    assert same and all(f.exists() and f.stat().st_mtime_ns == held[f] for f in same) and not (tmp_path / "e" / "part=3").exists()
+    assert S2.restore_postings(spark, path).where("score = 9").count() == 1
+    assert S2.changed_parts(rows.limit(0), str(tmp_path / "none"), 1).count() == 0
+
+
+def test_partitions_are_pruned_with_their_files(spark, tmp_path):
+    for i in range(4):
+        raw = spark.createDataFrame([("ats", f"d{i}")], "source string, description string")
+        S2.archive_raw(raw, str(tmp_path / "raw"), f"r{i}", F.lit(str(T0 + timedelta(hours=i))).cast("timestamp"))
+        S2.append_audit(spark.createDataFrame([(T0 + timedelta(days=i), i)], "at timestamp, n int"), str(tmp_path / "audit"))
+    assert S2.prune_raw(spark, str(tmp_path / "raw"), 2) == ["r0", "r1"] and S2.prune_raw(spark, str(tmp_path / "raw"), 2) == []
+    assert sorted(f.name for f in (tmp_path / "raw").glob("run_id=*")) == ["run_id=r2", "run_id=r3"] and S2.replay_raw(spark, str(tmp_path / "raw"), "r2").count() == 1
+    assert S2.prune_audit(spark, str(tmp_path / "audit"), "2026-07-04", 1) == ["2026-07-01", "2026-07-02"]
+    assert sorted(f.name for f in (tmp_path / "audit").glob("day=*")) == ["day=2026-07-03", "day=2026-07-04"]
+
+
+def test_ids_are_rewritten_in_all_tables_or_none(spark, tmp_path):
+    mapping = spark.createDataFrame([("a", "x", False), ("b", "y", False)], "old string, new string, collides boolean")
+    tables = {"postings": (spark.createDataFrame([("a", 1), ("c", 2)], "id string, n int"), "id"), "ledger": (spark.createDataFrame([("b",), ("b",)], "posting_id string"), "posting_id")}
+    clash = mapping.withColumn("collides", F.lit(True))
+    assert not S2.rewrite_tables(tables, clash, str(tmp_path), "v2") and not (tmp_path / "v2").exists()
+    assert S2.rewrite_tables(tables, mapping, str(tmp_path), "v2")
+    assert sorted(map(tuple, S2.read_version(spark, str(tmp_path), "v2", "postings").collect())) == [("c", 2), ("x", 1)]
+    assert [r.posting_id for r in S2.read_version(spark, str(tmp_path), "v2", "ledger").collect()] == ["y", "y"]
+    (tmp_path / "v2" / "_COMMITTED").unlink()
+    with pytest.raises(FileNotFoundError):
+        S2.read_version(spark, str(tmp_path), "v2", "ledger")
+
+
+def test_places_do_not_depend_on_the_layout(spark, tmp_path):
+    """The order of the feeds, and what the merges decide by it, for other partition counts and with adaptive execution on and off."""
+    titles = ["Software Engineer Intern", "SWE Co-op", "Platform Engineer, New Grad"]
+    for n in range(7):
+        jobs = [{"id": str(100 * n + i), "title": titles[(n + i) % 3], "jobUrl": f"https://x/{n}-{i}", "location": "Austin, TX", "publishedAt": f"2026-0{1 + (n + i) % 7}-01T00:00:00Z"} for i in range(20)]
+        (tmp_path / f"board {n}.json").write_text(json.dumps({"jobs": jobs}))
+        records = [{"id": str(i), "company_name": "Acme", "title": titles[i % 3], "active": True, "url": f"https://y/{n}-{i}", "locations": ["Austin, TX"], "date_posted": 1780000000 + 86400 * ((n * i) % 50)} for i in range(15)]
+        (tmp_path / f"list{n}.json").write_text(json.dumps(records))
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before, found = [spark.conf.get(n) for n in names], []
+    now, cut = F.lit(str(T0)).cast("timestamp"), F.lit("2026-04-15").cast("timestamp")
+    try:
+        for setting in (("1", "true"), ("4", "false"), ("32", "true")):
+            for name, value in zip(names, setting, strict=True):
+                spark.conf.set(name, value)
+            board = S1.read_board_c(spark, str(tmp_path / "board *.json"), "Acme")
+            rows = S1.union_sources({"ats": [board, board], "listings": S1.read_listings(spark, str(tmp_path / "list*.json"))})
+            batch = S.normalize_postings(rows, now)
+            merged = S.upsert(S.empty(spark, POSTING), batch).select("id", "apply_url", "source", "source_id", "posted_at", "url_upgrades")
+            flags = S.cutover_flags(batch, batch.select("id"), cut).select("source_order", "seq", "accepted")
+            firsts = S.first_raw_by_id(batch, ["apply_url", "seq"])
+            found.append([sorted(map(tuple, df.collect()), key=str) for df in (rows.select("source_order", "seq", "apply_url"), merged, flags, firsts)])
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+    assert found[0] == found[1] == found[2]
+    order = [r[2] for r in sorted(found[0][0])]
+    assert order[:105] == [f"https://y/{n}-{i}" for n in range(7) for i in range(15)] and order[105:245] == [f"https://x/{n}-{i}" for n in range(7) for i in range(20)]
+
+
 def test_small_sinks(spark, tmp_path):
     ids = spark.createDataFrame([("b",), ("a",), ("b",)], "id string")
     S2.write_baseline(ids, str(tmp_path / "base"))
@@ -115,12 +182,16 @@ def test_small_sinks(spark, tmp_path):
 
 def test_health_rules(spark):
     rows = [("s", T0 + timedelta(hours=i), 100, None, False, 100, 10) for i in range(5)]
-    rows += [("s", T0 + timedelta(hours=6), 40, None, False, 100, 90), ("s", T0 + timedelta(hours=7), 0, None, True, 0, 0), ("s", T0 + timedelta(days=9), 0, None, True, 0, 0)]
+    rows += [("s", T0 + timedelta(hours=6), 40, None, False, 100, 90), ("s", T0 + timedelta(hours=7), 0, None, True, 0, 0), *[("s", T0 + timedelta(days=d), 0, None, True, 0, 0) for d in (7.5, 9, 30)]]
     rows += [("b", T0 + timedelta(hours=i), 100, None, False, 0, None) for i in range(3)] + [("b", T0 + timedelta(hours=4), 1, 9, False, 0, None)]
     df = spark.createDataFrame(rows, "source string, started_at timestamp, raw_fetched long, responding long, not_modified boolean, dated long, midnight long")
     got = {(r.source, r.started_at): r for r in H.source_health(df).collect()}
     assert got["s", T0 + timedelta(hours=6)].volume_drop and got["s", T0 + timedelta(hours=6)].precision_drift and "40% of trailing median 100" in got["s", T0 + timedelta(hours=6)].message
-    assert got["s", T0 + timedelta(hours=7)].ok and got["s", T0 + timedelta(days=9)].stale_304 and got["b", T0 + timedelta(hours=4)].ok
+    assert got["s", T0 + timedelta(hours=7)].ok and got["s", T0 + timedelta(days=7.5)].stale_304 and got["b", T0 + timedelta(hours=4)].ok
+
+
+    # data older than eight days is no history: a feed that was silent for longer is not flagged again
+    assert all(got["s", T0 + timedelta(days=d)].ok and got["s", T0 + timedelta(days=d)].last_data_at is None for d in (9, 30))
 
 
 def test_stable_sample(spark):
@@ -135,31 +206,87 @@ def collected(stream, name):
     return stream.sparkSession.table(name).collect()
 
 
-def test_stream_ingest_and_first_seen(spark, tmp_path):
-    schema = "id string, seen_at timestamp"
-    for i in range(3):
-        spark.createDataFrame([("a", T0 + timedelta(hours=i)), (f"n{i}", T0 + timedelta(hours=i))], schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    assert sorted(r.id for r in collected(X.stream_first_seen(stream), "first_seen")) == ["a", "n0", "n1", "n2"]
-    path = str(tmp_path / "state")
-
-    def merge(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+def landed(spark, path, rows, schema):
+    """Rows, a file each, in the order in which they land."""
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(path), mode="append")
 
-    X.stream_ingest(stream, merge, str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(path).select("v").distinct().count() == 3
 
-
-def test_stream_rate_cap_and_expiry(spark, tmp_path):
+def test_first_seen_for_ever_and_within(spark, tmp_path):
+    schema = "id string, seen_at timestamp"
+    landed(spark, tmp_path / "in", [[("a", T0 + timedelta(days=i)), (f"n{i}", T0 + timedelta(days=i))] for i in range(5)], schema)
+    stream = X.landing(spark, str(tmp_path / "in"), schema, 1)
+    assert sorted(r.id for r in collected(X.stream_first_seen(stream), "first_seen")) == ["a", "n0", "n1", "n2", "n3", "n4"]
+    within = [r.id for r in collected(X.stream_first_seen_within(stream, "1 hour"), "seen_within")]
+    assert within.count("a") > 1
+
+
+def test_snapshot_chain_over_five_batches(spark, tmp_path):
+    schema = "id string, n long"
+    landed(spark, tmp_path / "in", [[("a", 1), (f"n{i}", i)] for i in range(5)], schema)
+    chain = Chain(str(tmp_path / "state"), schema, keep=2, partitions=2)
+    merge = lambda state, batch: state.unionByName(batch).groupBy("id").agg(F.sum("n").alias("n"))
+    X.stream_ingest(X.landing(spark, str(tmp_path / "in"), schema, 1), chain, merge, str(tmp_path / "cp")).awaitTermination(120)
+    assert {r.id: r.n for r in chain.read(spark).collect()} == {"a": 5} | {f"n{i}": i for i in range(5)}
+    assert list(chain.commits(spark)) == [3, 4] and {r.id: r.n for r in chain.read(spark, 4).collect()}["a"] == 4
+    assert len(list((tmp_path / "state" / "data").iterdir())) == 2
+
+
+def test_merge_that_dies_before_its_commit_is_replayed(spark, tmp_path):
+    schema = "id string, n long"
+    landed(spark, tmp_path / "in", [[("a", 1)], [("a", 10)], [("a", 100)]], schema)
+    merge = lambda state, batch: state.unionByName(batch).groupBy("id").agg(F.sum("n").alias("n"))
+
+    class Dying(Chain):
+        deaths = {1: "before the commit", 2: "after the commit"}
+
+        def commit(self, spark, batch, folder):
+            if self.deaths.get(batch) == "before the commit":
+                del self.deaths[batch]
+                raise RuntimeError("killed between write and commit")
+            super().commit(spark, batch, folder)
+            if self.deaths.pop(batch, None):
+                raise RuntimeError("killed after the commit")
+
+    chain = Dying(str(tmp_path / "state"), schema, keep=1, partitions=1)
+    start = lambda: X.stream_ingest(X.landing(spark, str(tmp_path / "in"), schema, 1), chain, merge, str(tmp_path / "cp"))
+    with pytest.raises(Exception, match="killed between"):
+        start().awaitTermination(120)
+    assert [tuple(r) for r in chain.read(spark).collect()] == [("a", 1)] and len(list((tmp_path / "state" / "data").iterdir())) == 2
+    with pytest.raises(Exception, match="killed after"):
+        start().awaitTermination(120)
+    start().awaitTermination(120)
+    assert [tuple(r) for r in chain.read(spark).collect()] == [("a", 111)] and len(list((tmp_path / "state" / "data").iterdir())) == 1
+    other = chain.write(chain.read(spark), 2)
+    assert not chain.commit(spark, 2, other) and chain.clean(spark) == [other]
+
+
+def test_rate_cap_over_batches(spark, tmp_path):
+    schema = "channel string, id string, ts timestamp, score int"
     pushes = [("c", f"p{i}", T0 + timedelta(minutes=10 * i), 50) for i in range(9)]
-    spark.createDataFrame(pushes, "channel string, id string, ts timestamp, score int").coalesce(1).write.parquet(str(tmp_path / "p"))
-    stream = spark.readStream.schema("channel string, id string, ts timestamp, score int").parquet(str(tmp_path / "p"))
-    sent = sorted(r.id for r in collected(X.stream_rate_cap(stream), "capped") if r.decision == "interrupt")
-    assert sent == ["p0", "p1", "p2", "p6", "p7", "p8"]
-    runs = [("a", T0 + timedelta(hours=h), h != 30, h == 0) for h in (0, 10, 30, 57, 58, 70)] + [("b", T0 + timedelta(hours=h), True, True) for h in (0, 60)]
-    spark.createDataFrame(runs, "id string, run_at timestamp, healthy boolean, seen boolean").coalesce(1).write.parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema("id string, run_at timestamp, healthy boolean, seen boolean").parquet(str(tmp_path / "e"))
-    assert [(r.id, r.expired_at) for r in collected(X.stream_expiry(stream), "expired")] == [("a", T0 + timedelta(hours=58))]
+    landed(spark, tmp_path / "p", [pushes[:2], pushes[2:5], pushes[5:], [("d", "q", T0, 1)]], schema)
+    chain = Chain(str(tmp_path / "sent"), X.SENT, partitions=1, key="channel")
+    X.stream_rate_cap(X.landing(spark, str(tmp_path / "p"), schema, 1), chain, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = X.read_decisions(spark, str(tmp_path / "out")).collect()
+    assert sorted(r.id for r in got if r.decision == "interrupt") == ["p0", "p1", "p2", "p6", "p7", "p8", "q"] and len(got) == 10
+
+
+def test_silent_ids_expire_by_healthy_runs(spark, tmp_path):
+    """Heartbeats go to all ids of a source; an unhealthy source expires nothing; an id that comes back in time stays."""
+    schema = "source string, run_at timestamp, healthy boolean, id string"
+    at = lambda hours: T0 + timedelta(hours=hours)
+    runs = [("s", at(h), h != 30, None) for h in range(0, 132, 6)] + [("u", at(h), h < 6, None) for h in range(0, 132, 6)]
+    seen = [("s", at(0), True, "gone"), ("s", at(0), True, "back"), ("s", at(48), True, "back"), ("s", at(30), False, "gone"), ("u", at(0), True, "quiet"), *[("s", at(h), True, "live") for h in range(0, 132, 6)]]
+    rows = sorted(runs + seen, key=lambda r: r[1])
+    landed(spark, tmp_path / "e", [rows[20 * i : 20 * i + 20] for i in range(-(-len(rows) // 20))], schema)
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", X.ROCKSDB)
+    try:
+        got = collected(X.stream_expiry(X.landing(spark, str(tmp_path / "e"), schema, 1), 2), "expired")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    # missed from the run at 6 h on, so 54 h is the first healthy run 48 h later; ``back`` was seen at 48 h and expires at 102 h
+    assert sorted((r.id, r.expired_at) for r in got) == [("back", at(102)), ("gone", at(54))]
 
 
 def test_state_helpers(spark):

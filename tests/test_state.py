@@ -203,3 +203,28 @@ def test_rate_cap(spark, sent, hour, want):
     got = {r.id: r.decision for r in out.collect()}
     assert sorted(k for k, v in got.items() if v == "interrupt") == [f"p{i}" for i in range(want)]
     assert sum(v == "silent" for v in got.values()) == (6 if hour == 8 else 0) and got["d"] == got["t"] == "digest" and got["n"] == "skip"
+
+
+def test_clearance_windows_equal_a_loop_and_are_linear(spark):
+    import random
+    import re
+    import time
+
+    from jobtide import rules as R
+
+    draw = random.Random(2)
+    parts = ["clearance", "poly", "top secret", "active ", "able to obtain ", "holding ", "x" * 50, " ", ". ", "word ", "security clearance ", "y" * 150 + " ", "é " * 20, "y" * 400]
+    rows = [(i, " ".join(draw.choice(parts) for _ in range(draw.randint(0, 25)))) for i in range(300)]
+    mention, obtain, held = (re.compile(p, re.I) for p in (R.CLEARANCE, R.OBTAINABLE, R.ALREADY_HELD))
+
+    def brute(text):
+        windows = [text[max(0, m.start() - R.CONTEXT_CHARS) : m.end() + R.CONTEXT_CHARS] for m in mention.finditer(text)]
+        may = any(obtain.search(w) for w in windows)
+        return any(not obtain.search(w) and held.search(w) for w in windows) and not may, may
+
+    must, may = clearance(F.col("t"))
+    got = {r.i: (r.must, r.may) for r in spark.createDataFrame(rows, "i int, t string").select("i", must.alias("must"), may.alias("may")).collect()}
+    assert [i for i, t in rows if got[i] != brute(t)] == []
+    begin = time.time()
+    many = spark.range(1).select(F.repeat(F.lit("secret clearance word "), 100_000).alias("t")).select(must.alias("must"), may.alias("may")).first()
+    assert tuple(many) == (False, False) and time.time() - begin < 60

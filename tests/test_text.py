@@ -92,3 +92,21 @@ def test_dates(spark):
     quiet = one(spark, ["2026-07-01 05:00:00", "2026-07-01 12:59:00", "2026-07-01 13:00:00", "2026-01-01 13:30:00"], D.is_quiet(F.col("x").cast("timestamp")))
     assert quiet == [True, True, False, True]
     assert [str(x) for x in one(spark, ["2026-03-04", "03/04/2026", "31/12/2026", "2026/3/4", "x"], D.parse_applied_on("x"))] == ["2026-03-04", "2026-03-04", "2026-12-31", "2026-03-04", "None"]
+
+
+def test_basic_text_of_every_code_point(spark):
+    """Each character, inside a word and beside one, as the published rule folds it."""
+    import re
+    import unicodedata
+
+    def rule(text):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+        return re.sub("[^a-z0-9]+", " ", plain.replace("&", " and ")).strip()
+
+    points = [p for p in range(1, 0x110000) if not 0xD800 <= p < 0xE000]
+    texts = ["x ".join(f"a{chr(p)}b" for p in points[i : i + 256]) for i in range(0, len(points), 256)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    got = {r.i: r.g for r in df.select("i", T.basic_text("t").alias("g")).collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != rule(t)] == []
+    styled = "".join(chr(0x1D5D4 + ord(c) - 65) if c.isupper() else chr(0x1D5EE + ord(c) - 97) if c.islower() else c for c in "Software Engineer")
+    assert spark.createDataFrame([(styled,)], "t string").select(T.basic_text("t")).first()[0] == "software engineer"
