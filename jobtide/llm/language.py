@@ -6,9 +6,9 @@ the longest order of which any is known gives the mean log frequency. A text's s
 are the sums over its words; the language is the largest, the score its posterior.
 
 Training takes a documented sample of at most MAX_TRAIN_DOCS texts a language, chosen
-by a hash of the id; each language keeps its MAX_WORDS most frequent words and MAX_GRAMS
-grams (documented parameters; ties by the word), so the model that is sent to the tasks
-is bounded by the number of languages, and none can lose its words to another.
+by a hash of the id; every word and gram of the sample is in the model, so what is sent to
+the tasks is bounded by the sample. A word or gram has an entry for each language that it
+occurs in and no more; the other languages share one value.
 
 Defined results: a letter is a character of Unicode category L, in training and in
 scoring. Null texts and texts without a letter are ``und`` with score 0; ties go to the
@@ -22,17 +22,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textkit import blocks, segment_ids, text_bytes
 
 MAX_TRAIN_DOCS = 4000
-#: Words and grams that the model keeps of each language.
-MAX_WORDS, MAX_GRAMS = 50_000, 50_000
 ORDERS = (4, 3, 2, 1)
 MEMO_WORDS = 300_000
 UNKNOWN = "und"
@@ -54,22 +53,33 @@ def training_rows(docs: DataFrame, id_col: str, lang_col: str, per_language: int
     return named.join(F.broadcast(sizes), named[lang_col] == sizes["_lang"]).where(place < F.col("_share"))
 
 
+class Entries(NamedTuple):
+    """Log frequencies of the keys of one table: ``floor`` of each language, and for each key what its own languages have above that."""
+
+    keys: dict[str, int]
+    floor: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+
+
 class Model:
-    """Log frequencies of words and of character grams, by language."""
+    """Log frequencies of words and of character grams, by language, and only for the languages that have them."""
 
     def __init__(self, languages: list[str], words: pa.Table, grams: pa.Table):
         self.languages = languages
-        self.words, self.word_rows = self._table(words)
-        self.grams, self.gram_rows = self._table(grams)
+        self.words, self.grams = self._entries(words), self._entries(grams)
 
-    def _table(self, table: pa.Table) -> tuple[dict[str, int], np.ndarray]:
+    def _entries(self, table: pa.Table) -> Entries:
         keys: dict[str, int] = {}
         at = np.array([keys.setdefault(k, len(keys)) for k in table.column("key").to_pylist()], np.int64)
-        lang = np.array([self.languages.index(x) for x in table.column("lang").to_pylist()], np.int64)
-        counts = np.zeros((len(keys), len(self.languages)))
-        np.add.at(counts, (at, lang), table.column("n").to_numpy().astype(float))
-        total = counts.sum(axis=0)
-        return keys, np.log((counts + 0.5) / (total + 0.5 * max(1, len(keys)))).astype(np.float32)
+        number = {x: i for i, x in enumerate(self.languages)}
+        lang = np.array([number[x] for x in table.column("lang").to_pylist()], np.int64)
+        n = table.column("n").to_numpy().astype(float)
+        total = np.bincount(lang, weights=n, minlength=len(self.languages)) + 0.5 * max(1, len(keys))
+        by = np.argsort(at, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(keys)))])
+        return Entries(keys, np.log(0.5 / total), begin, lang[by].astype(np.int32), np.log((n[by] + 0.5) / 0.5))
 
 
 def _word_column(text):
@@ -89,10 +99,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for g in grams[1:]:
         gram_counts = gram_counts.unionByName(g)
     gram_counts = gram_counts.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    tables = []
-    for counts, most in ((words, MAX_WORDS), (gram_counts, MAX_GRAMS)):
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
-        tables.append(counts.select("lang", "key", "n", place.alias("place")).where(F.col("place") <= most).drop("place").toArrow())
+    # bounded by the sample
+    tables = [counts.select("lang", "key", "n").toArrow() for counts in (words, gram_counts)]
     names = [r[0] for r in rows.select(lang_col).distinct().orderBy(lang_col).collect()]  # bounded by the languages
     return Model(names, *tables)
 
@@ -110,30 +118,29 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.width = len(model.languages)
-        #: Words first, then grams.
-        self.table = np.concatenate([model.word_rows, model.gram_rows]).astype(np.float32)
         self.clear()
 
     def clear(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.rows = np.zeros((1, self.width), np.float32)
 
-    def parts(self, word: str) -> list[int]:
-        """The table rows whose mean is the word's score: its own, or those of its known grams of the longest order that has any."""
-        at = self.model.words.get(word)
+    def parts(self, word: str) -> tuple[Entries, list[int]]:
+        """The entries whose mean is the word's score: its own, or those of its known grams of the longest order that has any."""
+        at = self.model.words.keys.get(word)
         if at is not None:
-            return [at]
-        get, first = self.model.grams.get, len(self.model.word_rows)
+            return self.model.words, [at]
+        get = self.model.grams.keys.get
         for k in ORDERS:
             marked = f"<{word}>" if k > 1 else word
-            known = [first + g for g in map(get, [marked[i : i + k] for i in range(len(marked) - k + 1)]) if g is not None]
+            known = [g for g in map(get, [marked[i : i + k] for i in range(len(marked) - k + 1)]) if g is not None]
             if known:
-                return known
-        return []
+                return self.model.grams, known
+        return self.model.grams, []
 
     def learn(self, tokens: list[bytes]) -> None:
         """Add the score rows of new tokens: sums over their words."""
-        used, sizes, owners, named = [], [], [], 0
+        named = 0
+        used: dict[int, tuple[Entries, list[int], list[int], list[float]]] = {id(t): (t, [], [], []) for t in (self.model.words, self.model.grams)}
         for token in tokens:
             text = token.decode().lower()
             words = [text] if text.isalpha() else _LETTERS.findall(text)
@@ -142,18 +149,24 @@ class Scorer:
                 continue
             self.memo[token] = len(self.rows) + named
             for word in words:
-                own = self.parts(word)
+                table, own = self.parts(word)
                 if own:
-                    used += own
-                    sizes.append(len(own))
-                    owners.append(named)
+                    _, at, owners, shares = used[id(table)]
+                    at += own
+                    owners += [named] * len(own)
+                    shares += [1 / len(own)] * len(own)
             named += 1
-        fresh = np.zeros((named, self.width), np.float32)
-        if sizes:
-            count = np.array(sizes)
-            means = np.add.reduceat(self.table[used], np.cumsum(count) - count, axis=0) / count[:, None].astype(np.float32)
-            np.add.at(fresh, owners, means)
-        self.rows = np.concatenate([self.rows, fresh])
+        fresh = np.zeros(named * self.width)
+        for table, at, owners, shares in used.values():
+            if not at:
+                continue
+            at, owners, shares = np.array(at), np.array(owners), np.array(shares)
+            fresh += np.outer(np.bincount(owners, weights=shares, minlength=named), table.floor).reshape(-1)
+            sizes = table.begin[at + 1] - table.begin[at]
+            place = np.arange(int(sizes.sum())) + np.repeat(table.begin[at] - np.cumsum(sizes) + sizes, sizes)
+            cell = np.repeat(owners, sizes) * self.width + table.lang[place]
+            fresh += np.bincount(cell, weights=np.repeat(shares, sizes) * table.above[place], minlength=len(fresh))
+        self.rows = np.concatenate([self.rows, fresh.reshape(named, self.width).astype(np.float32)])
 
     def __call__(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         if len(self.memo) > MEMO_WORDS:
