@@ -209,8 +209,11 @@ def surviving_roster(roster: DataFrame, tally: DataFrame) -> DataFrame:
 
 def stable_sample(rows: DataFrame, n: int, id_col: str = "id") -> DataFrame:
     """The same rows for the same data, others when any id changes: a top-k by a hash of id and data digest."""
-    digest = rows.agg(F.xxhash64(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(id_col)), F.lit(0))).alias("_digest"))
-    chosen = rows.crossJoin(F.broadcast(digest)).orderBy(F.xxhash64(id_col, "_digest"), id_col).limit(n)
+    name = F.col(id_col).cast("string")
+    number = F.conv(F.substr(F.md5(name.cast("binary")), F.lit(1), F.lit(15)), 16, 10).cast("long")
+    digest = rows.agg(F.concat(F.count("*"), F.lit(":"), F.coalesce(F.bit_xor(number), F.lit(0))).alias("_digest"))
+    place = F.md5(F.concat("_digest", F.lit(":"), name).cast("binary"))
+    chosen = rows.crossJoin(F.broadcast(digest)).orderBy(place, id_col).limit(n)  # the digest is one row
     return chosen.drop("_digest").orderBy(id_col)
 
 

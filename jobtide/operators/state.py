@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from .. import rules as R
 from ..functions import text as T
+from ..functions.links import is_expiry_signal
 from .location import normalize_locations
 
 ORDER = ["source_order", "seq"]
@@ -241,7 +242,7 @@ def apply_updates(postings: DataFrame, updates: DataFrame) -> DataFrame:
 def apply_link_results(postings: DataFrame, results: DataFrame) -> DataFrame:
     """results(id, link_status, final_url, link_checked_at); proof that a posting is gone expires it."""
     out = apply_updates(postings, results.select("id", "link_status", "final_url", "link_checked_at"))
-    hit = results.select("id", F.col("link_status").isin("dead", "redirected_to_index").alias("_gone"))
+    hit = results.select("id", is_expiry_signal("link_status").alias("_gone"))
     return out.join(hit, "id", "left").withColumn("status", F.when(F.col("_gone"), "expired").otherwise(F.col("status"))).drop("_gone")
 
 

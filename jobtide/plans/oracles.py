@@ -309,8 +309,18 @@ VERDICTS = "SELECT source, started_at, measured, median, round(measured / median
 UNIT = "CASE WHEN b THEN 'boards responding' ELSE 'raw postings' END"
 even = lambda x: f"CAST(round_even({x}, 0) AS BIGINT)"
 
+_SOURCED = f"""{P}, s AS (SELECT *, ['llm', 'cached', 'heuristic', 'llm'][CAST(seq % 4 AS INT) + 1] AS tier_source FROM p)"""
+
 ORACLES: dict[str, str] = {
     "ranked_postings": FLAGSHIP,
+    "j10_cache_scores": f"""{_SOURCED} SELECT id AS posting_id, 1 AS score, 'old' AS rationale, tier_source, {NOW} AS scored_at, 'm1' AS model FROM s WHERE seq % 5 = 0
+UNION ALL SELECT id, score, 'because ' || seq, tier_source, {NOW} + INTERVAL 1 HOUR, 'm2' FROM s WHERE seq % 5 <> 0 AND tier_source = 'llm'""",
+    "c04_scorer_counts": f"{_SOURCED} SELECT tier_source, count(*) AS n FROM s GROUP BY tier_source",
+    "c05_suppression_counts": f"""{decided('2001-08-03 20:00:00', False)} SELECT count(*) FILTER (starts_with(decision_reason, 'rate cap')) AS rate_cap, count(*) FILTER (starts_with(decision_reason, 'quiet hours')) AS quiet_hours,
+  count(*) FILTER (contains(decision_reason, 'backpressure')) AS backpressure FROM decided""",
+    "t06_off_cycle": f"{P} SELECT count(*) FILTER (term IN ({', '.join(q(t) for t in R.TERM_ORDER[:3])})) AS off_cycle FROM p",
+    "t07_stable_sample": f"""{P}, g AS (SELECT count(*) || ':' || coalesce(bit_xor(CAST('0x' || substr(md5(id), 1, 15) AS BIGINT)), 0) AS digest FROM p)
+SELECT id, title FROM p, g ORDER BY md5(digest || ':' || id), id LIMIT 20""",
     "j02_upsert_postings": f"""{BATCH}, {merged('seq % 2')} SELECT id, company, title, term, location, remote, apply_url, source, source_id, source_url, posted_at, posted_precision,
   'new' AS status, 'unchecked' AS link_status, is_new, url_upgrades FROM merged""",
     "a07_run_totals": f"""{BATCH}, {merged('1')} SELECT (SELECT count(*) FROM gated) AS raw_fetched, (SELECT count(*) FROM gated WHERE NOT keep) AS filtered_out, 0 AS suppressed_by_baseline,

@@ -367,6 +367,23 @@ def c04_score_postings(spark, sf):
     return C.score_postings(_scored(spark, sf), cache, replies, True).select("id", "score", "tier", "tier_source", "score_rationale")
 
 
+def _sourced(spark, sf):
+    return B.postings(spark, sf).withColumn("tier_source", B.pick(["llm", "cached", "heuristic", "llm"], F.col("seq"))).withColumn("score_rationale", F.concat(F.lit("because "), F.col("seq").cast("string")))
+
+
+@query
+def j10_cache_scores(spark, sf):
+    """The first score of a model stays: what was cached, and what is new."""
+    rows = _sourced(spark, sf)
+    cache = rows.where(F.col("seq") % 5 == 0).select(F.col("id").alias("posting_id"), F.lit(1).alias("score"), F.lit("old").alias("rationale"), "tier_source", now().alias("scored_at"), F.lit("m1").alias("model"))
+    return C.cache_scores(cache, rows, "m2", now() + F.expr("interval 1 hour"))
+
+
+@query
+def c04_scorer_counts(spark, sf):
+    return C.scorer_counts(_sourced(spark, sf))
+
+
 @query
 def f12_model_candidates(spark, sf):
     cache = B.postings(spark, sf).where(F.col("seq") % 5 == 0).select(F.col("id").alias("posting_id"))
@@ -398,6 +415,11 @@ def c05_quiet_hours(spark, sf):
     return decided_postings(spark, sf, "2001-08-03 08:00:00").groupBy("decision", "decision_reason", "priority").agg(F.count("*").alias("n"))
 
 
+@query
+def c05_suppression_counts(spark, sf):
+    return N.suppression_counts(decided_postings(spark, sf, "2001-08-03 20:00:00"))
+
+
 def _ledger(spark, sf):
     return B.postings(spark, sf).where("status = 'notified'").select(F.col("id").alias("posting_id"), "tier", F.col("last_seen_at").alias("sent_at"))
 
@@ -483,6 +505,11 @@ def t06_order_backlog(spark, sf):
     return V.order_backlog(p).select("id", "term_rank", "points")
 
 
+@query
+def t06_off_cycle(spark, sf):
+    return V.off_cycle(B.postings(spark, sf))
+
+
 @query
 def f07_search_exclusions(spark, sf):
     return V.search_exclusions(B.postings(spark, sf), "engineer").select("id", "company", "title")

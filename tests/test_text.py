@@ -110,3 +110,21 @@ def test_basic_text_of_every_code_point(spark):
     assert [i for i, t in enumerate(texts) if got[i] != rule(t)] == []
     styled = "".join(chr(0x1D5D4 + ord(c) - 65) if c.isupper() else chr(0x1D5EE + ord(c) - 97) if c.islower() else c for c in "Software Engineer")
     assert spark.createDataFrame([(styled,)], "t string").select(T.basic_text("t")).first()[0] == "software engineer"
+
+
+def test_strip_html_equals_a_loop_over_all_pages(spark):
+    import html
+    import re
+
+    from jobtide.sources.feeds import BODY_LIMIT, strip_html
+
+    def loop(raw):
+        text = html.unescape(html.unescape(raw or ""))
+        text = re.sub(r"(?i)<(br|/p|/div|/li|/h[1-6])[^>]*>", "\n", text)
+        text = re.sub(r"[ \t\r\f\x0b]+", " ", re.sub(r"<[^>]+>", " ", text))
+        return re.sub(r"\n\s*\n+", "\n", text, flags=re.ASCII).strip(" \t\n\r\f\x0b")[:BODY_LIMIT]
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html")
+    more = spark.createDataFrame([("&amp;lt;b&amp;gt;A &amp;amp; B&lt;/p&gt;x",), (None,), ("",), ("a &notin; b &copy; " * 900,), ("<ul><li>1</li>\n \n<LI>2</Li></ul>",)], "html string")
+    rows = pages.union(more).select("html", strip_html("html").alias("got")).collect()
+    assert len(rows) > 100 and [r.html for r in rows if r.got != loop(r.html)] == []
