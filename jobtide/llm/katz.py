@@ -55,7 +55,7 @@ BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 500_000
 HOT_TOKENS, HOT_HISTORIES = 10_000, 1000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_CODEC = pa.Codec("zstd", 1)
+_CODEC = pa.Codec("zstd", 6)
 
 
 def packed(values: np.ndarray) -> bytes:
