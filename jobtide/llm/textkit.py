@@ -124,11 +124,26 @@ def shared_folder(spark: SparkSession) -> str:
 _MADE: list[list[str]] = []
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session option while the work inside runs; what was set before comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go with it: nothing reads them once the table is whole.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     if _MADE:
         _MADE[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
