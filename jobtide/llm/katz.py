@@ -11,7 +11,8 @@ an order at a time:
 
 1. Each block asks, for every different n-gram it has, by how many training tokens it was
    seen: one message to each bucket, with the histories, the words, the block's own
-   training counts and the probability of the shorter gram. Buckets are dealt by history;
+   training counts and the probability of the shorter gram (of a single word its count, which
+   tells it and is smaller). Buckets are dealt by history;
    a history with a thousandth of all tokens is hot and dealt by history and word.
 2. A bucket adds the counts up: it is the partition of the n-gram table. It answers each block
    with the counts, and with the counts of counts and sums behind each history that
@@ -85,6 +86,18 @@ class Level(NamedTuple):
     hot: dict[int, tuple[np.ndarray, float]]
 
 
+def rates(counts: np.ndarray, level: Level) -> np.ndarray:
+    """The discount of each count."""
+    return np.append(level.discounts, 1.0)[np.minimum(counts, SMALL + 1)]
+
+
+def totals(sums: np.ndarray) -> np.ndarray:
+    """Tokens behind each history, from its counts of counts and the sum above; one more where nothing is discounted."""
+    discounted = sums[:, :SMALL] @ np.arange(1, SMALL + 1)
+    total = (discounted + sums[:, SMALL]).astype(float)
+    return total + ((discounted == 0) & (total > 0))
+
+
 class Plan(NamedTuple):
     buckets: int
     hot_from: int
@@ -206,27 +219,27 @@ class Block:
 
     def messages(self, grams: Grams, block: int) -> pa.Table:
         """One row for each bucket that has grams of the block."""
-        low = self._shorter(grams)
+        low = self._shorter(grams, self.counts if self.order == 1 else self.low)
         cuts = np.flatnonzero(np.diff(grams.bucket)) + 1
         rows = []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(grams.bucket)], strict=True):
             starts = np.flatnonzero(np.diff(grams.history[a:b], prepend=-1))
             values, code = np.unique(low[a:b], return_inverse=True)
             histories = grams.history[a:b][starts]
-            rows.append((int(grams.bucket[a]), block, grams.keys[histories].tobytes(), grams.hot[histories].tobytes(), packed(np.diff(np.append(starts, b - a))), packed(self.words[grams.word[a:b]]), packed(grams.trained[a:b]), packed(values), packed(code)))
+            rows.append((int(grams.bucket[a]), block, grams.keys[histories].tobytes(), packed(grams.hot[histories].astype(np.int64)), packed(np.diff(np.append(starts, b - a))), packed(self.words[grams.word[a:b]]), packed(grams.trained[a:b]), packed(values), packed(code)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), *[pa.binary()] * 7], strict=True)], names=MESSAGE)
 
-    def _shorter(self, grams: Grams) -> np.ndarray:
-        """The probability of each gram without its first word."""
-        out = np.ones(len(grams.history))
+    def _shorter(self, grams: Grams, values: np.ndarray) -> np.ndarray:
+        """The value (count or probability) of each gram without its first word."""
+        out = np.ones(len(grams.history), values.dtype)
         if self.below is not None:
-            out[grams.at] = self.low[self.below.at]
+            out[grams.at] = values[self.below.at]
         return out
 
     def climb(self) -> None:
         """Take in the answers to the next order: counts, and with them the probabilities of its grams."""
         grams, level = self.grams(), self.levels[self.order]
-        shorter = self._shorter(grams)
+        shorter = self._shorter(grams, self.low)
         counts = np.zeros(len(grams.history), np.int64)
         sums = np.zeros((len(grams.keys), SMALL + 1), np.int64)
         lows = np.zeros(len(grams.keys))
@@ -245,14 +258,10 @@ class Block:
             sums[i], lows[i] = level.hot.get(int(grams.keys[i].view(np.int64)), (sums[i], lows[i]))
         if self.below is None:
             lows[:] = 0  # the class of unknown words is never among the seen
-        small = np.arange(1, SMALL + 1)
-        discounted = sums[:, :SMALL] @ small
-        total = (discounted + sums[:, SMALL]).astype(float)
-        total += (discounted == 0) & (total > 0)  # nothing was left: one more token
-        kept = sums[:, :SMALL] @ (small * level.discounts[1:]) + sums[:, SMALL]
+        total = totals(sums)
+        kept = sums[:, :SMALL] @ (np.arange(1, SMALL + 1) * level.discounts[1:]) + sums[:, SMALL]
         back = np.where(total > 0, (total - kept) / np.where(total > 0, total, 1) / (1 - lows), 1.0)
-        rate = np.append(level.discounts, 1.0)[np.minimum(counts, SMALL + 1)]
-        seen = rate * counts / np.where(total > 0, total, 1)[grams.history]
+        seen = rates(counts, level) * counts / np.where(total > 0, total, 1)[grams.history]
         low = np.where(counts > 0, seen, back[grams.history] * shorter)
         if self.below is None:
             by_word = np.zeros(len(self.hashes), np.uint64)
@@ -279,11 +288,13 @@ MESSAGE_SCHEMA = "bucket long, block long, keys binary, hot binary, sizes binary
 ANSWER_SCHEMA = "kind int, level int, block long, bucket long, counts binary, sums binary, lows binary, numbers binary, key long, parts array<long>, low double"
 
 
-def _bucket_answers(level: int, buckets: int):
+def _bucket_answers(level: int, buckets: int, words: Level | None = None):
+    """``words``: what is known of single words, for the level above them."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket, rows = key[0].as_py(), table.to_pylist()
         keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-        hot = [np.frombuffer(r["hot"], bool) for r in rows]
+        hot = [unpacked(r["hot"]).astype(bool) for r in rows]
         sizes = [unpacked(r["sizes"]).astype(np.int64) for r in rows]
         length = np.array([int(s.sum()) for s in sizes])
         history, owner = np.unique(np.concatenate(keys), return_inverse=True)  # the histories of this bucket
@@ -293,6 +304,9 @@ def _bucket_answers(level: int, buckets: int):
         word = np.concatenate([unpacked(r["words"]) for r in rows])
         trained = np.concatenate([unpacked(r["trained"]) for r in rows]).astype(np.int64)
         low = np.concatenate([unpacked(r["values"])[unpacked(r["codes"]).astype(np.int64)] for r in rows])
+        if words is not None:
+            low = low.astype(np.int64)
+            low = rates(low, words) * low / max(1, *totals(words.hot[0][0][None]))
         by = np.lexsort((word, of))
         fresh = np.ones(len(by), bool)
         fresh[1:] = (of[by][1:] != of[by][:-1]) | (word[by][1:] != word[by][:-1])
@@ -385,7 +399,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         answers, kinds = None, 0
         for i in range(order):
             asked = _messages(texts, answers, plan, levels)
-            got = written(asked.groupBy("bucket").applyInArrow(_bucket_answers(i, plan.buckets), ANSWER_SCHEMA), "answers")
+            got = written(asked.groupBy("bucket").applyInArrow(_bucket_answers(i, plan.buckets, levels[0] if i == 1 else None), ANSWER_SCHEMA), "answers")
             level, types = _level(got)
             levels.append(level)
             kinds = kinds if i else types
