@@ -690,7 +690,7 @@ def test_pipeline_near_duplicates_keep_every_different_text(spark):
 def test_every_query_is_registered_and_runs(spark):
     from jobtide.llm.queries import ORACLES, QUERIES
 
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 11) for n in QUERIES if n.startswith(f"op{k}_")]
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 14) for n in QUERIES if n.startswith(f"op{k}_")]
     assert set(ORACLES) <= set(QUERIES)
     for name in ("op3_decontamination", "op9_weak_supervision_pii", "op10_url_filter"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
