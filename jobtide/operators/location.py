@@ -31,7 +31,7 @@ def _grams_of(text, k: int):
 
 
 def location_dimension(places: DataFrame) -> DataFrame:
-    """places(location, remote_hint) -> the distinct pairs with ``location_norm``."""
+    """places(location, remote_hint) -> the distinct pairs with ``location_norm`` and ``remote``."""
     distinct = places.select("location", "remote_hint").distinct()
     named = distinct.withColumn("primary", T.with_state_codes(T.basic_text(T.primary_location("location"))))
     core, country = T.split_country(F.col("primary"))
@@ -45,21 +45,26 @@ def location_dimension(places: DataFrame) -> DataFrame:
     hits = rows.join(F.broadcast(alias_table(places.sparkSession)), "alias")
     hits = hits.where(F.col("state").isNull() | F.col("states").isNull() | F.array_contains("states", F.col("state")))
     best = hits.groupBy(F.col("location").alias("_place"), F.col("remote_hint").alias("_hint")).agg(F.min_by("metro", F.struct("no", "rank")).alias("metro"))
-    out = named.join(best, F.expr("location <=> _place and remote_hint <=> _hint"), "left")
+    out = named.withColumn("remote", T.is_remote("location", "remote_hint")).join(best, F.expr("location <=> _place and remote_hint <=> _hint"), "left")
     first = T.basic_text(T.primary_location("location"))
     norm = (
         F.when((T.basic_text("location") == "") | (F.col("primary") == "") | first.isin(R.PLACELESS), "unknown")
         .when(F.col("core") == "", F.coalesce("country", F.lit("unknown")))
         .when(F.col("metro").isNotNull(), F.col("metro"))
         .when(F.col("state").isNotNull(), F.concat(F.lit("us-"), F.col("state")))
-        .when(T.is_remote("location", "remote_hint") | T.has_marker(F.col("core")), "remote")
+        .when(F.col("remote") | T.has_marker(F.col("core")), "remote")
         .when(F.col("core").rlike(R.PLACEHOLDER), "unknown")
         .otherwise(F.concat_ws("-", F.replace(F.col("core"), F.lit(" "), F.lit("-")), F.col("country")))
     )
-    return out.select("location", "remote_hint", norm.alias("location_norm"))
+    return out.select("location", "remote_hint", norm.alias("location_norm"), "remote")
+
+
+def with_places(df: DataFrame, places: DataFrame) -> DataFrame:
+    """Add ``location_norm`` and ``remote`` to df(location, remote_hint, ...), all of whose places are in ``places``."""
+    dimension = location_dimension(places).withColumnsRenamed({"location": "_place", "remote_hint": "_hint"})
+    return df.join(dimension, F.expr("location <=> _place and remote_hint <=> _hint"), "left").drop("_place", "_hint")
 
 
 def normalize_locations(df: DataFrame) -> DataFrame:
     """Add ``location_norm`` to df(location, remote_hint, ...). The dimension holds distinct strings only; Spark broadcasts it while it is small."""
-    dimension = location_dimension(df).withColumnsRenamed({"location": "_place", "remote_hint": "_hint"})
-    return df.join(dimension, F.expr("location <=> _place and remote_hint <=> _hint"), "left").drop("_place", "_hint")
+    return with_places(df, df).drop("remote")

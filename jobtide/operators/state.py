@@ -15,23 +15,29 @@ from pyspark.sql.window import Window
 from .. import rules as R
 from ..functions import text as T
 from ..functions.links import is_expiry_signal
-from .location import normalize_locations
+from .location import with_places
 
 ORDER = ["source_order", "seq"]
 
 
-def normalize_postings(raw: DataFrame, now: Column, also: tuple[str, ...] = ()) -> DataFrame:
-    """Raw postings to postings. Titles and companies are normalised once per distinct string; columns ``also`` are carried."""
-    titles = raw.select(F.col("title").alias("_title")).distinct().withColumn("title_norm", T.normalize_title("_title"))
-    companies = raw.select(F.col("company").alias("_company")).distinct().withColumn("company_norm", T.normalize_company("_company"))
-    rows = normalize_locations(raw).join(titles, F.expr("title <=> _title"), "left").join(companies, F.expr("company <=> _company"), "left").drop("_title", "_company")
-    rows = rows.withColumn("term", T.infer_term("title", "description", "term_default"))
+def normalize_postings(raw: DataFrame, now: Column, also: tuple[str, ...] = (), strings: DataFrame | None = None) -> DataFrame:
+    """Raw postings to postings; columns ``also`` are carried.
+
+    Titles, companies and places are normalised once per distinct string. Those are read
+    from ``strings``: raw postings that have at least the strings of ``raw``, such as the
+    rows before costly gates, which then run once. Without it they are read from ``raw``.
+    """
+    strings = raw if strings is None else strings
+    titles = strings.select(F.col("title").alias("_title")).distinct().withColumn("title_norm", T.normalize_title("_title")).withColumn("_term", T.named_term("_title"))
+    companies = strings.select(F.col("company").alias("_company")).distinct().withColumn("company_norm", T.normalize_company("_company"))
+    rows = with_places(raw, strings).join(titles, F.expr("title <=> _title"), "left").join(companies, F.expr("company <=> _company"), "left").drop("_title", "_company")
+    rows = rows.withColumn("term", T.infer_term("title", "description", "term_default", F.col("_term")))
     rows = rows.withColumn("dedupe_key", T.dedupe_key("company_norm", "title_norm", "location_norm", "term")).withColumn("id", T.posting_id("dedupe_key"))
     trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
     return rows.select(
         "id", "dedupe_key", trimmed("company").alias("company"), trimmed("title").alias("title"), "term",
         F.when(trimmed("location") == "", "Unknown").otherwise(trimmed("location")).alias("location"),
-        T.is_remote("location", "remote_hint").alias("remote"), trimmed("apply_url").alias("apply_url"),
+        "remote", trimmed("apply_url").alias("apply_url"),
         F.when(trimmed("apply_url") != "", trimmed("apply_url")).alias("source_url"), "source", now.alias("first_seen_at"), now.alias("last_seen_at"),
         "posted_at", "posted_precision", "company_norm", "title_norm", "location_norm", "source_id", *ORDER, *also,
     )

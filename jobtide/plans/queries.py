@@ -167,7 +167,8 @@ def f06_disqualifiers(spark, sf):
 
 def _normalized(spark, sf):
     """The gated and normalised batch, written once: several frames of one query read it."""
-    return written(S.normalize_postings(G.with_gates(B.raw_postings(spark, sf)).where("keep"), now()), "batch")
+    raw = B.raw_postings(spark, sf)
+    return written(S.normalize_postings(G.with_gates(raw).where("keep"), now(), strings=raw), "batch")
 
 
 def _baseline(batch):
@@ -309,8 +310,9 @@ def j17_rekey(spark, sf):
 
 @query
 def a02_a03_exclusions(spark, sf):
-    rows = G.with_gates(B.raw_postings(spark, sf)).where("not keep").withColumn("filter_reason", F.col("reason"))
-    dropped = S.normalize_postings(rows, now(), also=("filter_reason",))
+    raw = B.raw_postings(spark, sf)
+    rows = G.with_gates(raw).where("not keep").withColumn("filter_reason", F.col("reason"))
+    dropped = S.normalize_postings(rows, now(), also=("filter_reason",), strings=raw)
     table = S.record_exclusions(S.empty(spark, EXCLUDED), dropped, "v1", now())
     return R.exclusion_counts(table).select("filter_reason", "n", F.round("share", 9).alias("share"))
 
@@ -677,7 +679,7 @@ def ranked_postings(spark, sf):
     """The flagship: gated, normalised, deduplicated, scored, ranked postings."""
     raw = B.raw_postings(spark, sf)
     gated = G.disqualifiers(G.with_gates(raw).where("keep").withColumn("term", T.infer_term("title", "description", "term_default")), PROFILE)
-    batch = written(S.normalize_postings(gated, now(), also=("disqualifiers",)), "batch")
+    batch = written(S.normalize_postings(gated, now(), also=("disqualifiers",), strings=raw), "batch")
     merged = S.upsert(_state_columns(spark), batch).drop("disqualifiers", "tier", "score")
     body = S.first_raw_by_id(batch, ["disqualifiers"])
     scored = C.with_signals(C.with_target(merged.join(body, "id", "left"), _targets(spark, sf)), PROFILE, now())
