@@ -51,3 +51,31 @@ def test_remoteness_by_place(spark):
     raw = B.raw_postings(spark, SF).limit(1).drop("location", "remote_hint").crossJoin(spark.createDataFrame(places, "location string, remote_hint boolean"))
     got = S.normalize_postings(raw, B.stamp(B.NOW)).select(F.col("location"), "remote")
     assert sorted(map(tuple, got.collect())) == sorted([("Remote - US", True), ("Hybrid - Remote", False), ("Paris", True), ("Remote", False), ("Unknown", False), ("Unknown", False)])
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Before, each folder of a feed was a task of its own."""
+    from jobtide.sources import feeds
+
+    spark.range(100).selectExpr("cast(id as string) as value", "id as chunk").repartition(1).write.partitionBy("chunk").text(f"{tmp_path}/in")
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, sc = spark.conf.get(name), spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    try:
+        found = feeds.whole_files(spark, f"{tmp_path}/in")
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("listing")]
+        tasks = sum(sc.statusTracker().getStageInfo(i).numTasks for j in jobs for i in j.stageIds)
+    finally:
+        sc._jsc.clearJobGroup()
+    assert 0 < tasks <= feeds.LISTERS * sc.defaultParallelism < 100 and spark.conf.get(name) == before
+    assert sorted((r.place, r.value.strip()) for r in found.collect()) == sorted(enumerate(sorted(map(str, range(100)), key=lambda c: f"chunk={c}/")))
+
+
+def test_short_rows_of_tables_under_any_filter(spark):
+    """A filter of the caller may run before the one on the number of cells."""
+    from jobtide.sources import feeds
+
+    text = "x\n| Company | Position | Posting |\n|---|---|---|\n| A | B | C |\n| only |\n|| D | E | F | more ||\n\n| G | H | I |\n"
+    files = spark.createDataFrame([("f", 0, text), ("g", 1, text.replace("Company", "Firm"))], "file string, place long, value string")
+    rows = feeds.pipe_tables(files).where("row['company'] <> ''").where("length(row['posting']) > 0")
+    assert sorted((r.file, r.n, r.row["company"], r.row["posting"]) for r in rows.collect()) == [("f", 3, "A", "C"), ("f", 5, "D", "F")]
