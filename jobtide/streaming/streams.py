@@ -147,12 +147,17 @@ class Expiry(StatefulProcessor):
         for frame in rows:  # a frame at a time
             healthy = frame[frame["healthy"]]
             runs.update(healthy["at"].tolist())
-            for name, times in healthy[healthy["id"].notna()].groupby("id")["at"]:
-                held = self.seen.getValue((name,))[0] if self.seen.containsKey((name,)) else None
-                if held is None or len(held):  # not expired
-                    together = sorted({*(held or []), *times.tolist()})
-                    self.seen.updateValue((name,), (together,))
+            shown, named = {}, healthy[healthy["id"].notna()]
+            for name, at in zip(named["id"].tolist(), named["at"].tolist()):
+                shown.setdefault(name, set()).add(at)
+            for name, times in shown.items():  # every call on the state is a round trip, so an id takes one to read it and one to write
+                value = self.seen.getValue((name,))
+                held = None if value is None else list(value[0])
+                if held is None or held:  # not expired
+                    together = sorted({*(held or []), *times})
                     oldest = together[0] if oldest is None else min(oldest, together[0])
+                    if together != held:
+                        self.seen.updateValue((name,), (together,))
         self._wait(sorted(runs), oldest)
         yield from ()
 

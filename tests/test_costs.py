@@ -79,3 +79,36 @@ def test_short_rows_of_tables_under_any_filter(spark):
     files = spark.createDataFrame([("f", 0, text), ("g", 1, text.replace("Company", "Firm"))], "file string, place long, value string")
     rows = feeds.pipe_tables(files).where("row['company'] <> ''").where("length(row['posting']) > 0")
     assert sorted((r.file, r.n, r.row["company"], r.row["posting"]) for r in rows.collect()) == [("f", 3, "A", "C"), ("f", 5, "D", "F")]
+
+
+def test_expiry_reads_an_id_once_and_writes_changes_only():
+    """Two round trips to the state an id at most; before, there were three, also where nothing changed."""
+    import pandas as pd
+
+    from jobtide.streaming.streams import Expiry
+
+    class Held(dict):
+        calls = 0
+
+        def getValue(self, key):  # noqa: N802
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):  # noqa: N802
+            self.calls += 1
+            self[key] = value
+
+        def containsKey(self, key):  # noqa: N802
+            self.calls += 1
+            return key in self
+
+    class Nothing:
+        exists = staticmethod(lambda: False)
+
+    expiry, oldest = Expiry(), []
+    expiry.seen, expiry.runs, expiry.oldest = Held({("b",): ([5, 7],), ("gone",): ([],)}), Nothing(), Nothing()
+    expiry._wait = lambda runs, first: oldest.append((runs, first))
+    frame = pd.DataFrame({"id": ["a", "b", "a", "gone", None, "sick"], "at": [9, 7, 8, 9, 10, 11], "healthy": [True] * 5 + [False]})
+    assert list(expiry.handleInputRows(("s", 0), iter([frame]), None)) == []
+    assert dict(expiry.seen) == {("a",): ([8, 9],), ("b",): ([5, 7],), ("gone",): ([],)} and oldest == [([7, 8, 9, 10], 5)]
+    assert expiry.seen.calls == 4
