@@ -14,11 +14,13 @@ rarest first.
   only with all that precedes it (edit behind it) or follows it (edit before it, the
   same on reversed words): the key is a part of the word, and what is left is the window
   that holds the edit.
-* A key with many pivots and prefixes is split: the edit is among the next STEP code
-  points of the window, and all behind them is equal too, or they belong to the key
-  as well. Windows of STEP are split to single places. So no frequent beginning makes
-  all pairs of its words.
-* Pairs that share a key are verified by their edit distance.
+* A key with many pivots and prefixes is split by the place of the edit: the key of a
+  place is all of the word but that code point, and the word itself where the other word
+  has one more. At most an alphabet of words shares such a key at a place, so no frequent
+  beginning makes all pairs of its words. An edit more than SPAN places behind the key
+  waits for the next round, in which these places belong to the key.
+* Pairs that share a key are verified by their edit distance. They are pairs of numbers,
+  dealt in order of count and word, so that the form is the smallest number.
 
 Words of more than LONG code points have their first and last LONG / 2 as pivots (an edit
 leaves one of them whole), so that a word's rows do not grow with its length.
@@ -50,8 +52,8 @@ GRAM, PREFIX = 2, 3
 SHORTEST, SEEN, FACTOR = 7, 2, 10
 #: From how many code points on the ends are the pivots.
 LONG = 64
-#: Code points by which a window is split; a key is split if it makes more than CROWDED pairs a row.
-STEP, CROWDED = 3, 12
+#: Places at which a round looks for the edit; a key is split if it makes more than CROWDED pairs a row.
+SPAN, CROWDED = 64, 12
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 200_000
 
@@ -108,84 +110,78 @@ def pivots(prefix: list[tuple[int, int]]) -> list[int]:
 
 
 def _windows(words: DataFrame, grams: dict[str, int]) -> DataFrame:
-    """(pivot, rev, text, n, a, rank): rows of pivots and of prefix grams; text[:a] is the key, the edit is behind it. ``rev``: reversed words."""
+    """(pivot, rev, text, id, a, rank): rows of pivots and of prefix grams; text[:a] is the key, the edit is behind it. ``rev``: reversed words."""
     order = {g: i for i, (g, _) in enumerate(sorted(grams.items(), key=lambda x: (x[1], x[0])))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            for word, at in zip(batch.column("word").to_pylist(), batch.column("id").to_pylist(), strict=True):
                 size, back = len(word), word[::-1]
                 if size >= LONG:
-                    rows += [(p, r, t, n, LONG // 2, 0) for p in (True, False) for r, t in ((False, word), (True, back))]
+                    rows += [(p, r, t, at, LONG // 2, 0) for p in (True, False) for r, t in ((False, word), (True, back))]
                 if size > LONG:
                     continue
                 places = sorted((order[word[i : i + GRAM]], i) for i in range(size - GRAM + 1))
                 last = places[PREFIX - 1][0]
                 prefix = sorted((i, grams[word[i : i + GRAM]]) for g, i in places if g <= last)
                 for pivot, chosen in ((True, pivots(prefix)), (False, [i for i, _ in prefix])):
-                    rows += [(pivot, False, word, n, i + GRAM, last) for i in chosen]
-                    rows += [(pivot, True, back, n, size - i, last) for i in chosen]
+                    rows += [(pivot, False, word, at, i + GRAM, last) for i in chosen]
+                    rows += [(pivot, True, back, at, size - i, last) for i in chosen]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             types = [pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["pivot", "rev", "text", "n", "a", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["pivot", "rev", "text", "id", "a", "rank"])
 
-    return words.mapInArrow(run, "pivot boolean, rev boolean, text string, n long, a int, rank int")
+    return words.mapInArrow(run, "pivot boolean, rev boolean, text string, id long, a int, rank int")
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    """Rows with their key: what is before the window and, where it has an end ``c``, what is behind it."""
-    behind = F.when(F.col("c").isNotNull(), F.expr("substr(text, c + 1)"))
-    return rows.withColumn("key", F.xxhash64(F.expr("substr(text, 1, a)"), behind, "rev", "stage"))
+def _key(*parts: Column) -> Column:
+    """A hash of the parts whose last bit is ``rev``, so that no reversed word meets one that is not."""
+    return F.shiftleft(F.xxhash64(*parts), 1).bitwiseOR(F.col("rev").cast("long"))
 
 
-def _window(a: Column, c: Column, stage: int) -> Column:
-    return F.struct(a.cast("int").alias("a"), c.cast("int").alias("c"), F.lit(stage).alias("stage"))
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows with the key of an edit anywhere behind ``a``."""
+    return rows.withColumn("key", _key(F.expr("substr(text, 1, a)")))
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """The windows of crowded keys (stage 0: open, 1: of STEP code points), split.
+def _placed(rows: DataFrame) -> DataFrame:
+    """A row for each of the next SPAN places of the edit, keyed by the text without that code point, and one for the text itself (place -1)."""
+    last = F.least(F.col("a") + SPAN, F.length("text"))
+    rows = rows.withColumns({"last": last, "place": F.explode(F.sequence("a", last))})
+    rows = rows.withColumn("place", F.when(F.col("place") < F.col("last"), F.col("place")).otherwise(-1))
+    rest = F.when(F.col("place") < 0, F.col("text")).otherwise(F.concat(F.expr("substr(text, 1, place)"), F.expr("substr(text, place + 2)")))
+    return rows.withColumn("key", _key(rest, F.col("a")))
 
-    The word of a pivot has its window's end at a place; the other word, there or one
-    code point before or behind.
-    """
-    a, size = F.col("a"), F.length("text")
-    end = lambda at: F.least(a + at, size)
-    moved = lambda at, stage, first: [F.when(F.lit(d == 0) | ~F.col("pivot"), _window(first, end(at + d), stage)) for d in (0, -1, 1)]
-    opened = F.array(*moved(STEP, 1, a), F.when(a + STEP <= size, _window(a + STEP, F.lit(None), 0)))
-    closed = F.array(*[w for j in range(STEP) for w in moved(j + 1, 2, a + j)])
-    out = rows.withColumn("w", F.explode(F.when(F.col("stage") == 0, opened).otherwise(closed))).where("w is not null and w.a <= length(text)")
-    return _keyed(out.select("pivot", "rev", "text", "n", "rank", "w.a", "w.c", "w.stage")).distinct()
+
+def _meet(rows: DataFrame) -> DataFrame:
+    """(id, other): words whose pivots (rows of one) meet a gram of a prefix that does not end earlier, at one edit."""
+    one = rows.where("pivot").select("key", "text", "id", "rank", "place")
+    two = rows.where("not pivot").select("key", F.col("text").alias("found"), F.col("id").alias("other"), F.col("rank").alias("rank2"), F.col("place").alias("place2"))
+    pairs = one.join(two, "key").where("id <> other and rank <= rank2 and (place = place2 or place < 0 or place2 < 0)")
+    return pairs.where("abs(length(text) - length(found)) <= 1").where(F.levenshtein("text", "found", 1) == 1).select("id", "other")
 
 
 def near_words(words: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """(word, n, other, m): the pairs of ``words(word, n)`` (distinct, written) at one edit, in both directions."""
+    """(id, other): the pairs of ``words(id, word)`` (distinct, written) at one edit, in both directions."""
     cut = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(GRAM)))).alias("gram"))
     grams = {r[0]: r[1] for r in cut.groupBy("gram").count().collect()}  # at most the pairs of 90 letters
-    rows = _windows(words, grams).withColumns({"c": F.lit(None).cast("int"), "stage": F.lit(0)})
-    rows, found = written(_keyed(rows), "windows"), []
+    rows, found = written(_open(_windows(words, grams)), "windows"), words.select("id", F.col("id").alias("other")).limit(0)
     while not rows.isEmpty():
         p, q = F.count_if("pivot"), F.count_if(~F.col("pivot"))
-        sizes = rows.groupBy("key").agg(p.alias("p"), q.alias("q"), F.max("stage").alias("last")).where("p > 0 and q > 0")
-        split = (F.col("p") * F.col("q") > crowded * (F.col("p") + F.col("q"))) & (F.col("last") < 2)
+        # a pivot is in its own word's prefix, so a key with one prefix has one word
+        sizes = rows.groupBy("key").agg(p.alias("p"), q.alias("q")).where("p > 0 and q > 1")
+        split = F.col("p") * F.col("q") > crowded * (F.col("p") + F.col("q"))
         sizes = written(sizes.select("key", (F.col("p") + F.col("q")).alias("m"), split.alias("split")), "sizes")
-        met = written(spread_join(rows, sizes, ["key"], rows.count()), "met")
+        met = written(spread_join(rows, sizes, ["key"], rows.count()).drop("m"), "met")
         drop_written(rows)
         drop_written(sizes)
-        one, two = met.where("not split and pivot"), met.where("not split and not pivot")
-        two = two.select("key", "rev", F.col("text").alias("found"), F.col("n").alias("m2"), F.col("rank").alias("rank2"))
-        pairs = one.join(two, ["key", "rev"]).where("text <> found and rank <= rank2 and abs(length(text) - length(found)) <= 1")
-        pairs = pairs.where(F.levenshtein("text", "found", 1) == 1)
-        word = lambda name: F.when(F.col("rev"), F.reverse(name)).otherwise(F.col(name))
-        found.append(written(pairs.select(word("text").alias("word"), "n", word("found").alias("other"), F.col("m2").alias("m")), "pairs"))
-        rows = written(_split(met.where("split")), "windows")
+        for some in (met.where("not split").withColumn("place", F.lit(-1)), _placed(met.where("split"))):
+            found = found.union(written(_meet(some), "pairs"))
+        further = met.where("split").where(F.col("a") + SPAN <= F.length("text")).withColumn("a", F.col("a") + SPAN)
+        rows = written(_open(further.drop("split")), "windows")
         drop_written(met)
-    if not found:
-        return words.select("word", "n", F.col("word").alias("other"), F.col("n").alias("m")).limit(0)
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    return every.union(every.select("other", "m", "word", "n")).distinct()
+    return found.union(found.select("other", "id")).repartition("id").distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -205,11 +201,13 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("body"))
     with scratch(spark) as kept:
         with small_batches(spark):
-            words = written(count_words(source, spoil).where(F.col("n") >= SEEN), "words")
-        near = near_words(words)
-        best = near.groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), F.col("other").alias("form"))).alias("best"))
-        far = -F.col("best.m") >= FACTOR * F.col("n")
-        best = best.select("word", "n_near", F.when(far, F.col("best.form")).alias("form"), F.when(far, -F.col("best.m")).alias("form_n"))
+            counted = count_words(source, spoil).where(F.col("n") >= SEEN).orderBy(F.desc("n"), "word")
+            words = written(counted.withColumn("id", F.monotonically_increasing_id()), "words")
+        best = near_words(words).groupBy("id").agg(F.count("*").alias("n_near"), F.min("other").alias("best"))
+        forms = words.select(F.col("id").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
+        best = words.join(best, "id").join(forms, "best")
+        far = F.col("form_n") >= FACTOR * F.col("n")
+        best = best.select("word", "n_near", F.when(far, F.col("form")).alias("form"), F.when(far, F.col("form_n")).alias("form_n"))
         best = written(best, "near")
         roots = _roots(best.where("form is not null").select("word", "form"))
         out = words.join(best, "word", "left").join(roots, "word", "left")

@@ -294,3 +294,25 @@ def test_a_crowded_beginning_makes_no_square(spark):
     begin = time.time()
     got = S.spelling_variants(spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(words)], "doc_id long, text string"), spoil=1 << 40).count()
     assert got == len(words) and time.time() - begin < 120
+
+
+@pytest.mark.parametrize(("seed", "letters", "span"), [(7, "ab", 9), (8, "abé", 5)])
+def test_edits_beyond_the_places_of_a_round(spark, monkeypatch, seed, letters, span):
+    monkeypatch.setattr(S, "SPAN", span)
+    monkeypatch.setattr(S.near_words, "__defaults__", (0,))
+    draw = random.Random(seed)
+    word = "".join(draw.choice(letters) for _ in range(70))
+    rows = [(i, " ".join([word, *(edited(draw, w, letters) for w in (word, word[:20], word[:8]) for _ in range(2))])) for i in range(80)]
+    got = {(r.word, r.form, r.root, r.n, r.n_near, r.form_n) for r in S.spelling_variants(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == variants_by_loop(rows)
+
+
+def test_crowded_keys_are_split_in_one_round(spark, monkeypatch):
+    """3,000 words that share their rarest grams: keys are counted once, and a row is looked at at most once a place."""
+    made = []
+    monkeypatch.setattr(S, "written", lambda df, label, real=S.written: made.append((label, real(df, label))) or made[-1][1])
+    draw = random.Random(3)
+    words = sorted({"qzx" + "".join(draw.choice("abcd") for _ in range(9)) for _ in range(3000)})
+    docs = spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(words)], "doc_id long, text string")
+    assert S.spelling_variants(docs, spoil=1 << 40).where("n_near > 0").count() > 0
+    assert [label for label, _ in made].count("sizes") == 1
