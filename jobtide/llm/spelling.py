@@ -56,6 +56,8 @@ LONG = 64
 SPAN, CROWDED = 64, 12
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 200_000
+#: Words that a task cuts into grams, about.
+TASK_WORDS = 50_000
 
 #: Code points of words: A-Z to a-z, letters to themselves, the rest to spaces (Latin-1 bytes, which are the code points).
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
@@ -166,7 +168,8 @@ def near_words(words: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(id, other): the pairs of ``words(id, word)`` (distinct, written) at one edit, in both directions."""
     cut = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(GRAM)))).alias("gram"))
     grams = {r[0]: r[1] for r in cut.groupBy("gram").count().collect()}  # at most the pairs of 90 letters
-    rows, found = written(_open(_windows(words, grams)), "windows"), words.select("id", F.col("id").alias("other")).limit(0)
+    dealt = words.repartition(words.count() // TASK_WORDS + 1)
+    rows, found = written(_open(_windows(dealt, grams)), "windows"), words.select("id", F.col("id").alias("other")).limit(0)
     while not rows.isEmpty():
         p, q = F.count_if("pivot"), F.count_if(~F.col("pivot"))
         # a pivot is in its own word's prefix, so a key with one prefix has one word

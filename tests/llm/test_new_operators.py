@@ -299,6 +299,7 @@ def test_a_crowded_beginning_makes_no_square(spark):
 @pytest.mark.parametrize(("seed", "letters", "span"), [(7, "ab", 9), (8, "abé", 5)])
 def test_edits_beyond_the_places_of_a_round(spark, monkeypatch, seed, letters, span):
     monkeypatch.setattr(S, "SPAN", span)
+    monkeypatch.setattr(S, "TASK_WORDS", 100)
     monkeypatch.setattr(S.near_words, "__defaults__", (0,))
     draw = random.Random(seed)
     word = "".join(draw.choice(letters) for _ in range(70))
