@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from jobtide import rules as R
@@ -112,3 +114,29 @@ def test_expiry_reads_an_id_once_and_writes_changes_only():
     assert list(expiry.handleInputRows(("s", 0), iter([frame]), None)) == []
     assert dict(expiry.seen) == {("a",): ([8, 9],), ("b",): ([5, 7],), ("gone",): ([],)} and oldest == [([7, 8, 9, 10], 5)]
     assert expiry.seen.calls == 4
+
+
+def test_landing_shuffles_columns_and_writes_small_files(spark):
+    """Before, a feed's whole rows were shuffled, their texts written as they are, and the shuffle files stayed."""
+    from jobtide.plans import landed as L
+
+    texts = L._raw_by_file(spark, SF).groupBy(F.floor(F.col("seq") / L.FILE_ROWS).alias("chunk")).agg(L.array_of("title", "description").alias("value"))
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    at = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(at) == 1 and "experience" in plan and not any("experience" in line for line in lines[at[0] :])
+    assert L.by_file(spark.range(100_000), "id").rdd.getNumPartitions() == 5 and L.by_file(spark.range(0), "id").count() == 0
+    path = L.board_a_files(spark, SF)
+    read = spark.read.text(path, wholetext=True).select(F.sum(F.length("value")), F.count("*")).first()
+    held = [f.stat().st_size for f in Path(path).rglob("part-*")]
+    assert len(held) == read[1] == 3 and sum(held) * 4 < read[0]
+
+
+def test_files_of_a_source_go_when_it_is_counted(spark, monkeypatch):
+    """Before, the files of five landings stayed, of which one was read by nothing."""
+    from jobtide.plans import landed as L
+
+    made, new = [], L.new_folder
+    monkeypatch.setattr(L, "new_folder", lambda *given: made.append(new(*given)) or made[-1])
+    rows = L.QUERIES["s13_u01_union_sources"](spark, SF).collect()
+    assert sorted(r.source for r in rows) == ["ats", "listings", "swe"] and made and not any(Path(p).exists() for p in made)
