@@ -85,7 +85,7 @@ ORACLES: dict[str, str] = {
   count(*) FILTER ({OPEN} AND {FITS}) AS kept FROM raw GROUP BY 1) SELECT *, kept = 0 AS warned FROM c""",
     "s12_tables_quality": f"{RAW} SELECT seq // {FILE_ROWS} AS chunk, count(*) FILTER ({IN_TABLE}) AS kept, count(*) FILTER ({IN_TABLE}) = 0 AS warned FROM raw GROUP BY 1",
     "s13_u01_union_sources": f"""{RAW} SELECT * FROM (SELECT 0 AS source_order, 'listings' AS source, count(*) AS n, count(*) AS places FROM ({LISTINGS})
-UNION ALL SELECT 1, 'swe', count(*), count(*) FROM ({TABLES}) UNION ALL SELECT 3, 'ats', count(*), count(*) FROM ({BOARD_C})) WHERE n > 0""",
+UNION ALL SELECT 1, 'swe', count(*), count(*) FROM ({TABLES}) UNION ALL SELECT 3, 'ats', count(*), count(*) FROM ({BOARD_A} UNION ALL {BOARD_B} UNION ALL {BOARD_C})) WHERE n > 0""",
     "s13_u01_places": f"""{RAW}, {PLACED} SELECT 0 AS source_order, 0 AS feed, file, position, title, apply_url FROM ({placed(LISTINGS_KEPT)})
 UNION ALL SELECT 1, 0, file, position + 4, replace(title, '|', '/'), apply_url FROM ({placed(IN_TABLE)})
 UNION ALL SELECT 3, 0, file, position, title, apply_url FROM ({placed(BOARD_C_KEPT)}) UNION ALL SELECT 3, 1, file, position, title, apply_url FROM ({placed(LINKED)})""",

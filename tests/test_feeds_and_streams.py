@@ -79,6 +79,18 @@ def test_roster_and_union(spark, tmp_path):
     assert [r.source_order for r in both.orderBy("source_order").collect()] == [0, 0, 3, 3] and S1.union_sources({"ats": one, "listings": one}, ["ats"]).count() == 2
 
 
+def test_union_has_the_boards_of_all_kinds(spark):
+    """Before, the boards were those of one kind, whose unlisted rows no other feed brought."""
+    from jobtide.plans import bindings as B
+    from jobtide.plans import landed as L
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.source: (r.n, r.places) for r in L.QUERIES["s13_u01_union_sources"](spark, sf).collect()}
+    linked = B.raw_postings(spark, sf).where("title <> '' and apply_url <> ''")
+    n = 3 * linked.count() - linked.where("seq % 8 = 0").count()
+    assert got["ats"] == (n, n)
+
+
 def posting_rows(spark, n=5):
     names = [c.split()[0] for c in POSTING.split(", ")]
     base = {"company": "Ünï", "title": 't"\\', "term": "unknown", "source": "ats", "remote": True, "posted_precision": "instant", "disqualifiers": ["a"], "link_status": "ok", "tier_source": "llm", "score": 3, "tier": 1, "first_seen_at": T0, "last_seen_at": T0, "posted_at": T0, "status": "new"}
