@@ -140,3 +140,15 @@ def test_files_of_a_source_go_when_it_is_counted(spark, monkeypatch):
     monkeypatch.setattr(L, "new_folder", lambda *given: made.append(new(*given)) or made[-1])
     rows = L.QUERIES["s13_u01_union_sources"](spark, SF).collect()
     assert sorted(r.source for r in rows) == ["ats", "listings", "swe"] and made and not any(Path(p).exists() for p in made)
+
+
+def test_tables_are_dealt_by_the_number_of_files(spark, tmp_path, monkeypatch):
+    """Before, packed texts made few tasks, each with the sorted lines of many files."""
+    from jobtide.sources import feeds
+
+    text = "| Company | Position | Posting |\n|---|---|---|\n| A | B | <a href=\"u\">go</a> |\n"
+    for i in range(40):
+        (tmp_path / f"{i:02}.md").write_text(text)
+    monkeypatch.setattr(feeds, "TABLE_FILES", 2)
+    rows = feeds.read_pipe_tables(spark, str(tmp_path), "swe", B.stamp(B.NOW))
+    assert rows.rdd.getNumPartitions() == 20 and sorted(r.seq for r in rows.collect()) == [(i << feeds.POSITION_BITS) + 2 for i in range(40)]
